@@ -203,23 +203,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: str
     return train([(read(u).astype(np.int64), read(c).astype(np.float64), read(b).astype(np.int64), y) for b, u, c, y in got])
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted for every row."""
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row, and the columns in keep."""
     w0, w, v = model
+    keep = keep or []
     shared = docs.sparkSession.sparkContext.broadcast((w0, w.astype(np.float32), v.astype(np.float32)))  # fixed size
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *keep)
+    names = ["doc_id", "held_out", "score", "predicted", *keep]
 
     def run(batches):
         m0, mw, mv = shared.value
         m = (m0, mw.astype(np.float64), mv.astype(np.float64))
         for b in batches:
-            keys = b.column(0)
             for lo, hi, data, offs in blocks(b.column(1)):
                 s = 1 / (1 + np.exp(-np.clip(margins(m, *features(data, offs)), -30, 30)))
-                ids = keys.slice(lo, hi - lo)
-                held = [k is not None and zlib.crc32(str(k).encode()) % 3 == 1 for k in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(held), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+                part = b.slice(lo, hi - lo)
+                held = [k is not None and zlib.crc32(str(k).encode()) % 3 == 1 for k in part.column(0).to_pylist()]
+                cols = [part.column(0), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *[part.column(i) for i in range(2, part.num_columns)]]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, schema + kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

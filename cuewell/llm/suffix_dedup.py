@@ -288,10 +288,12 @@ def _mark_rows(length: int):
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _cut_rows(length: int, with_text: bool):
+def _cut_rows(length: int, with_text: bool, keep: list[str]):
+    """Rows (doc_id, text, spans, kept columns) to their result."""
+
     def run(batches):
         for b in batches:
-            docs, lists = b.column(0), b.column(2).to_pylist()
+            lists = b.column(2).to_pylist()
             out = []
             for i, spans in enumerate(lists):
                 raw = (b.column(1)[i].as_py() or "").encode()
@@ -307,11 +309,13 @@ def _cut_rows(length: int, with_text: bool):
                     at = y
                 kept = b"".join([*kept, raw[at:]])
                 # A range may begin or end inside a character; what is left of one isn't text.
-                text = (raw if not merged else kept).decode(errors="ignore") if with_text else None
+                text = kept.decode(errors="ignore") if with_text else None
                 out.append((len(raw), sum(y - x for x, y in merged), len(merged), hashlib.sha256(kept).hexdigest(), text))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([docs.cast(pa.int64()), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]], names=[c.split()[0] for c in _OUT.split(", ")])
+            rest = [b.column(i) for i in range(3, b.num_columns)]
+            names = [c.split()[0] for c in _OUT.split(", ")] + keep
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], *rest], names=names)
 
     return run
 
@@ -340,14 +344,16 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     return every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) kept_text of every document."""
+def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, (with_text) kept_text, and columns in keep."""
+    keep = keep or []
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_ranges(rows, length)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    spans = repeated_ranges(rows.select("doc_id", "text"), length)
     texts = rows.repartition(parts, "doc_id")
-    joined = texts.join(spans, texts["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(_cut_rows(length, with_text), _OUT)
+    joined = texts.join(spans, texts["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans", *[f"k_{c}" for c in keep])
+    kept = "".join(f", `{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema.fields[2:], strict=True))
+    out = joined.mapInArrow(_cut_rows(length, with_text, keep), _OUT + kept)
     return out if with_text else out.drop("kept_text")
 
 
