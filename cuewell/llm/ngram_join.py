@@ -168,10 +168,23 @@ def _count_columns(bits: int):
     """Second pass: within a column block, keep n-grams of two documents or more, deal them by document."""
     n_buckets = 1 << bits
 
+    def flush(h, docs, df, meta):
+        """Entries of as many column blocks as the task has seen, dealt by document at once."""
+        out = list(meta)
+        if h:
+            h, docs, df = (np.concatenate(x) for x in (h, docs, df))
+            order, at = _split(_doc_bucket(docs, n_buckets), n_buckets)
+            h, docs, df = h[order].astype("<u8"), docs[order], df[order].astype("<u2")
+            for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                x = slice(at[k], at[k + 1])
+                out.append((k, 2, h[x].tobytes(), df[x].tobytes(), _pack_ids(docs[x])))
+        return _rows(out)
+
     def run(batches):
+        hs, ds, fs, meta, size = [], [], [], [], 0
         for bucket, rows in _groups(batches):
             entries = [r for r in rows if r[0] == 1]
-            out = [(bucket, 0, a, b, c) for k, a, b, c in rows if k == 0]
+            meta += [(bucket, 0, a, b, c) for k, a, b, c in rows if k == 0]
             if entries:
                 low = np.concatenate([np.frombuffer(a, "<u4").astype(np.uint64) | (np.frombuffer(b, np.uint8).astype(np.uint64) << np.uint64(32)) for _, a, b, _ in entries])
                 docs = np.concatenate([_unpack_ids(c) for *_, c in entries])
@@ -182,15 +195,14 @@ def _count_columns(bits: int):
                 group = np.cumsum(new) - 1
                 df = np.bincount(group)[group]
                 keep = df > 1
-                h = low[keep] | np.uint64(bucket) << np.uint64(40)
-                docs, df = docs[keep], np.minimum(df[keep], 65535)
-                order, at = _split(_doc_bucket(docs, n_buckets), n_buckets)
-                h, docs, df = h[order].astype("<u8"), docs[order], df[order].astype("<u2")
-                for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                    x = slice(at[k], at[k + 1])
-                    out.append((k, 2, h[x].tobytes(), df[x].tobytes(), _pack_ids(docs[x])))
-            if out:
-                yield _rows(out)
+                hs.append(low[keep] | np.uint64(bucket) << np.uint64(40))
+                ds.append(docs[keep])
+                fs.append(np.minimum(df[keep], 65535))
+                size += int(keep.sum())
+            if size >= FLUSH:
+                yield flush(hs, ds, fs, meta)
+                hs, ds, fs, meta, size = [], [], [], [], 0
+        yield flush(hs, ds, fs, meta)
 
     return run
 
@@ -292,7 +304,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (4 * parts - 1).bit_length())
+    bits = max(4, (2 * parts - 1).bit_length())
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(_count_columns(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
