@@ -34,9 +34,9 @@ from .lineage import cut
 from .textblocks import blocks, prefix_sums, span_hashes
 
 GRAM = 32
-SYMBOL = 100
+SYMBOL = 200
 SHARD_BYTES = 1 << 19
-GROUP_ROWS = 1000
+GROUP_ROWS = 2000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -219,11 +219,21 @@ def _mark_rows(length: int):
 
     def solve(rows):
         """Contexts that hold every occurrence within their (f, salt) groups."""
-        shards, lo, at = [], 0, 0
-        texts = [r[5] + b"\0" for r in rows]
+        # Equal contexts: all their strings repeat; one of them stands for the rest below.
+        first: dict[bytes, int] = {}
+        stands = np.array([first.setdefault(r[5], i) for i, r in enumerate(rows)])
+        copies = np.bincount(stands, minlength=len(rows)) > 1
+        docs = np.array([r[2] for r in rows], dtype=np.int64)
+        s1, s2 = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        alike = copies[stands]
+        if alike.any():
+            yield batch(docs[alike], s1[alike], s2[alike] + length)
+        only = np.flatnonzero(stands == np.arange(len(rows)))
+        texts = [rows[i][5] + b"\0" for i in only.tolist()]
         sizes = np.array([len(t) for t in texts])
         total = np.concatenate([[0], np.cumsum(sizes)])
-        while lo < len(rows):
+        shards, lo, at = [], 0, 0
+        while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SHARD_BYTES, "right")) - 1)
             text = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
             shards.append(Shard.build(text, total[lo : hi + 1] - total[lo], depth, at))
@@ -234,11 +244,10 @@ def _mark_rows(length: int):
         order, cls = repeated(shards[0], depth)
         ctx = np.searchsorted(total, order, "right") - 1
         place = order - total[ctx]
-        s1, s2 = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        ctx = only[ctx]
         own = (cls >= 0) & (place <= s2[ctx] - s1[ctx])
         order, cls, ctx, place = order[own], cls[own], ctx[own], place[own]
         many = np.bincount(cls)[cls] > 1 if len(cls) else np.zeros(0, bool)
-        docs = np.array([r[2] for r in rows], dtype=np.int64)
         start = s1[ctx] + place
         yield from ranges(docs[ctx[many]], start[many])
         salted = np.array([r[1] >= 0 for r in rows])[ctx]
@@ -246,7 +255,7 @@ def _mark_rows(length: int):
             text = np.frombuffer(b"".join(texts), np.uint8)
             idx = np.flatnonzero(salted)
             _, one = np.unique(cls[idx], return_index=True)
-            idx = idx[one]  # a string's hash once for each group of rows, with whether it repeated here
+            idx = idx[one]  # a string's hash once for each group of rows
             o = order[idx]
             h = span_hashes(prefix_sums(text), o, o + length)
             yield batch(docs[ctx[idx]], start[idx], start[idx] + length, h.view(np.int64), many[idx])

@@ -128,7 +128,7 @@ def test_shards_merge_like_one():
     rng = random.Random(2)
     parts = [bytes(rng.choice(b"ab") for _ in range(260)) for _ in range(3)]
     texts = [parts[rng.randrange(3)] + parts[rng.randrange(3)] for _ in range(9)]
-    depth = 4
+    depth = 400 // SYMBOL
     texts = [t + b"\0" for t in texts]  # the place of each context's empty suffix
     offs = lambda ts: np.concatenate([[0], np.cumsum([len(t) for t in ts])])
     buf = lambda ts: np.frombuffer(b"".join(ts), np.uint8)
