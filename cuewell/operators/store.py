@@ -24,9 +24,9 @@ def observe(messages: DataFrame) -> DataFrame:
     """Messages (scope, seq, text) to facts: sentences without questions, in order."""
     from .encode import encode
 
-    parts = messages.select("scope", "seq", F.posexplode(T.sentences(F.col("text"), MAX_SENTENCES)).alias("pos", "t"))
+    parts = messages.select("scope", "seq", F.posexplode(T.sentences(F.col("text"), MAX_SENTENCES)).alias("place", "t"))
     kept = encode(parts.where(~F.contains("t", F.lit("?"))))
-    return number(kept.select("scope", "seq", "pos", "t"), "seq", "pos")
+    return number(kept.select("scope", "seq", "place", "t"), "seq", "place")
 
 
 def number(rows: DataFrame, *order: str) -> DataFrame:
@@ -133,7 +133,7 @@ def strengthen(facts: DataFrame, matches: DataFrame) -> DataFrame:
     """Facts after (scope, match, bump): strength grows by the bumps of the matches they hold, up to the cap."""
     hits = facts.join(matches, "scope").where(F.contains(F.lower("t"), F.lower("match")))
     by = hits.groupBy("scope", "idx").agg(F.sum(F.least(F.greatest(F.col("bump"), F.lit(0.05)), F.lit(4.0))).alias("bump"))
-    up = F.least(F.col("strength") + F.col("bump"), F.greatest(F.lit(STRENGTH_CAP), F.col("strength")))
+    up = F.when(F.col("bump").isNotNull(), F.least(F.col("strength") + F.col("bump"), F.greatest(F.lit(STRENGTH_CAP), F.col("strength"))))
     return facts.join(by, ["scope", "idx"], "left").withColumn("strength", F.coalesce(up, F.col("strength"))).select(FACT)
 
 

@@ -39,9 +39,12 @@ def index_entries(words: list[str], dim: int = DIM) -> np.ndarray:
     return ((r % np.uint64(dim)).astype(np.int64) + 1) * sign
 
 
-@F.pandas_udf("array<int>")
-def _index_udf(w: pd.Series) -> pd.Series:
-    return pd.Series(list(index_entries(w.tolist()).astype(np.int32)))
+def _index_column(word: str) -> Column:
+    @F.pandas_udf("array<int>")
+    def entries(w: pd.Series) -> pd.Series:
+        return pd.Series(list(index_entries(w.tolist()).astype(np.int32)))
+
+    return entries(word)
 
 
 def cooccurrence(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -59,7 +62,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, dim, val): context vectors, sums of neighbours' index vectors (exact integers)."""
     pairs = cooccurrence(texts, text_col)
-    index = pairs.select("neighbour").distinct().select("neighbour", F.explode(_index_udf("neighbour")).alias("e"))
+    index = pairs.select("neighbour").distinct().select("neighbour", F.explode(_index_column("neighbour")).alias("e"))
     index = index.groupBy("neighbour", (F.abs("e") - 1).alias("dim")).agg(F.sum(F.signum("e")).cast("long").alias("x"))
     sums = pairs.join(index, "neighbour").groupBy("word", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("val"))
     return sums.where("val <> 0")
