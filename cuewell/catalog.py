@@ -196,18 +196,18 @@ def q_spread_settled(spark, sf):
 
 
 def geography(spark, sf):
-    c, n, r = (table(spark, sf, x) for x in ("customer", "nation", "region"))
+    """Customers, nations and regions as facts of one scope."""
+    c, n = (table(spark, sf, x) for x in ("customer", "nation"))
     name = lambda kind, key: F.concat(F.lit(kind), F.col(key))
-    rows = c.select(F.concat(name("Customer", "c_custkey"), F.lit(" nation is "), name("Nation", "c_nationkey")).alias("t"))
-    rows = rows.unionByName(n.select(F.concat(name("Nation", "n_nationkey"), F.lit(" region is "), name("Region", "n_regionkey")).alias("t")))
-    rows = rows.unionByName(r.select(F.concat(name("Region", "r_regionkey"), F.lit(" title is "), "r_name").alias("t")))
-    return store.number(rows.withColumn("scope", F.lit("geo")), "t")
+    rows = c.select(F.col("c_custkey").alias("idx"), F.concat(name("Cu", "c_custkey"), F.lit(" nation is "), name("Na", "c_nationkey")).alias("t"))
+    rows = rows.unionByName(n.select((-1 - F.col("n_nationkey")).cast("long").alias("idx"), F.concat(name("Na", "n_nationkey"), F.lit(" region is "), name("Re", "n_regionkey")).alias("t")))
+    return rows.select(F.lit("geo").alias("scope"), "idx", "t", F.lit(1.0).alias("strength"), F.lit(None).cast("string").alias("key"))
 
 
 def q_chain(spark, sf):
     """Customer to nation to region, two hops for every customer."""
     c = table(spark, sf, "customer")
-    starts = c.select(F.col("c_custkey").alias("qid"), F.lit("geo").alias("scope"), F.concat(F.lit("Customer"), F.col("c_custkey")).alias("start"), F.array(F.lit("nation"), F.lit("region")).alias("path"))
+    starts = c.select(F.col("c_custkey").alias("qid"), F.lit("geo").alias("scope"), F.concat(F.lit("Cu"), F.col("c_custkey")).alias("start"), F.array(F.lit("nation"), F.lit("region")).alias("path"))
     out = recall.chain(starts, cut(encode(geography(spark, sf))), 2)
     return out.select("qid", "value", F.array_join("trail", ">").alias("trail"))
 

@@ -14,12 +14,16 @@ from . import lexicon as lex
 _SPACE = r"(?U)\s+"
 
 
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
 def _list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr(f"array({_quoted(words)})")
 
 
 def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr(f"map({_quoted([x for kv in pairs.items() for x in kv])})")
 
 
 def _mapped(w: Column, pairs: dict[str, str]) -> Column:

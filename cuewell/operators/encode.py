@@ -21,7 +21,7 @@ def _candidates() -> Column:
 
     def one(w, i):
         low = F.get("_low", i)
-        ok = (low != "") & ~low.isin(_BLOCKED) & low.rlike(r"[\p{L}\p{N}]") & ((F.octet_length(low) >= 3) | low.rlike("^[0-9]+$"))
+        ok = (low != "") & ~F.get("_stop", i) & low.rlike(r"[\p{L}\p{N}]") & ((F.octet_length(low) >= 3) | low.rlike("^[0-9]+$"))
         score = T.surprise(w, i) + 0.15 * i.cast("double")
         return F.struct((-score).alias("s"), i.alias("i"), w.alias("w"), ok.alias("ok"))
 
@@ -50,6 +50,7 @@ def encode(facts: DataFrame, text_col: str = "t") -> DataFrame:
     df = facts.withColumn("_u", F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "")).withColumn("tok", T.tokens(F.col("_u")))
     df = df.withColumns({"_w": F.transform("tok", T.clean_word), "_clip": F.transform("tok", T.clip)})
     df = df.withColumns({"_d": F.array_remove(F.array_distinct("_w"), ""), "_low": F.transform("_clip", F.lower)})
+    df = df.withColumn("_stop", F.transform("_low", lambda x: x.isin(_BLOCKED)))
     df = df.withColumn("raw", F.array_sort(F.array_except("_d", T._list(lex.STOP))))
     digit = F.exists("raw", lambda w: w.rlike("[0-9]"))
     enough = (F.size("tok") >= 3) | digit | F.contains("_u", F.lit(":"))
@@ -61,7 +62,7 @@ def encode(facts: DataFrame, text_col: str = "t") -> DataFrame:
             "c": F.transform(keep, lambda x: x["w"]),
             "tok_stems": F.transform("_w", T.stem),
             "s": T.stems(F.col("raw")),
-            "_open": F.transform("_clip", lambda w, i: T.is_capital(w) & ~F.get("_low", i).isin(_BLOCKED)),
+            "_open": F.transform("_clip", lambda w, i: T.is_capital(w) & ~F.get("_stop", i)),
         }
     )
     info = lambda w: F.struct(w.alias("w"), T.stem(F.lower(w)).alias("st"), _place(w).alias("p"), T.is_number(w).alias("num"), _grown(w).alias("x"))
@@ -76,7 +77,7 @@ def encode(facts: DataFrame, text_col: str = "t") -> DataFrame:
             "self_flag": has("my", "i", "im", "mine") & ~has("her", "his", "its", "their", "your") & F.array_contains("s", "name"),
         }
     )
-    return df.drop("_u", "_w", "_d", "_clip", "_low", "_ranked", "_open")
+    return df.drop("_u", "_w", "_d", "_clip", "_low", "_stop", "_ranked", "_open")
 
 
 def pick_value(df: DataFrame, cue: str, want_number: str) -> DataFrame:

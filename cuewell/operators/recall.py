@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as lex
 from ..functions import text as T
+from ..plans.lineage import cut
 from .encode import pick_value
 
 ROOT_WINDOW = 4000
@@ -111,7 +112,7 @@ def root_scan(queries: DataFrame, episodes: DataFrame, k: int = 1) -> DataFrame:
 
 def recall(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The best fact for each query, later facts winning ties; morphology rescues misses."""
-    q = with_cues(queries)
+    q = cut(with_cues(queries))
     df = score(gather(q, episodes), q, episodes)
     pets = F.col("pet_query") & F.col("es_pet")
     df = df.withColumn("overlap", F.when((F.col("ov") < 1) & pets, 1).otherwise(F.col("ov"))).where("overlap >= 1")
@@ -120,23 +121,26 @@ def recall(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     df = df.withColumn("rank", F.row_number().over(order)).where("rank = 1")
     df = df.withColumn("coverage", F.when(pets, 1.0).otherwise(F.col("coverage")))
     df = _answer(df).withColumn("rescue", (F.col("ov") < F.size("cue")) & F.col("loose_cue"))
-    best = df.select(*HIT, "ov", "rescue")
+    best = cut(df.select(*HIT, "ov", "rescue"))
     # Only misses, and winners that leave a relation of the cue open, are scanned by roots.
     settled = best.where(~F.col("rescue")).select("qid", "scope")
-    scan = root_scan(q.join(settled, ["qid", "scope"], "left_anti"), episodes)
+    open_ = cut(q.join(settled, ["qid", "scope"], "left_anti"))
+    if open_.isEmpty():
+        return best.select(HIT)
+    scan = root_scan(open_, episodes)
     better = scan.alias("r").join(best.select("qid", "scope", "ov").alias("b"), ["qid", "scope"], "left").where("b.ov IS NULL OR r.overlap > b.ov").select(*[F.col(f"r.{c}").alias(c) if c not in ("qid", "scope") else F.col(c) for c in HIT])
     return best.select(HIT).join(better.select("qid", "scope"), ["qid", "scope"], "left_anti").unionByName(better)
 
 
 def recall_many(queries: DataFrame, episodes: DataFrame, k: int = 8) -> DataFrame:
     """The k best facts for each query, earlier facts winning ties; roots when nothing matches."""
-    q = with_cues(queries)
+    q = cut(with_cues(queries))
     df = score(gather(q, episodes), q, episodes).where("ov >= 1")
     order = Window.partitionBy("qid", "scope").orderBy(F.desc("exact"), F.desc("ov"), F.desc("spec"), "first_cue", "idx")
     df = df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("overlap", F.col("ov"))
-    hits = _answer(df).select(HIT)
-    missed = q.join(hits.select("qid", "scope").distinct(), ["qid", "scope"], "left_anti")
-    return hits.unionByName(root_scan(missed, episodes, k))
+    hits = cut(_answer(df).select(HIT))
+    missed = cut(q.join(hits.select("qid", "scope").distinct(), ["qid", "scope"], "left_anti"))
+    return hits if missed.isEmpty() else hits.unionByName(root_scan(missed, episodes, k))
 
 
 def in_family(scope: Column, base: Column) -> Column:
@@ -222,6 +226,7 @@ def chain(starts: DataFrame, episodes: DataFrame, hops: int) -> DataFrame:
                 "alive": F.when(due, ok).otherwise(F.col("alive")),
             }
         ).drop("fact", "next")
+        state = cut(state)
     return state.select("qid", "scope", F.when(F.col("alive"), F.col("current")).alias("value"), "trail")
 
 

@@ -148,8 +148,8 @@ dfs AS (SELECT scope, stem, count(*) AS df FROM post GROUP BY ALL),
 siz AS (SELECT scope, count(*) AS n FROM {enc} GROUP BY ALL),
 cs AS (SELECT qid, scope, unnest(cue) AS stem FROM kue),
 gt AS (SELECT cs.*, df <= greatest(floor(n * 0.25), 64) AS rare FROM cs JOIN dfs USING (scope, stem) JOIN siz USING (scope)),
-ga AS (SELECT *, bool_or(rare) OVER (PARTITION BY qid, scope) AS some FROM gt),
-gc AS (SELECT qid, scope, stem FROM ga WHERE rare OR NOT some UNION SELECT qid, scope, unnest({_set(lex.PET_STEMS)}) FROM kue WHERE petq),
+ga AS (SELECT *, bool_or(rare) OVER (PARTITION BY qid, scope) AS anyr FROM gt),
+gc AS (SELECT qid, scope, stem FROM ga WHERE rare OR NOT anyr UNION SELECT qid, scope, unnest({_set(lex.PET_STEMS)}) FROM kue WHERE petq),
 cand AS (SELECT DISTINCT qid, scope, idx FROM gc JOIN post USING (scope, stem)),
 sc AS (SELECT qid, scope, idx, t, cue, petq, nameq AND selfish AND list_contains(s, 'name') AS selfp, list_contains(cue, head) AS subj, {SCORED_COLUMNS}
   FROM cand JOIN kue USING (qid, scope) JOIN {enc} USING (scope, idx))"""
@@ -241,14 +241,14 @@ SQL: dict[str, str] = {
 n AS (SELECT qid, count(*) AS n_hits FROM hits GROUP BY qid)
 SELECT qs.qid, coalesce(round(coverage, 9), 0) AS coverage, coalesce(overlap, 0) AS overlap, coalesce(exact, 0) AS exact, coalesce(n_hits, 0) AS n_hits FROM qs LEFT JOIN top1 USING (qid) LEFT JOIN n USING (qid)""",
     "recall_orders": "SELECT o_orderkey AS qid, o_orderkey * 2 AS idx, o_orderstatus || 'tatus' AS value, 3 AS overlap, 3 AS exact FROM orders",
-    "recall_chain": "SELECT c_custkey AS qid, 'Region' || n_regionkey AS value, 'Customer' || c_custkey || '>Nation' || c_nationkey || '>Region' || n_regionkey AS trail FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "recall_chain": "SELECT c_custkey AS qid, 'Re' || n_regionkey AS value, 'Cu' || c_custkey || '>Na' || c_nationkey || '>Re' || n_regionkey AS trail FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "spread_one_hop": f"""WITH {FACT}, {LAST},
 kue AS (SELECT qid, scope, {cue('query', False)} AS cue FROM qs),
 post AS (SELECT scope, idx, unnest(s) AS stem FROM enc), dfs AS (SELECT scope, stem, count(*) AS df FROM post GROUP BY ALL), siz AS (SELECT scope, count(*) AS n FROM enc GROUP BY ALL),
 cs AS (SELECT qid, scope, unnest(cue) AS stem FROM kue),
 gt AS (SELECT cs.*, df <= greatest(floor(n * 0.25), 64) AS rare FROM cs JOIN dfs USING (scope, stem) JOIN siz USING (scope)),
-ga AS (SELECT *, bool_or(rare) OVER (PARTITION BY qid) AS some FROM gt),
-seed AS (SELECT qid, scope, idx, count(*)::DOUBLE AS act FROM ga JOIN post USING (scope, stem) WHERE rare OR NOT some GROUP BY ALL),
+ga AS (SELECT *, bool_or(rare) OVER (PARTITION BY qid) AS anyr FROM gt),
+seed AS (SELECT qid, scope, idx, count(*)::DOUBLE AS act FROM ga JOIN post USING (scope, stem) WHERE rare OR NOT anyr GROUP BY ALL),
 lk AS (SELECT scope, stem, df FROM dfs JOIN siz USING (scope) WHERE df >= 2 AND df <= greatest(floor(n * 0.25), 4) AND NOT list_contains({_set(lex.STOP_VALUE_STEMS)}, stem)),
 sg AS (SELECT a.qid, a.scope, q.idx, a.act * 0.5 / df AS sig FROM seed a JOIN post p ON p.scope = a.scope AND p.idx = a.idx JOIN lk ON lk.scope = p.scope AND lk.stem = p.stem JOIN post q ON q.scope = p.scope AND q.stem = p.stem AND q.idx <> a.idx WHERE a.act * 0.5 / df >= 1e-6),
 al AS (SELECT qid, scope, idx, sum(x) AS act, bool_or(sd) AS seed FROM (SELECT qid, scope, idx, act AS x, true AS sd FROM seed UNION ALL SELECT qid, scope, idx, sig, false FROM sg) GROUP BY ALL),

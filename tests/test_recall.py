@@ -6,7 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewell.operators import graph, recall, signals, store, turns
-from cuewell.operators.encode import encode
+from cuewell.operators.encode import encode as encode_facts
+from cuewell.plans.lineage import cut
+
+
+def encode(facts):
+    return cut(encode_facts(facts))
 
 
 def facts_of(spark, texts, scope="a"):
@@ -36,7 +41,7 @@ def test_relations_bind(spark):
 
 def test_chain(spark):
     ep = encode(facts_of(spark, ["Aurora owner is Marisol", "Marisol manager is Dana", "Dana timezone is WET", "Borealis owner is Quentin"]))
-    starts = spark.createDataFrame([(1, "a", "Aurora", ["owner", "manager", "timezone"]), (2, "a", "Borealis", ["owner", "manager"])], "qid long, scope string, start string, path array<string>")
+    starts = spark.createDataFrame([(1, "a", "Aurora", ["owner", "manager", "timezone"]), (2, "a", "Borealis", ["owner", "salary"])], "qid long, scope string, start string, path array<string>")
     got = {r["qid"]: (r["value"], r["trail"]) for r in recall.chain(starts, ep, 3).collect()}
     assert got[1] == ("WET", ["Aurora", "Marisol", "Dana", "WET"])
     assert got[2][0] is None and got[2][1][:2] == ["Borealis", "Quentin"]
