@@ -2,8 +2,8 @@
 
 All vectors are dealt into shards by a hash of their id; a shard's vectors form a ball tree.  The
 query set goes to every shard in blocks.  A node's inner product with a query is at most
-q.centre + |q| * radius; leaves are visited by that bound, highest first, until the bound falls
-below the query's current k-th score.  The k-th scores are shared: the query's home shard runs
+q.centre + |q| * radius; leaves are visited by that bound, highest first, by the queries whose bound
+reaches their current k-th score.  The k-th scores are shared: the query's home shard runs
 first, and its k-th score opens the search of every other shard.
 
 Vectors that are null, or hold null or non-finite components, take no part.  Components become
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .lineage import cut
 
-LEAF = 64
+LEAF = 512
 QUERY_BLOCK = 1024
 SHARD_ROWS = 32_768
 
@@ -52,42 +52,57 @@ def build_tree(x: np.ndarray):
 
 
 def search(tree, x, ids, q, q_ids, kth, k):
-    """Best k rows of one shard for a block of queries; kth: scores that a result must reach."""
+    """Pairs (query row, id, score) that hold the k best of one shard for a block of queries.
+
+    kth: scores that a result must reach.  Each query first visits the leaf of its highest bound;
+    then the block visits leaves by their highest bound, each leaf with the queries whose bound
+    reaches their k-th score, which rises as results come in.
+    """
     perm, offs, centre, radius = tree
     n, m = len(q), len(radius)
     norm = np.sqrt((q**2).sum(1))
     bound = q @ centre.T + norm[:, None] * radius[None, :]
     bound += 1e-6 * (1.0 + np.abs(bound))  # rounding of the bound itself
-    order = np.argsort(-bound, axis=1)
     kth = kth.astype(np.float64).copy()
-    top_s, top_i = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    for step in range(m):
-        leaf = order[:, step]
-        live = np.flatnonzero(bound[np.arange(n), leaf] >= kth)
-        if not len(live):
-            break
-        by = live[np.argsort(leaf[live], kind="stable")]
-        cuts = np.flatnonzero(np.diff(leaf[by])) + 1
-        for group in np.split(by, cuts):
-            a, b = offs[leaf[group[0]]], offs[leaf[group[0]] + 1]
-            rows = perm[a:b]
-            s = q[group] @ x[rows].T
-            c = np.broadcast_to(ids[rows], s.shape)
-            s = np.where(c == q_ids[group][:, None], -np.inf, s)
-            s, c = np.hstack([top_s[group], s]), np.hstack([top_i[group], c])
-            best = np.lexsort((c, -s), axis=1)[:, :k]
-            top_s[group], top_i[group] = np.take_along_axis(s, best, 1), np.take_along_axis(c, best, 1)
-            kth[group] = np.maximum(kth[group], top_s[group, k - 1])
-    return top_s, top_i
-
-
-def _matrix(blobs, lens) -> np.ndarray:
-    width = max(lens, default=0)
-    out = np.zeros((len(blobs), width))
-    for i, b in enumerate(blobs):
-        v = np.frombuffer(b, np.float64)
-        out[i, : len(v)] = v
-    return out
+    row, cid, sco = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    found: list[tuple] = []
+
+    def visit(leaf, live):
+        rows = perm[offs[leaf] : offs[leaf + 1]]
+        s = q[live] @ x[rows].T
+        r, c = np.nonzero(s >= kth[live][:, None])
+        r_q, c_id = live[r], ids[rows[c]]
+        other = c_id != q_ids[r_q]
+        found.append((r_q[other], c_id[other], s[r, c][other]))
+
+    def settle():
+        """Keeps each query's k best and raises its k-th score."""
+        nonlocal row, cid, sco
+        row = np.concatenate([row, *[f[0] for f in found]])
+        cid = np.concatenate([cid, *[f[1] for f in found]])
+        sco = np.concatenate([sco, *[f[2] for f in found]])
+        found.clear()
+        order = np.lexsort((cid, -sco, row))
+        row, cid, sco = row[order], cid[order], sco[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        full = place == k - 1
+        kth[row[full]] = np.maximum(kth[row[full]], sco[full])
+        keep = place < k
+        row, cid, sco = row[keep], cid[keep], sco[keep]
+
+    best = bound.argmax(1)
+    by = np.argsort(best, kind="stable")
+    for live in np.split(by, np.flatnonzero(np.diff(best[by])) + 1):
+        visit(best[live[0]], live)
+    settle()
+    for i, leaf in enumerate(np.argsort(-bound.max(0)).tolist()):
+        live = np.flatnonzero((bound[:, leaf] >= kth) & (best != leaf))
+        if len(live):
+            visit(leaf, live)
+        if i % 4 == 3:
+            settle()
+    settle()
+    return row, cid, sco
 
 
 def top_k(df, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shards: int = 0):
@@ -103,74 +118,69 @@ def top_k(df, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "emb
     member = rows.select(home.alias("shard"), "id", "x", F.lit(None).cast("long").alias("kth"))
     asked = rows.where(is_query(F.col("id")))
 
-    def run(phase):
-        def go(batches):
-            """One shard's rows: members first (kth null, role 0), then queries in blocks."""
-            cur, ids, xs, tree = None, [], [], None
+    def run(batches):
+        """One shard's rows: members first (kth null, role 0), then queries in blocks."""
+        cur, ids, xs, tree = None, [], [], None
+        q_ids, qs, kths = [], [], []
+
+        def flush():
+            nonlocal tree, ids, xs, q_ids, qs, kths
+            if not q_ids:
+                return
+            if tree is None:
+                width = max((len(v) for v in xs), default=0)
+                m = np.zeros((len(xs), width))
+                for i, v in enumerate(xs):
+                    m[i, : len(v)] = v
+                ids_a = np.array(ids, dtype=np.int64)
+                tree = (build_tree(m), m, ids_a)
+            t, m, ids_a = tree
+            q = np.zeros((len(qs), m.shape[1]))
+            for i, v in enumerate(qs):
+                w = min(len(v), m.shape[1])
+                q[i, :w] = v[:w]
+            qa = np.array(q_ids, dtype=np.int64)
+            ka = np.array([-np.inf if z is None else z for z in kths], dtype=np.float64)
             q_ids, qs, kths = [], [], []
-
-            def flush():
-                nonlocal tree, ids, xs, q_ids, qs, kths
-                if not q_ids:
-                    return
-                if tree is None:
-                    width = max((len(v) for v in xs), default=0)
-                    m = np.zeros((len(xs), width))
-                    for i, v in enumerate(xs):
-                        m[i, : len(v)] = v
-                    ids_a = np.array(ids, dtype=np.int64)
-                    tree = (build_tree(m), m, ids_a)
-                t, m, ids_a = tree
-                q = np.zeros((len(qs), m.shape[1]))
-                for i, v in enumerate(qs):
-                    w = min(len(v), m.shape[1])
-                    q[i, :w] = v[:w]
-                qa = np.array(q_ids, dtype=np.int64)
-                ka = np.array([-np.inf if z is None else z for z in kths], dtype=np.float64)
-                q_ids, qs, kths = [], [], []
-                if not len(m):
-                    return
-                s, c = search(t, m, ids_a, q, qa, ka, k)
-                ok = np.isfinite(s) & (s >= ka[:, None])
-                r, col = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(qa[r]), pa.array(c[r, col]), pa.array(s[r, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                sh = batch.column("shard").to_numpy()
-                role = batch.column("role").to_numpy()
-                idc = batch.column("id").to_numpy()
-                kc = batch.column("kth").to_pylist()
-                xc = batch.column("x")
-                flat, offs = xc.values.to_numpy(zero_copy_only=False), xc.offsets.to_numpy()
-                for i in range(len(sh)):
-                    if sh[i] != cur:
+            if not len(m):
+                return
+            r, c, s = search(t, m, ids_a, q, qa, ka, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qa[r]), pa.array(c), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            sh = batch.column("shard").to_numpy()
+            role = batch.column("role").to_numpy()
+            idc = batch.column("id").to_numpy()
+            kc = batch.column("kth").to_pylist()
+            xc = batch.column("x")
+            flat, offs = xc.values.to_numpy(zero_copy_only=False), xc.offsets.to_numpy()
+            for i in range(len(sh)):
+                if sh[i] != cur:
+                    yield from flush()
+                    cur, ids, xs, tree = sh[i], [], [], None
+                v = flat[offs[i] : offs[i + 1]]
+                if role[i] == 0:
+                    ids.append(idc[i])
+                    xs.append(v)
+                else:
+                    q_ids.append(idc[i])
+                    qs.append(v)
+                    kths.append(kc[i])
+                    if len(q_ids) >= QUERY_BLOCK:
                         yield from flush()
-                        cur, ids, xs, tree = sh[i], [], [], None
-                    v = flat[offs[i] : offs[i + 1]]
-                    if role[i] == 0:
-                        ids.append(idc[i])
-                        xs.append(v)
-                    else:
-                        q_ids.append(idc[i])
-                        qs.append(v)
-                        kths.append(kc[i])
-                        if len(q_ids) >= QUERY_BLOCK:
-                            yield from flush()
-            yield from flush()
-
-        return go
-
-    def visit(queries, phase):
+        yield from flush()
+
+    def visit(queries):
         both = member.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
         dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "role")
-        return dealt.mapInArrow(run(phase), "query_id long, vec_id long, score long")
+        return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    at_home = cut(visit(asked.select(home.alias("shard"), "id", "x", F.lit(None).cast("long").alias("kth")), "home"))
+    at_home = cut(visit(asked.select(home.alias("shard"), "id", "x", F.lit(None).cast("long").alias("kth"))))
     seen = at_home.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
     away = asked.join(seen, "id", "left").withColumn("shard", F.explode(others)).select("shard", "id", "x", "kth")
-    result = at_home if shards == 1 else at_home.unionByName(visit(away, "away"))
+    result = at_home if shards == 1 else at_home.unionByName(visit(away))
     return result.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
