@@ -153,7 +153,7 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 8, id_col: str = "id",
     unit = vectors.select(F.col(id_col).alias("id"), T.bind(norm(F.col(vec_col)), lambda n: F.transform(vec_col, lambda x: x / F.greatest(n, F.lit(1e-9)))).alias("u"))
     n = unit.count()
     if n == 0:
-        return unit.select("id", F.lit(0).alias("cluster"))
+        return unit.select("id", F.lit(0).cast("int").alias("cluster"))
     k = min(k, n)
     want = sorted({n * c // k for c in range(k)})
     centres = np.array(_rows_at(unit, want), dtype=np.float64)
@@ -180,11 +180,12 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 8, id_col: str = "id",
         size = np.maximum(np.linalg.norm(new, axis=1), 1e-9)
         centres = np.where((seen > 0)[:, None], new / size[:, None], centres)
 
-    @F.pandas_udf("int")
-    def nearest(u: pd.Series) -> pd.Series:
-        return pd.Series((np.vstack(u.to_numpy()) @ centres.T).argmax(1).astype(np.int32))
+    def nearest(batches):
+        for b in batches:
+            u = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, centres.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array((u @ centres.T).argmax(1).astype(np.int32))], names=["id", "cluster"])
 
-    return unit.select("id", nearest("u").alias("cluster"))
+    return unit.select("id", "u").mapInArrow(nearest, "id long, cluster int")
 
 
 def moments(vectors: DataFrame, vec_col: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
@@ -218,9 +219,10 @@ def project(vectors: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "
     axes = axes[:, order].T
     axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]  # largest entry positive
 
-    @F.pandas_udf("array<double>")
-    def coords(v: pd.Series) -> pd.Series:
-        return pd.Series(list((np.vstack(v.to_numpy()) - mean) @ axes.T))
-
-    return vectors.select(F.col(id_col).alias("id"), coords(vec_col).alias("coords")), value[order].tolist(), float(np.trace(cov))
+    def coords(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, len(mean))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(((x - mean) @ axes.T).tolist(), pa.list_(pa.float64()))], names=["id", "coords"])
 
+    out = vectors.select(F.col(id_col).alias("id"), vec_col).mapInArrow(coords, "id long, coords array<double>")
+    return out, value[order].tolist(), float(np.trace(cov))

@@ -61,7 +61,7 @@ def test_spread_reaches_the_end_only_unbounded(spark):
 def test_context_and_pages(spark):
     texts = [f"sentence number {i} talks about subject{i} at length" for i in range(12)]
     facts = facts_of(spark, texts)
-    got = recall.recall_context(ask(spark, ["subject6"]), encode(facts), facts, 4, 2, 3).collect()
+    got = recall.recall_context(ask(spark, ["subject6"]), encode(facts), facts, 1, 2, 3).collect()
     assert len(got) == 1 and (got[0]["start"], got[0]["hit_pos"], len(got[0]["facts"])) == (4, 2, 6)
     page = store.page(facts, 10, 5).collect()[0]
     assert page["total"] == 12 and page["facts"] == texts[10:]
