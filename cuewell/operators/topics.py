@@ -19,30 +19,35 @@ def vocabulary(texts: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return counts.join(F.broadcast(n)).where("df >= 2 AND df <= greatest(docs / 4, 64)").select("word", "df")  # one row
 
 
-def token_topics(texts: DataFrame, k: int, sweeps: int = 6, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, word, topic, n): topics of each text's words by coordinate ascent on the topic model.
+def token_topics(texts: DataFrame, k: int, sweeps: int = 12, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, word, topic, n): topics of each text's words by expectation and maximisation.
 
-    Words start from a hash; each sweep gives every word the topic of largest
-    (n_dk + alpha) (n_kw + beta) / (n_k + V beta) under the counts of the sweep before, all texts at
-    once.  Counts are sums, so a sweep is joins and aggregates, and its result doesn't depend on order.
+    A word's share of a topic starts from a hash.  Each sweep splits every token count among topics
+    in proportion to (n_dk + alpha) (n_kw + beta) / (n_k + V beta) under the counts of the sweep
+    before, all texts at once, and adds up the parts.  So a sweep is joins and sums, and its result
+    doesn't depend on order.
     """
     from ..plans.lineage import cut
 
     vocab = vocabulary(texts, id_col, text_col)
-    size = vocab.count()
+    size = max(1, vocab.count())
     tok = texts.select(F.col(id_col).alias("id"), F.explode(T.semantic_tokens(F.col(text_col))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     tok = cut(tok.join(vocab.select("word"), "word", "left_semi"))
-    now = tok.withColumn("topic", F.pmod(F.xxhash64("word"), F.lit(k)).cast("int"))
+    topics = range(k)
+    start = F.array(*[1.0 + F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000)) / 500.0 for i in topics])
+    kw = tok.select("word").distinct().withColumn("kw", start)
+    dk = tok.select("id").distinct().withColumn("dk", F.array(*[F.lit(1.0)] * k))
+    parts = [F.sum(F.col("n") * F.get("r", F.lit(i))) for i in topics]
     for _ in range(sweeps):
-        dk = now.groupBy("id", "topic").agg(F.sum("n").alias("n_dk"))
-        kw = now.groupBy("word", "topic").agg(F.sum("n").alias("n_kw"))
-        nk = now.groupBy("topic").agg(F.sum("n").alias("n_k"))  # k rows
-        options = dk.join(F.broadcast(nk), "topic")
-        scored = tok.join(options, "id").join(kw, ["word", "topic"], "left")
-        p = (F.col("n_dk") + ALPHA) * (F.coalesce("n_kw", F.lit(0)) + BETA) / (F.col("n_k") + size * BETA)
-        now = scored.groupBy("id", "word", "n").agg(F.max_by("topic", F.struct(F.round(p, 9), -F.col("topic"))).alias("topic"))
-        now = cut(now.select("id", "word", "n", "topic"))
-    return now
+        nk = kw.agg(F.array(*[F.sum(F.get("kw", F.lit(i))) for i in topics]).alias("nk"))  # one row
+        both = tok.join(kw, "word").join(dk, "id").join(F.broadcast(nk))
+        raw = F.array(*[(F.get("dk", F.lit(i)) + ALPHA) * (F.get("kw", F.lit(i)) + BETA) / (F.get("nk", F.lit(i)) + size * BETA) for i in topics])
+        both = both.withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda x, y: x + y))
+        now = cut(both.select("id", "word", "n", F.transform("raw", lambda x: x / F.col("sum")).alias("r")))
+        kw = now.groupBy("word").agg(F.array(*parts).alias("kw"))
+        dk = now.groupBy("id").agg(F.array(*parts).alias("dk"))
+    best = F.array_max(F.transform("r", lambda x, i: F.struct(F.round(x, 9).alias("x"), (-i).alias("i"))))
+    return now.select("id", "word", (-best["i"]).alias("topic"), "n")
 
 
 def mixture(assigned: DataFrame, k: int) -> DataFrame:

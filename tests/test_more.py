@@ -130,7 +130,7 @@ def test_topics(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "n" if i % 2 else "c", i, " ".join(rng.choice(net if i % 2 else cook, 4))) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, scope string, idx long, text string")
-    a = topics.token_topics(df, 4, 4)
+    a = topics.token_topics(df, 4, 12)
     assert {r["word"] for r in a.select("word").distinct().collect()} == set(net + cook)
     per = {(r["id"], r["topic"]) for r in topics.mixture(a, 4).where("rank = 1").collect()}
     assert not {t for i, t in per if i % 2} & {t for i, t in per if i % 2 == 0}
