@@ -36,8 +36,8 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The facts encoded, written once."""
-    return cut(encode(facts(spark, sf)).select("scope", "idx", "t", "strength", "key", "tok", "tok_stems", "c", "cand", "v", "raw", "s", "pos", "head", "self_flag"))
+    """The same facts encoded, written once for all that reads them."""
+    return cut(store.observe_encoded(messages(spark, sf)))
 
 
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,9 +50,8 @@ def order_facts(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.lit("orders").alias("scope"), "o_orderkey", F.posexplode(lines).alias("p", "t")).select("scope", (F.col("o_orderkey") * 2 + F.col("p")).alias("idx"), "t", F.lit(1.0).alias("strength"), F.lit(None).cast("string").alias("key"))
 
 
-def first_questions(spark: SparkSession, sf: str) -> DataFrame:
+def last_sentences(f: DataFrame) -> DataFrame:
     """One query for each conversation: its last sentence, asked of the conversation."""
-    f = facts(spark, sf)
     last = f.groupBy("scope").agg(F.max_by("t", "idx").alias("query"))
     return last.select(F.col("scope").cast("long").alias("qid"), "scope", "query")
 
@@ -167,15 +166,18 @@ def q_interned(spark, sf):
 
 
 def q_recall(spark, sf):
-    return recall.recall(first_questions(spark, sf), episodes(spark, sf)).select("qid", "fact", "idx", F.round("coverage", 9).alias("coverage"), "overlap", "exact")
+    e = episodes(spark, sf)
+    return recall.recall(last_sentences(e), e).select("qid", "fact", "idx", F.round("coverage", 9).alias("coverage"), "overlap", "exact")
 
 
 def q_recall_value(spark, sf):
-    return recall.recall(first_questions(spark, sf), episodes(spark, sf)).select("qid", "scope", "value", "echo")
+    e = episodes(spark, sf)
+    return recall.recall(last_sentences(e), e).select("qid", "scope", "value", "echo")
 
 
 def q_recall_many(spark, sf):
-    return recall.recall_many(first_questions(spark, sf), episodes(spark, sf), 5).select("qid", "rank", "idx", F.round("coverage", 9).alias("coverage"), "overlap", "exact")
+    e = episodes(spark, sf)
+    return recall.recall_many(last_sentences(e), e, 5).select("qid", "rank", "idx", F.round("coverage", 9).alias("coverage"), "overlap", "exact")
 
 
 def q_recall_orders(spark, sf):
@@ -187,12 +189,13 @@ def q_recall_orders(spark, sf):
 
 def q_spread(spark, sf):
     e = episodes(spark, sf)
-    s = graph.spread(first_questions(spark, sf), e, 8, 1)
+    s = graph.spread(last_sentences(e), e, 8, 1)
     return s.select("qid", "rank", "idx", "seed", F.round("act", 6).alias("act"))
 
 
 def q_spread_settled(spark, sf):
-    return graph.spread(first_questions(spark, sf), episodes(spark, sf), 8, 0).select("qid", "rank", "idx", "seed", "act")
+    e = episodes(spark, sf)
+    return graph.spread(last_sentences(e), e, 8, 0).select("qid", "rank", "idx", "seed", "act")
 
 
 def geography(spark, sf):
@@ -213,25 +216,26 @@ def q_chain(spark, sf):
 
 
 def q_sharded(spark, sf):
-    q = first_questions(spark, sf)
-    return recall.recall_sharded(q, episodes(spark, sf), 4).select("qid", "idx", "overlap", "exact", "shard")
+    e = episodes(spark, sf)
+    return recall.recall_sharded(last_sentences(e), e, 4).select("qid", "idx", "overlap", "exact", "shard")
 
 
 def q_assess(spark, sf):
-    a = recall.assess(first_questions(spark, sf), episodes(spark, sf))
+    e = episodes(spark, sf)
+    a = recall.assess(last_sentences(e), e)
     return a.select("qid", F.round("coverage", 9).alias("coverage"), "overlap", "exact", "n_hits")
 
 
 def q_context(spark, sf):
-    f = facts(spark, sf)
-    c = recall.recall_context(first_questions(spark, sf), episodes(spark, sf), f, 3, 1, 1)
+    e = episodes(spark, sf)
+    c = recall.recall_context(last_sentences(e), e, e, 3, 1, 1)
     return c.select("qid", "rank", "start", "hit_pos", F.array_join("facts", "\n").alias("facts"))
 
 
 def q_contested(spark, sf):
-    q = first_questions(spark, sf)
-    hits = recall.recall_many(q, episodes(spark, sf), 4)
-    return signals.contested(hits, q)
+    e = episodes(spark, sf)
+    q = last_sentences(e)
+    return signals.contested(recall.recall_many(q, e, 4), q)
 
 
 def trust_rounds(spark, sf):
@@ -332,7 +336,8 @@ def q_turns(spark, sf):
 
 
 def q_route(spark, sf):
-    return turns.route(recall.assess(first_questions(spark, sf), episodes(spark, sf))).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    e = episodes(spark, sf)
+    return turns.route(recall.assess(last_sentences(e), e)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_links(spark, sf):
@@ -369,9 +374,9 @@ def q_consolidate(spark, sf):
 
 def q_session(spark, sf):
     """Each conversation's sentences recalled in order, every hit strengthening its fact."""
-    f = facts(spark, sf)
-    q = f.select(F.col("idx").alias("qid"), "scope", F.col("idx").alias("seq"), F.col("t").alias("query"))
-    return adaptive.recall_session(q, episodes(spark, sf), 8.0)
+    e = episodes(spark, sf)
+    q = e.select(F.col("idx").cast("long").alias("qid"), "scope", F.col("idx").alias("seq"), F.col("t").alias("query"))
+    return adaptive.recall_session(q, e, 8.0)
 
 
 def q_session_links(spark, sf):

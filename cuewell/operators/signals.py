@@ -38,7 +38,7 @@ def contradiction(new: Column, old: Column, coverage: Column, overlap: Column) -
 
 def key_hash(text: Column) -> Column:
     """Identity of a fact across formatting: a hash of its normalised words."""
-    return F.lower(F.hex(F.xxhash64(F.array_join(T.norm_words(text), " "))))
+    return F.md5(F.array_join(T.norm_words(text), " "))
 
 
 def contested(hits: DataFrame, messages: DataFrame) -> DataFrame:

@@ -20,13 +20,20 @@ def family(scope: Column) -> Column:
     return F.regexp_extract(scope, r"^(.*?)(?:(?:::|__).*)?$", 1)
 
 
-def observe(messages: DataFrame) -> DataFrame:
-    """Messages (scope, seq, text) to facts: sentences without questions, in order."""
+def observe_encoded(messages: DataFrame) -> DataFrame:
+    """Messages (scope, seq, text) to encoded facts: sentences without questions, in order."""
     from .encode import encode
 
     parts = messages.select("scope", "seq", F.posexplode(T.sentences(F.col("text"), MAX_SENTENCES)).alias("place", "t"))
     kept = encode(parts.where(~F.contains("t", F.lit("?"))))
-    return number(kept.select("scope", "seq", "place", "t"), "seq", "place")
+    w = Window.partitionBy("scope").orderBy("seq", "place")
+    plain = {"idx": F.row_number().over(w) - 1, "strength": F.lit(1.0), "key": F.lit(None).cast("string")}
+    return kept.withColumns(plain).drop("seq", "place")
+
+
+def observe(messages: DataFrame) -> DataFrame:
+    """Messages to a facts table."""
+    return observe_encoded(messages).select(FACT)
 
 
 def number(rows: DataFrame, *order: str) -> DataFrame:

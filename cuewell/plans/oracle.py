@@ -213,6 +213,24 @@ fold(scope, topic, i, s) AS (
 ), st AS (SELECT scope, topic, arg_max(s, i) AS strength FROM fold GROUP BY ALL)"""
 
 
+def sharded(per: int) -> str:
+    """CTEs as WITH_RECALL, but every scope cut to shards of per facts, each asked its scope's question."""
+    return f"""WITH {SENT}, src AS (SELECT scope, seq AS o1, pos AS o2, t FROM sen WHERE NOT contains(t, '?')), {encoded('src', 'whole')},
+enc AS (SELECT scope || '#' || (idx // {per})::VARCHAR AS scope, idx, t, raw, c, s, ts, head, selfish FROM whole),
+lastq AS (SELECT scope AS home, arg_max(t, idx) AS query FROM whole GROUP BY scope),
+qs AS (SELECT home::BIGINT AS qid, scope, query FROM lastq JOIN (SELECT DISTINCT scope, split_part(scope, '#', 1) AS home FROM enc) USING (home)), {recall('qs')}"""
+
+
+def _copula(ws: str) -> str:
+    return f"list_min(list_filter(list_transform(['is', 'are', 'was', 'were'], lambda c: list_position({ws}, c)), lambda p: p > 0))"
+
+
+CONTESTED = f"""nw AS (SELECT h.scope, h.fact, qs.query, h.coverage, h.overlap, {norm_words('qs.query')} AS a, {norm_words('h.fact')} AS b FROM hits h JOIN qs USING (qid)),
+cp AS (SELECT *, {_copula('a')} AS pa, {_copula('b')} AS pb, list_has_any(a, {_set(lex.NEGATORS)}) AS na, list_has_any(b, {_set(lex.NEGATORS)}) AS nb FROM nw WHERE (overlap >= 3 OR coverage >= 0.6) AND len(a) > 0 AND len(b) > 0),
+vd AS (SELECT *, CASE WHEN na <> nb THEN 'negation'
+  WHEN pa > 1 AND pb > 1 AND array_to_string(a[1:pa - 1], ' ') = array_to_string(b[1:pb - 1], ' ') AND len(a) > pa AND len(b) > pb
+    AND len(list_filter(a[pa + 1:], lambda w: strlen(w) >= 3 AND list_contains(b[pb + 1:], w))) = 0 THEN 'value' END AS reason FROM cp)"""
+
 SQL: dict[str, str] = {
     "text_sentences": f"WITH {SENT} SELECT scope, seq, pos, t FROM sen",
     "text_words": f"WITH d AS (SELECT DISTINCT unnest({tokens('coalesce(text, ' + _q('') + ')')}) AS token FROM documents) SELECT token, {clean('token')} AS word, {clip('token')} AS clipped, {stem('(' + clean('token') + ')')} AS stem, {root('token')} AS root, {canon('token')} AS canon, {number('token')} AS number FROM d",
@@ -268,4 +286,24 @@ SELECT qid, rank, idx, seed, round(act, 6) AS act FROM rk WHERE rank <= 8""",
     "link_reads": "SELECT user_id::VARCHAR AS scope, event_type AS t, least(count(*), 2)::BIGINT AS served FROM events GROUP BY ALL",
     "adaptive_consolidate": f"WITH {FACT}, w AS (SELECT *, (idx % 4) * 0.5::DOUBLE AS eff, selfish AND list_contains(s, 'name') AS sf FROM enc), g AS (SELECT scope, min(idx) AS idx, count(*) AS merged, sum(eff) AS eff, arg_min(sf, idx) AS sf FROM w GROUP BY scope, s) SELECT scope, idx, merged, round(eff, 6) AS eff FROM g WHERE eff >= 0.4 OR sf",
     "pack_import": f"WITH {SENT}, n AS (SELECT scope, t, row_number() OVER (PARTITION BY scope ORDER BY seq, pos) + 1 AS line FROM sen), f AS (SELECT *, row_number() OVER (PARTITION BY scope, t ORDER BY line) AS r FROM n WHERE NOT starts_with(t, '#') AND NOT starts_with(t, '{{') AND NOT regexp_matches(t, '[\\x00-\\x1F]')) SELECT 'c' || scope AS scope, line, t FROM f WHERE r = 1",
+    "recall_sharded": f"""{sharded(4)}, {TOP1},
+fin AS (SELECT qid, idx, overlap, exact, split_part(scope, '#', 2)::BIGINT AS shard, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, overlap DESC, coverage DESC, split_part(scope, '#', 2)::BIGINT) AS r FROM top1)
+SELECT qid, idx, overlap, exact, shard FROM fin WHERE r = 1""",
+    "recall_context": f"""{WITH_RECALL}, {many(3)},
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, overlap DESC, coverage DESC, rank) AS k FROM hits),
+w AS (SELECT qid, any_value(scope) AS scope, max(idx) FILTER (WHERE k = 1) AS a, max(idx) FILTER (WHERE k = 2) AS b, max(idx) FILTER (WHERE k = 3) AS c FROM o GROUP BY qid),
+b2 AS (SELECT qid, scope, a, CASE WHEN abs(b - a) > 1 THEN b END AS b, c FROM w),
+b3 AS (SELECT qid, scope, a, b, CASE WHEN abs(c - a) > 1 AND (b IS NULL OR abs(c - b) > 1) THEN c END AS c FROM b2),
+pk AS (SELECT qid, scope, unnest(list_filter([a, b, c], lambda x: x IS NOT NULL)) AS idx, generate_subscripts(list_filter([a, b, c], lambda x: x IS NOT NULL), 1) - 1 AS rank FROM b3)
+SELECT qid, rank, greatest(pk.idx - 1, 0) AS start, pk.idx - greatest(pk.idx - 1, 0) AS hit_pos, string_agg(e.t, chr(10) ORDER BY e.idx) AS facts
+FROM pk JOIN enc e ON e.scope = pk.scope AND e.idx BETWEEN pk.idx - 1 AND pk.idx + 1 GROUP BY qid, rank, pk.idx""",
+    "contested_marks": f"""{WITH_RECALL}, {many(4)}, {CONTESTED}
+SELECT scope, md5(array_to_string(a, ' ')) AS hash, left(fact, 160) AS "with", reason FROM vd WHERE reason IS NOT NULL
+UNION SELECT scope, md5(array_to_string(b, ' ')), left(query, 160), reason FROM vd WHERE reason IS NOT NULL""",
+    "affect_directive": f"""WITH {stance(1.0, 0.9, 0.5)},
+fl AS (SELECT scope, topic, 'felt ' || max(seq)::VARCHAR AS feeling FROM nt GROUP BY ALL),
+md AS (SELECT scope, 'felt ' || max(seq)::VARCHAR AS mood, min(topic) AS asked FROM nt GROUP BY scope)
+SELECT md.scope, 'mood: ' || mood || ' view: ' || st.topic || ' (x' || round(strength)::BIGINT::VARCHAR || '): "' || feeling || '"' AS directive
+FROM md JOIN st ON st.scope = md.scope AND st.topic = md.asked JOIN fl ON fl.scope = st.scope AND fl.topic = st.topic""",
+    "link_measure": "SELECT user_id, min(event_type) AS chosen, count(DISTINCT event_type)::INT AS \"left\" FROM events GROUP BY user_id",
 }
