@@ -11,6 +11,7 @@ from ..functions import text as T
 
 LEARN, STALL, RELAX, LOW, HIGH = 0.25, 0.97, 0.01, 0.05, 8.0
 BUMP, DECAY, FLOOR, THRESHOLD = 1.0, 0.9, 0.5, 1.5
+CHUNK = 4096
 NEUTRAL = {k: 0.5 for k in ("openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism")} | {"reactivity": 1.0}
 
 
@@ -58,24 +59,30 @@ def class_of(fact: Column, scope: Column) -> Column:
     return F.when((F.size(toks) > 0) & stamped, "self").when(first != "", first).otherwise(F.lower(scope))
 
 
-def _trust_step(w: Column, delta: Column) -> Column:
+def _then(f: Column, delta: Column) -> Column:
+    """The map w -> clamp(a w + b, lo, hi) followed by one round's outcome; such maps compose."""
     d = F.least(F.abs(delta), F.lit(1.0))
-    moved = F.when(delta > 0, w * (1 + LEARN * d)).when(delta < 0, w * (1 - LEARN * d)).otherwise(w * STALL)
-    relaxed = moved + (1.0 - moved) * RELAX
-    return F.least(F.greatest(relaxed, F.lit(LOW)), F.lit(HIGH))
+    gain = F.when(delta > 0, 1 + LEARN * d).when(delta < 0, 1 - LEARN * d).otherwise(STALL)
+    slope = gain * (1 - RELAX)
+    move = lambda x: slope * x + RELAX
+    held = lambda x: F.least(F.greatest(move(x), F.lit(LOW)), F.lit(HIGH))
+    return F.struct((slope * f["a"]).alias("a"), move(f["b"]).alias("b"), held(f["lo"]).alias("lo"), held(f["hi"]).alias("hi"))
 
 
 def trust(rounds: DataFrame) -> DataFrame:
     """(round, class, delta) to (class, weight, rewards, penalties): a bounded fold in round order.
 
-    A class counts once a round.
+    A class counts once a round.  Rounds are folded in chunks of CHUNK, each into one clamped linear
+    map; a class then folds its maps.  So no list grows with a class's rounds, only with its chunks.
     """
-    once = rounds.groupBy("class", "round").agg(F.max("delta").alias("delta"))
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("round", "delta"))), lambda x: x["delta"])
-    by = once.groupBy("class").agg(seq.alias("ds"))
-    weight = F.aggregate("ds", F.lit(1.0), lambda w, d: _trust_step(w, d))
-    count = lambda f: F.size(F.filter("ds", f)).cast("long")
-    return by.select("class", weight.alias("weight"), count(lambda d: d > 0).alias("rewards"), count(lambda d: d < 0).alias("penalties"))
+    once = rounds.groupBy("class", "round").agg(F.max("delta").alias("delta")).withColumn("chunk", F.floor(F.col("round") / CHUNK))
+    count = lambda c: F.sum(c.cast("long"))
+    part = once.groupBy("class", "chunk").agg(F.array_sort(F.collect_list(F.struct("round", "delta"))).alias("ds"), count(F.col("delta") > 0).alias("rewards"), count(F.col("delta") < 0).alias("penalties"))
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    part = part.withColumn("f", F.aggregate("ds", same, lambda f, d: _then(f, d["delta"])))
+    whole = part.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"), F.sum("rewards").alias("rewards"), F.sum("penalties").alias("penalties"))
+    weight = F.aggregate("fs", F.lit(1.0), lambda w, x: F.least(F.greatest(x["f"]["a"] * w + x["f"]["b"], x["f"]["lo"]), x["f"]["hi"]))
+    return whole.select("class", weight.alias("weight"), "rewards", "penalties")
 
 
 def trust_rank(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
