@@ -27,6 +27,8 @@ DIMS = ["z1", "z2", "z3", "z4"]
 #: Smallest standard deviation of each transformed statistic that counts as spread.
 FLOORS = [0.12, 0.12, 0.25, 0.25]
 KEEP_SHARE, STEPS, SHRINK, TAIL = 0.75, 3, 30.0, 1e-6
+#: Groups whose parameters (some 200 bytes each) may be broadcast, and salts beyond that.
+FEW_GROUPS, SALTS = 10_000, 32
 
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -123,9 +125,21 @@ def _parameters(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return p.select(*keys, "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
 
 
+def _match(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what a written table says of their group.
+
+    A few groups are broadcast; beyond that their rows are dealt by group and a salt of the id, so a
+    group with a third of all rows is spread over SALTS tasks.
+    """
+    if groups.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), keys)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
 def _distance(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the row's group."""
-    out = rows.join(params, keys)
+    out = _match(rows, params, keys)
     for i, z in enumerate(DIMS):
         y = F.col(z) - F.col(f"m{i}")
         for k in range(i):
@@ -142,15 +156,15 @@ def _estimate(stats: DataFrame, keys: list[str]) -> DataFrame:
     d = len(DIMS)
     cut_at = chi2_quantile(KEEP_SHARE, d)
     scale = KEEP_SHARE / _chi2_cdf(cut_at, d + 2)
-    medians = stats.groupBy(*keys).agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"med{i}") for i, z in enumerate(DIMS)])
+    medians = cut(stats.groupBy(*keys).agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"med{i}") for i, z in enumerate(DIMS)]))
     near = F.lit(0.0)
     for i, z in enumerate(DIMS):
         near = near + ((F.col(z) - F.col(f"med{i}")) / FLOORS[i]) ** 2
-    ranked = stats.join(medians, keys).withColumn("d2", near).select(*stats.columns, "d2")
+    ranked = _match(stats, medians, keys).withColumn("d2", near).select(*stats.columns, "d2")
     params = None
     for _ in range(STEPS):
-        limit = ranked.groupBy(*keys).agg(F.percentile_approx("d2", KEEP_SHARE, 1000).alias("limit"))
-        close = ranked.join(limit, keys).where(F.col("d2") <= F.col("limit"))
+        limit = cut(ranked.groupBy(*keys).agg(F.percentile_approx("d2", KEEP_SHARE, 1000).alias("limit")))
+        close = _match(ranked, limit, keys).where(F.col("d2") <= F.col("limit"))
         params = cut(_parameters(_moments(close, keys), keys, scale))  # one row for each group
         ranked = _distance(stats, params, keys)
     return params

@@ -325,6 +325,14 @@ def test_quality_rules_reject_outliers(spark):
     assert not any(got[i]["kept"] for i, *_ in junk)
 
 
+def test_quality_rules_many_groups(docs, monkeypatch):
+    from cuewell.llm import quality_rules
+
+    few = {i: tuple(r) for i, r in rows(quality_rules.judge(docs)).items()}
+    monkeypatch.setattr(quality_rules, "FEW_GROUPS", 0)
+    assert {i: tuple(r) for i, r in rows(quality_rules.judge(docs)).items()} == few
+
+
 def test_html(spark):
     from cuewell.llm.html_extract import extract, extract_pages
 
