@@ -311,7 +311,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     table = cut(back.mapInArrow(_gather_documents, _DOC))
     # One document for each distinct set stands for its copies.
     hope = table.where(F.col("shared").isNotNull())
-    classes = hope.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    # Written first, so that the join below deals both sides anew and a class of very many copies is split.
+    classes = cut(hope.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     member = cut(hope.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "rep"))
     sets = cut(hope.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "alone", "shared"))
     entries = cut(sets.select("doc_id", "n", "alone", "shared").mapInArrow(_prefix, "h long, doc long, n long, p long"))
