@@ -332,7 +332,7 @@ def q_fusion(spark, sf):
 
 
 def q_turns(spark, sf):
-    return turns.classify(messages(spark, sf)).select("scope", "seq", "kind", "yes_no", "math")
+    return turns.classify(messages(spark, sf)).select("scope", "seq", "kind", "yes_no")
 
 
 def q_route(spark, sf):

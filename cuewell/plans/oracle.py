@@ -7,6 +7,7 @@ expressions over them.  Nothing here runs in Spark.
 from __future__ import annotations
 
 from ..functions import lexicon as lex
+from ..operators import turns as rules
 
 
 def _q(s: str) -> str:
@@ -231,6 +232,22 @@ vd AS (SELECT *, CASE WHEN na <> nb THEN 'negation'
   WHEN pa > 1 AND pb > 1 AND array_to_string(a[1:pa - 1], ' ') = array_to_string(b[1:pb - 1], ' ') AND len(a) > pa AND len(b) > pb
     AND len(list_filter(a[pa + 1:], lambda w: strlen(w) >= 3 AND list_contains(b[pb + 1:], w))) = 0 THEN 'value' END AS reason FROM cp)"""
 
+def _turns() -> str:
+    """CTEs of every message with its kind, by the order of the rules."""
+    some = lambda subs: "(" + " OR ".join(f"contains(l, {_q(x)})" for x in subs) + ")"
+    starts = lambda *pre: "(" + " OR ".join(f"starts_with(l, {_q(x)})" for x in pre) + ")"
+    signs = "replace(replace(replace(replace(' ' || l || ' ', ' divided by ', ' / '), ' plus ', ' + '), ' minus ', ' - '), ' times ', ' * ')"
+    trim = r"[?.!,;:''\"()\[\]{}]*"
+    math = rf"(^|\s){trim}([+-]?[0-9]{{1,15}}){trim}\s+([-+*/])\s+{trim}([+-]?[0-9]{{1,15}}){trim}(\s|$)"
+    return f"""{MESSAGES}, tu AS (SELECT scope, seq, trim(text) AS u, lower(trim(text)) AS l, list_transform({tokens('trim(text)')}, lambda w: {clean('w')}) AS w, lower(trim(coalesce({tokens('trim(text)')}[1], ''), '?,!')) AS f FROM msg),
+tf AS (SELECT *, list_has_any(w, ['my', 'i', 'im', 'mine']) AS mine, {_in('f', rules.YES_NO_WORDS)} OR contains(l, 'yes or no') AS yes_no, regexp_matches({signs}, '{math}') AND NOT contains(u, '=') AS sum FROM tu),
+tk AS (SELECT *, contains(u, '?') OR {_in('f', rules.ASK_WORDS)} OR yes_no AS ask, list_has_any(w, ['your', 'you', 'yours']) AND NOT mine AS about,
+  {starts('good morning', 'good afternoon', 'good evening')} OR {_in('f', rules.GREETINGS)} OR regexp_matches(f, '^(hi+|hey+|hello+|yo+|sup+|howdy+)$') AS greet FROM tf),
+td AS (SELECT scope, seq, yes_no, CASE WHEN about AND ({some(rules.SELF_NAME)} OR {some(rules.SELF_NATURE)}) THEN 'self'
+  WHEN greet OR {starts('lol', 'lmao', 'haha', 'hehe', 'thanks', 'thank you', 'thx', 'ty ', 'bye', 'goodbye', 'later', 'gtg', 'good night', 'goodnight')} OR l = 'ty' OR (ask AND {some(rules.HOW_ARE)}) OR ({_in('f', rules.COMMANDS)} AND NOT mine) THEN 'smalltalk'
+  WHEN sum THEN 'math' WHEN ask THEN 'question' ELSE 'statement' END AS kind FROM tk)"""
+
+
 SQL: dict[str, str] = {
     "text_sentences": f"WITH {SENT} SELECT scope, seq, pos, t FROM sen",
     "text_words": f"WITH d AS (SELECT DISTINCT unnest({tokens('coalesce(text, ' + _q('') + ')')}) AS token FROM documents) SELECT token, {clean('token')} AS word, {clip('token')} AS clipped, {stem('(' + clean('token') + ')')} AS stem, {root('token')} AS root, {canon('token')} AS canon, {number('token')} AS number FROM d",
@@ -306,4 +323,5 @@ md AS (SELECT scope, 'felt ' || max(seq)::VARCHAR AS mood, min(topic) AS asked F
 SELECT md.scope, 'mood: ' || mood || ' view: ' || st.topic || ' (x' || round(strength)::BIGINT::VARCHAR || '): "' || feeling || '"' AS directive
 FROM md JOIN st ON st.scope = md.scope AND st.topic = md.asked JOIN fl ON fl.scope = st.scope AND fl.topic = st.topic""",
     "link_measure": "SELECT user_id, min(event_type) AS chosen, count(DISTINCT event_type)::INT AS \"left\" FROM events GROUP BY user_id",
+    "turn_classify": f"WITH {_turns()} SELECT scope, seq, kind, yes_no FROM td",
 }
