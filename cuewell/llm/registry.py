@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": topk_search.SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op3_topk_search": topk_search.SQL}
