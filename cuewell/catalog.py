@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import adaptive, discriminant, graph, links, recall, signals, store, turns, vectors
+from .operators import adaptive, discriminant, graph, links, recall, secure, signals, store, topics, turns, vectors
 from .operators.encode import encode
 from .plans.lineage import cut
 from .sources import packs
@@ -392,6 +392,39 @@ def q_pack(spark, sf):
     return packs.import_pack(lines).select("scope", "line", "t")
 
 
+def q_across(spark, sf):
+    """Documents as sub-scopes of their source; each source is asked its first document's first sentence."""
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    e = cut(store.observe_encoded(d.select(F.concat_ws("__", "source", F.col("doc_id").cast("string")).alias("scope"), F.lit(0).alias("seq"), "text")))
+    source = F.split("scope", "__")[0]
+    q = e.where("idx = 0").groupBy(source.alias("scope")).agg(F.min_by("t", F.split(F.col("scope"), "__")[1].cast("long")).alias("query"))
+    q = q.select(F.regexp_extract("scope", "([0-9]+)$", 1).cast("long").alias("qid"), "scope", "query")
+    return recall.recall_across(q, e, 5).select("qid", "rank", "scope", "idx", "overlap", "exact")
+
+
+def q_secure(spark, sf):
+    """Each user's event values stored encrypted under a phrase, and asked back by it."""
+    e = events_keyed(spark, sf)
+    rows = e.select("scope", "seq", F.concat(F.lit("the last "), "key", F.lit(" value")).alias("phrase"), F.substring_index("text", " is ", -1).alias("value"))
+    asked = e.groupBy("scope", "key").agg(F.max("seq").alias("qid")).select("qid", "scope", F.concat(F.lit("what is the last "), "key", F.lit(" value")).alias("query"))
+    return secure.get(asked, secure.put(rows, b"an example secret"), b"an example secret").select("qid", "scope", "value")
+
+
+def q_topics(spark, sf):
+    m = messages(spark, sf).select(F.xxhash64("scope", "seq").alias("id"), "text")
+    return topics.mixture(topics.token_topics(m, 8, 6), 8)
+
+
+def q_teleport(spark, sf):
+    """Every order's fact moved over its link to its customer's."""
+    o = table(spark, sf, "orders")
+    fact = F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" is "), F.col("o_orderstatus"))
+    how = F.when(F.col("o_orderkey") % 2 == 0, "copy").otherwise("invert")
+    made = o.select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("src_scope"), fact.alias("src_text"), F.lit("customers").alias("dst_scope"), F.concat(F.lit("customer "), F.col("o_custkey")).alias("dst_text"), how.alias("classical"), F.lit(2).alias("ebits"))
+    asked = o.select(F.col("o_orderkey").alias("qid"), F.lit("orders").alias("scope"), fact.alias("fact"), F.col("o_orderkey").cast("string").alias("value"))
+    return links.teleport(asked, made).select("qid", "dst_fact", "value", "ebits_left")
+
+
 QUERIES = {
     "text_sentences": q_sentences, "text_words": q_words, "text_content": q_content, "text_semantic_tokens": q_semantic_tokens,
     "encode_facts": q_encode, "index_postings": q_postings, "scan_catalog": q_catalog, "scan_page": q_page, "scan_neighbours": q_neighbours,
@@ -404,7 +437,7 @@ QUERIES = {
     "vector_cosine": q_cosine, "vector_quantize": q_quantize, "vector_cooccurrence": q_cooccurrence, "vector_context": q_context_vectors,
     "vector_kmeans": q_kmeans, "vector_project": q_project, "discriminant_axis": q_axis, "turn_classify": q_turns, "turn_route": q_route,
     "link_partners": q_links, "link_invert": q_invert, "link_measure": q_measure, "link_reads": q_reads, "adaptive_consolidate": q_consolidate,
-    "adaptive_session": q_session, "adaptive_links": q_session_links, "pack_import": q_pack,
+    "adaptive_session": q_session, "adaptive_links": q_session_links, "pack_import": q_pack, "recall_across": q_across, "secure_values": q_secure, "topic_mixture": q_topics, "link_teleport": q_teleport,
 }
 
 

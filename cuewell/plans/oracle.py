@@ -324,4 +324,15 @@ SELECT md.scope, 'mood: ' || mood || ' view: ' || st.topic || ' (x' || round(str
 FROM md JOIN st ON st.scope = md.scope AND st.topic = md.asked JOIN fl ON fl.scope = st.scope AND fl.topic = st.topic""",
     "link_measure": "SELECT user_id, min(event_type) AS chosen, count(DISTINCT event_type)::INT AS \"left\" FROM events GROUP BY user_id",
     "turn_classify": f"WITH {_turns()} SELECT scope, seq, kind, yes_no FROM td",
+    "recall_across": f"""WITH dm AS (SELECT source || '__' || doc_id::VARCHAR AS scope, text FROM documents WHERE text IS NOT NULL),
+d0 AS (SELECT scope, {sentences('text')} AS l FROM dm), sen AS (SELECT scope, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS t FROM d0),
+src AS (SELECT scope, 0 AS o1, pos AS o2, t FROM sen WHERE NOT contains(t, '?')), {encoded('src')},
+bq AS (SELECT split_part(scope, '__', 1) AS base, arg_min(t, split_part(scope, '__', 2)::BIGINT) AS query FROM enc WHERE idx = 0 GROUP BY ALL),
+qs AS (SELECT regexp_extract(base, '([0-9]+)$', 1)::BIGINT AS qid, scope, query FROM bq JOIN (SELECT DISTINCT scope, split_part(scope, '__', 1) AS base FROM enc) USING (base)),
+{recall('qs')}, {many(5)},
+fin AS (SELECT qid, scope, idx, overlap, exact, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, overlap DESC, coverage DESC, scope, rank) AS rank FROM hits)
+SELECT qid, rank, scope, idx, overlap, exact FROM fin WHERE rank <= 5""",
+    "secure_values": f"WITH {EVK} SELECT seq AS qid, scope, string_split(t, ' is ')[2] AS value FROM el WHERE r = 1",
+    "link_teleport": """SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN 'order ' || o_orderkey || ' is ' || o_orderstatus ELSE 'order ' || (-o_orderkey) || ' is ' || o_orderstatus END AS dst_fact,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR ELSE (-o_orderkey)::VARCHAR END AS value, 1 AS ebits_left FROM orders""",
 }
