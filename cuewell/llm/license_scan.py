@@ -1,11 +1,12 @@
 """Operator 4: licence scan with a positional rare-token index.
 
-Templates are word sequences.  An index holds, for each template word, its postings (template,
-position).  Words get their inverse document frequency from the whole corpus (one counting pass
-over the template vocabulary).  A file is scanned from its rarest licence words: each occurrence
-votes, by its postings, for (template, file position - template position); votes at the same
-relative position intersect.  A template is reported when the words at that alignment agree well
-enough and one of its mandatory phrases stands there whole.
+Templates are word sequences, kept by the position of each word.
+Words get their inverse document frequency from the whole corpus (one counting pass
+over the template vocabulary).  Each template is looked for around every place of its mandatory
+phrases: its rarest words vote there for file position - template position.  They are so many that
+the other words together can't reach the least agreement, so no alignment is missed, whatever else
+the file holds.  A template is reported when the words at an alignment agree well enough and one of
+its mandatory phrases stands there whole.
 
 Base phrases are found at every place.  Null or empty text: no words, score 0.  Repeats count each.
 """
@@ -62,8 +63,9 @@ TEMPLATES = {
 
 #: Words are runs of a-z, 0-9 and anything beyond ASCII, after lower-casing A-Z.
 SCAN_BYTES = separator_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
-N_RARE = 4
 MIN_AGREE = 0.6
+#: Phrase places looked at together.
+PLACES = 1024
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -74,18 +76,13 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Template words, their postings and the phrases, all by word hash."""
+    """Template words by position and the phrases, all by word hash."""
 
     def __init__(self):
         self.templates = [(label, _hash_words(text.split()), [_hash_words(p.split()) for p in must]) for label, forms in TEMPLATES.items() for must, text in forms]
         self.base = [(label, _hash_words(p.split())) for p, label in BASE_PHRASES.items()]
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for pos, h in enumerate(words.tolist()):
-                postings.setdefault(h, []).append((t, pos))
-        self.postings = postings
-        extra = {h for _, p in self.base for h in p.tolist()} | {h for _, _, ps in self.templates for p in ps for h in p.tolist()}
-        self.vocab = np.array(sorted(set(postings) | extra), dtype=np.uint64)
+        extra = {h for _, words, _ in self.templates for h in words.tolist()} | {h for _, p in self.base for h in p.tolist()} | {h for _, _, ps in self.templates for p in ps for h in p.tolist()}
+        self.vocab = np.array(sorted(extra), dtype=np.uint64)
 
 
 def _stream(batches, index: Index):
@@ -142,29 +139,39 @@ def _phrase_places(number: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at
 
 
-def _scan_file(words: np.ndarray, lo: int, hi: int, rank: np.ndarray, idf: np.ndarray, posts, templates):
-    """Labels and the best agreement of one file, from its rarest licence words."""
-    present = np.unique(words[lo:hi])
-    present = present[present >= 0]
-    rare = present[np.argsort(rank[present], kind="stable")][:N_RARE]
-    votes = set()
-    for p in np.flatnonzero(np.isin(words[lo:hi], rare)).tolist():
-        votes.update((t, p - pos) for t, pos in posts.get(int(words[lo + p]), ()))
+def _rarest(seq: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Positions of a template's rarest words, so many that no alignment without any of them agrees enough."""
+    weight = idf[seq]
+    order = np.argsort(-weight, kind="stable")
+    left = weight.sum() - np.cumsum(weight[order])
+    return order[: int(np.argmax(left < (MIN_AGREE - 1e-6) * weight.sum())) + 1]
+
+
+def _scan_file(words: np.ndarray, lo: int, hi: int, idf: np.ndarray, templates, places):
+    """Labels and the best agreement of one file: each template's rarest words vote near its mandatory phrases.
+
+    places: for each template the (start, length) pairs of its mandatory phrases in the file.
+    """
     best, labels = 0.0, set()
-    for t, shift in votes:
-        label, seq, must = templates[t]
-        k = np.arange(len(seq))
-        inside = (k + shift >= 0) & (k + shift < hi - lo)
-        agree = np.zeros(len(seq), bool)
-        agree[inside] = words[lo + shift + k[inside]] == seq[inside]
+    for t, (label, seq, _, rare) in enumerate(templates):
         weight = idf[seq]
-        score = float(weight[agree].sum() / weight.sum()) if weight.sum() > 0 else 0.0
-        if score < MIN_AGREE:
-            continue
-        a, b = max(lo, lo + shift - 8), min(hi, lo + shift + len(seq) + 8)
-        if any(len(_phrase_places(words[a:b], m)) for m in must):
-            labels.add(label)
-            best = max(best, score)
+        for k in range(0, len(places[t]), PLACES):
+            # An alignment holds a phrase when it starts between these two.
+            near = np.unique(np.concatenate([np.arange(p + m - 8 - len(seq), p + 9) for p, m in places[t][k : k + PLACES]]))
+            votes = []
+            for pos in rare.tolist():
+                at = near + pos
+                inside = (at >= lo) & (at < hi)
+                votes.append(near[inside][words[at[inside]] == seq[pos]])
+            shifts = np.unique(np.concatenate(votes))
+            if not len(shifts):
+                continue
+            at = shifts[:, None] + np.arange(len(seq))
+            agree = (at >= lo) & (at < hi) & (words[np.clip(at, lo, hi - 1)] == seq)
+            score = float((agree * weight).sum(axis=1).max() / weight.sum())
+            if score >= MIN_AGREE:
+                labels.add(label)
+                best = max(best, score)
     return labels, best
 
 
@@ -177,13 +184,10 @@ def scan(df, id_col: str = "doc_id", text_col: str = "text"):
         num = {h: i for i, h in enumerate(index.vocab.tolist())}
         n_docs = max(1, counts.get(-1) or 0)
         idf = np.log((1 + n_docs) / (1 + np.array([counts.get(i, 0) for i in range(len(num))]))) + 1e-9
-        rank = -idf
         as_num = lambda hs: np.array([num[h] for h in hs.tolist()])
         templates = [(label, as_num(words), [as_num(m) for m in must]) for label, words, must in index.templates]
-        posts = {num[h]: v for h, v in index.postings.items()}
+        templates = [(label, seq, must, _rarest(seq, idf)) for label, seq, must in templates]
         base = [(label, as_num(p)) for label, p in index.base]
-        # A template can only stand where a mandatory phrase's rarest word does.
-        anchors = np.unique(np.array([min(m.tolist(), key=lambda w: (rank[w], w)) for _, _, ms in templates for m in ms]))
         for batch, lo, hi, number, rows in _stream(batches, index):
             n = hi - lo
             n_base, first, last = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
@@ -199,9 +203,17 @@ def scan(df, id_col: str = "doc_id", text_col: str = "text"):
                     base_labels[d].add(label)
             labels, score = [set(x) for x in base_labels], np.zeros(n)
             score[[bool(x) for x in base_labels]] = 1.0
-            hit = np.flatnonzero(np.isin(number, anchors))
-            for d in np.unique(np.searchsorted(rows, hit, "right") - 1).tolist():
-                found, best = _scan_file(number, rows[d], rows[d + 1], rank, idf, posts, templates)
+            # A template can only stand where one of its mandatory phrases does.
+            places: dict[int, list] = {}
+            for t, (_, _, must, _) in enumerate(templates):
+                for m in must:
+                    at = _phrase_places(number, m)
+                    doc = np.searchsorted(rows, at, "right") - 1
+                    ok = at + len(m) <= rows[doc + 1]
+                    for p, d in zip(at[ok].tolist(), doc[ok].tolist(), strict=True):
+                        places.setdefault(d, [[] for _ in templates])[t].append((p, len(m)))
+            for d, where in places.items():
+                found, best = _scan_file(number, rows[d], rows[d + 1], idf, templates, where)
                 labels[d] |= found
                 score[d] = max(score[d], best)
             none = n_base == 0

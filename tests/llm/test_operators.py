@@ -241,6 +241,40 @@ def test_license_scan(docs, empty):
     assert scan(empty).collect() == []
 
 
+def test_license_scan_several_notices(spark):
+    import math
+
+    from cuewell.llm.license_scan import MIN_AGREE, TEMPLATES, scan
+
+    forms = [(label, must, text) for label, group in TEMPLATES.items() for must, text in group]
+    rng = random.Random(6)
+    texts = [f"{a[2]} {b[2]}" for a in forms for b in forms if a is not b]
+    texts += [f"{a[2]} {' '.join(['charge person conditions forms'] * 3)} {b[2]} {a[2]}" for a, b in zip(forms, forms[::-1], strict=True)]
+    for _ in range(60):  # words lost, added and swapped
+        w = " ".join(text for *_, text in rng.sample(forms, 3)).split()
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["and", w[k]], ["x"], [w[k], w[k]]])
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    held = [t.split() for t in texts]
+    idf = {x: math.log((1 + len(held)) / (1 + sum(x in w for w in map(set, held)))) + 1e-9 for *_, text in forms for x in text.split()}
+    base = {i: set(r["base_labels"].split(",")) - {""} for i, r in got.items()}
+    for i, w in enumerate(held):
+        labels, best = set(base[i]), float(bool(base[i]))
+        for label, must, text in forms:
+            seq = text.split()
+            total = sum(idf[x] for x in seq)
+            for s in range(-len(seq), len(w)):
+                score = sum(idf[x] for k, x in enumerate(seq) if 0 <= k + s < len(w) and w[k + s] == x) / total
+                near = " ".join(w[max(0, s - 8) : max(0, s + len(seq) + 8)])
+                if score >= MIN_AGREE and any(f" {m} " in f" {near} " for m in must):
+                    labels.add(label)
+                    best = max(best, score)
+        assert set(got[i]["labels"].split(",")) - {""} == labels, texts[i]
+        assert got[i]["score"] == pytest.approx(min(best, 1.0)), texts[i]
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
