@@ -2,8 +2,10 @@
 
 The standard library's parser gives events; each block of text becomes a line with its length, its
 number of tags and the containers around it.  Text-to-tag ratios are smoothed with a Gaussian along
-the page and split into two clusters by an iterated threshold; the lines of the high cluster vote
-for the container that holds the content, and all blocks of that container count, in page order.
+the page and split into two clusters by an iterated threshold.  Pages with article or main elements
+give the blocks of all of them.  Elsewhere the lowest container around every line of the high
+cluster and the heading before them holds the content, and all its blocks count, in page order; a
+list, table, quote or figure is never that container.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments never do.
 
 Map-only: one page at a time.  Null or empty html, or a page without content: empty text.
@@ -23,6 +25,9 @@ SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object",
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "header"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "table", "tbody", "td", "ul", "ol", "dl", "center", "blockquote", "figure"} | BOILERPLATE
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "thead", "tfoot", "caption", "pre", "hr", "address", "figcaption", "details", "summary", "fieldset", "legend", "br", "option"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Containers that are parts of a text, never the whole of it.
+PARTS = {"table", "tbody", "td", "ul", "ol", "dl", "blockquote", "figure"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words of class, id and role attributes that mark a container as no part of the article.
 MARKS = {
@@ -52,22 +57,23 @@ def _marked(tag: str, attrs) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text, tags, container path, boilerplate]."""
+    """Collects lines: [text, tags, container path, boilerplate, heading]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # open containers: name, number, boilerplate
         self.kinds: dict[int, str] = {}
         self.silent: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
         self.buf: list[str] = []
+        self.heading = False
         self.tags, self.count = 0, 0
 
     def _flush(self):
         text = _SPACE.sub(" ", "".join(self.buf)).strip()
         self.buf.clear()
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), any(b for *_, b in self.stack)))
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), any(b for *_, b in self.stack), self.heading))
         self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -83,6 +89,7 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._flush()
+            self.heading = tag in HEADINGS or (self.heading and tag == "br")
         self.tags += 1
         if tag in CONTAINERS and tag not in VOID:
             inside = any(name in ("article", "main") for name, *_ in self.stack)
@@ -102,6 +109,7 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._flush()
+            self.heading = False
         self.tags += 1
         if tag in CONTAINERS:
             for i in range(len(self.stack) - 1, -1, -1):
@@ -155,27 +163,21 @@ def extract(html: str | None) -> str:
         return ""
     smooth = _smooth([len(t) / max(1, tags) for t, tags, *_ in lines])
     limit = _threshold(smooth)
-    mass: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    total = 0.0
-    for (text, _, path, _), v in zip(lines, smooth, strict=True):
-        weight = len(text) if v >= limit else 0.1 * len(text)
-        total += weight
-        for d, node in enumerate(path):
-            mass[node] = mass.get(node, 0.0) + weight
-            depth[node] = d
-    named = [n for n in mass if parser.kinds[n] in ("article", "main")]
+    named = {n for _, _, path, *_ in lines for n in path if parser.kinds[n] in ("article", "main")}
     if named:
-        # Innermost named containers; those with at least half of the heaviest one's mass.
-        outer = {a for _, _, path, _ in lines for i, a in enumerate(path) if any(parser.kinds[b] == "article" for b in path[i + 1 :])}
-        inner = [n for n in named if not (parser.kinds[n] == "main" and n in outer)] or named
-        most = max(mass[n] for n in inner)
-        chosen = {n for n in inner if 2 * mass[n] >= most}
-    else:
-        chosen = {max((n for n in mass if mass[n] >= 0.8 * total), key=lambda n: depth[n], default=None)}
-        if None in chosen:
-            return "\n".join(x[0] for x in lines)
-    return "\n".join(t for t, _, path, _ in lines if chosen & set(path))
+        # All of them, but for a main element around articles, which count instead.
+        outer = {a for _, _, path, *_ in lines for i, a in enumerate(path) if any(parser.kinds[b] == "article" for b in path[i + 1 :])}
+        chosen = {n for n in named if not (parser.kinds[n] == "main" and n in outer)}
+        return "\n".join(t for t, _, path, *_ in lines if chosen & set(path))
+    high = [i for i, v in enumerate(smooth) if v >= limit] or list(range(len(lines)))  # equal ratios may all round below
+    high += [i for i in range(high[0]) if lines[i][4]][-1:]
+    common = lines[high[0]][2]
+    for i in high:
+        same = [a == b for a, b in zip(common, lines[i][2], strict=False)]
+        common = common[: (same + [False]).index(False)]
+    while common and parser.kinds[common[-1]] in PARTS:
+        common = common[:-1]
+    return "\n".join(t for t, _, path, *_ in lines if path[: len(common)] == common)
 
 
 def extract_pages(df, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):

@@ -387,6 +387,23 @@ def test_html(spark):
     assert extract_pages(df.limit(0)).collect() == []
 
 
+def test_html_keeps_whole_texts():
+    from cuewell.llm.html_extract import extract
+
+    paragraphs = [f"short paragraph of text {i:02d}" for i in range(40)]
+    quote = "words of a quote " * 58
+    page = "<div><h1>A heading</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"<{{0}}>{quote}</{{0}}></div><nav>Home</nav>"
+    for tag in ("blockquote", "figure", "ul", "table"):
+        assert extract(page.replace("{0}", tag)).split("\n") == ["A heading", *paragraphs, quote.strip()], tag
+    body = "".join(f"<p>{quote}</p>" for _ in range(3))
+    for h in ("h1", "h2"):
+        text = extract(f"<body><div>menu</div><div><{h}>A<br>heading</{h}><p>By someone<p><a>x</a><a>y</a><a>z</a><div class=body>{body}</div></div></body>")
+        assert text.startswith("A\nheading\nBy someone"), text[:60]
+        assert text.count(quote.strip()) == 3
+    assert extract(f"<article>{quote}</article><article>a short one</article><aside><article>advert</article></aside>") == f"{quote.strip()}\na short one"
+    assert extract("<p>a</p><p>b</p><p>c</p>" * 3) == "\n".join("abc" * 3)
+
+
 def test_byte_bpe(docs, empty):
     import public_tokenizers
     import tiktoken
