@@ -52,11 +52,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int):
-    """Of a block: (row, anchor hash, first and last start that it anchors, marked, dropped)."""
+    """Of a block: (row, anchor hash, first and last start that it anchors, last marked start, dropped)."""
     none = np.zeros(0, np.int64)
     sizes = offs[1:] - offs[:-1]
     if len(data) < length or sizes.max(initial=0) < length:
-        return none, none.astype(np.uint64), none, none, none.astype(bool), none.astype(bool)
+        return none, none.astype(np.uint64), none, none, none, none.astype(bool)
     p = prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
     h = span_hashes(p, at, at + GRAM)
@@ -79,9 +79,10 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int):
     if len(j):
         back = n[j - 1]
         equal[j] = (whole(s1[j]) == whole(s1[j] - back)) & (whole(s2[j]) == whole(s2[j] - back))
-    marked = equal.copy()
-    marked[:-1] |= equal[1:] & (n[1:] == n[:-1])
-    return row, f, s1 - offs[row], s2 - offs[row], marked, equal
+    # Marked: the equal run, and as many first strings of the run before it.
+    many = np.where(equal, n, 0)
+    many[:-1] = np.maximum(many[:-1], many[1:])
+    return row, f, s1 - offs[row], s2 - offs[row], s1 - offs[row] + many - 1, equal
 
 
 _ANCHOR = "f long, doc long, s1 long, s2 long, mark boolean"
@@ -92,11 +93,11 @@ def _anchor_rows(length: int):
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, data, offs in blocks(b.column(1)):
-                row, f, s1, s2, mark, drop = anchors(data, offs, length)
+                row, f, s1, s2, until, drop = anchors(data, offs, length)
                 doc = keys[lo:hi][row]
-                for x, as_mark in ((~drop, False), (mark, True)):
+                for x, last, as_mark in ((~drop, s2, False), (until >= s1, until, True)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(f[x].view(np.int64)), pa.array(doc[x]), pa.array(s1[x]), pa.array(s2[x]), pa.array(np.full(int(x.sum()), as_mark))],
+                        [pa.array(f[x].view(np.int64)), pa.array(doc[x]), pa.array(s1[x]), pa.array(last[x]), pa.array(np.full(int(x.sum()), as_mark))],
                         names=["f", "doc", "s1", "s2", "mark"],
                     )
 

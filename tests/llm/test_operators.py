@@ -112,6 +112,34 @@ def test_suffix_dedup(docs, empty):
     assert dedup(empty).collect() == []
 
 
+def removed(texts, n):
+    """For each text the bytes that an n-byte string covers which starts twice, found one by one."""
+    seen = Counter(b[k : k + n] for b in texts for k in range(len(b) - n + 1))
+    out = []
+    for b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if seen[b[k : k + n]] > 1:
+                gone[k : k + n] = b"\1" * n
+        out.append(sum(gone))
+    return out
+
+
+def test_suffix_dedup_periods(spark):
+    from cuewell.llm.suffix_dedup import dedup
+
+    rng = random.Random(8)
+    texts = []
+    for period in range(1, 176):
+        for size in {200 + period + d for d in (-1, 0, 1, period // 2, period - 2, period - 1, period, 2 * period + 3)}:
+            unit = "".join(rng.choice("abcdefghijklmnop") for _ in range(period))  # its smallest window stands at any phase
+            texts.append((unit * (size // period + 1))[: max(0, size)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = rows(dedup(df, length=200))
+    want = removed([t.encode() for t in texts], 200)
+    assert [got[i]["n_removed"] for i in range(len(texts))] == want
+
+
 def test_suffix_dedup_salted_groups(docs, monkeypatch):
     from cuewell.llm import suffix_dedup
 
