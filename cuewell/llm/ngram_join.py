@@ -15,7 +15,8 @@ still in different components, under the bounds on size and position.  Overlaps
 full in both.  So links are exact, while a group of k near copies costs about k counts, not k * k.
 
 Null or empty text, or text of white space only: an empty set, linked with nothing.  Fewer than
-five words: the whole sequence is the one shingle.  Repeated rows are equal sets.
+five words: the whole sequence is the one shingle.  Repeated rows are equal sets.  Rows with a null
+id come back once each with their number of shingles, linked with nothing (component_id null).
 """
 
 from __future__ import annotations
@@ -300,13 +301,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     return both.mapInArrow(_count_overlaps, "a long, b long")
 
 
+def _nameless(batches):
+    """Rows without id: their numbers of shingles."""
+    for b in batches:
+        for lo, hi, data, offs in blocks(b.column(1)):
+            _, ends = shingles(data, offs)
+            none = pa.nulls(hi - lo, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array((ends[1:] - ends[:-1]).astype(np.int64)), none], names=["doc_id", "n_shingles", "component_id"])
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (2 * parts - 1).bit_length())
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    nameless = rows.where(F.col("doc_id").isNull()).mapInArrow(_nameless, "doc_id long, n_shingles long, component_id long")
+    dealt = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(_count_columns(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     table = cut(back.mapInArrow(_gather_documents, _DOC))
     # One document for each distinct set stands for its copies.
@@ -337,7 +348,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Roots are smallest representatives, and a representative is the smallest of its copies.
     whole = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

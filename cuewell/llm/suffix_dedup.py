@@ -18,7 +18,8 @@ Every byte that a ``length``-byte string covers goes if that string also starts
 4. Salted groups of one hash hand on one hash for each string that they saw, which decides strings
    that repeat across groups only.
 
-Null text is empty.  Texts shorter than ``length`` bytes lose nothing.  Ids are taken as unique.
+Null text is empty.  Texts shorter than ``length`` bytes lose nothing.  Ids are taken as unique, but
+for null ids: each such row counts as a document of its own and keeps its null id.
 """
 
 from __future__ import annotations
@@ -354,16 +355,34 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     return every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def _with_keys(rows: DataFrame):
+    """Rows with a key each in doc_id, for null ids one beyond all ids; and the column that is the id again."""
+    known = rows.where(F.col("doc_id").isNotNull())
+    nulls = cut(rows.where(F.col("doc_id").isNull()).withColumn("doc_id", F.monotonically_increasing_id()))
+    most = nulls.agg(F.max("doc_id")).first()[0]
+    if most is None:
+        return known, F.col("doc_id")
+    lo, hi = known.agg(F.min("doc_id"), F.max("doc_id")).first()
+    first = 0 if hi is None else hi + 1
+    if first + most >= 2**63:
+        first = lo - 1 - most
+    if first < -(2**63):
+        raise ValueError("ids leave no room for keys of the rows without id")
+    keyed = nulls.withColumn("doc_id", F.col("doc_id") + F.lit(first).cast("long"))
+    return known.unionByName(keyed), F.when(~F.col("doc_id").between(first, first + most), F.col("doc_id"))
+
+
 def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, (with_text) kept_text, and columns in keep."""
     keep = keep or []
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    rows, own_id = _with_keys(rows)
     spans = repeated_ranges(rows.select("doc_id", "text"), length)
     texts = rows.repartition(parts, "doc_id")
     joined = texts.join(spans, texts["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans", *[f"k_{c}" for c in keep])
     kept = "".join(f", `{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema.fields[2:], strict=True))
-    out = joined.mapInArrow(_cut_rows(length, with_text, keep), _OUT + kept)
+    out = joined.mapInArrow(_cut_rows(length, with_text, keep), _OUT + kept).withColumn("doc_id", own_id)
     return out if with_text else out.drop("kept_text")
 
 

@@ -148,6 +148,24 @@ def test_suffix_dedup_salted_groups(docs, monkeypatch):
     assert {i: r["kept_sha256"] for i, r in rows(suffix_dedup.dedup(docs)).items()} == {i: r["kept_sha256"] for i, r in whole.items()}
 
 
+def test_null_ids_stay(spark):
+    from cuewell.llm import ngram_join, suffix_dedup
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(70))
+    texts = [f"{word()} {passage} {word()}", f"{word()} {word()} {passage}", "few words", None, " ".join(word() for _ in range(90)), passage * 2]
+    want = removed([(t or "").encode() for t in texts], 400)
+    n = [len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) > 4 else int(bool(w)) for w in ((t or "").split() for t in texts)]
+    for ids in ([None, 2**63 - 1, None, None, 7, None], [None, -(2**63), None, None, 7, None], [None] * 6):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        key = lambda r: (str(r[0]), r[1:])
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(df).collect()]
+        assert sorted(got, key=key) == sorted(zip(ids, [len((t or "").encode()) for t in texts], want, strict=True), key=key)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()]
+    assert sorted(got, key=str) == sorted(((None, k, None) for k in n), key=str)
+
+
 def test_shards_merge_like_one():
     import numpy as np
 
