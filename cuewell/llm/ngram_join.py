@@ -12,11 +12,12 @@ The product is accumulated in two blocked passes over what remains, one row for
 (equal sets are linked at once).  First every list's members against the list's smallest member,
 whose links already join large groups of near copies; then every pair of a list whose members are
 still in different components, under the bounds on size and position.  Overlaps are counted in
-full in both.  So links are exact, while a group of k near copies costs about k counts, not k * k.
+full in both.  So components are those of all links, while a group of k near copies costs about k
+counts, not k * k.  N-grams are told apart by hashes of 40 bits and the block's number.
 
 Null or empty text, or text of white space only: an empty set, linked with nothing.  Fewer than
-five words: the whole sequence is the one shingle.  Repeated rows are equal sets.  Rows with a null
-id come back once each with their number of shingles, linked with nothing (component_id null).
+five words: the whole sequence is the one shingle.  Every row is a document of its own, also where
+its id is null or repeated; a component's id is the smallest id in it, null if it has none.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .keys import keyed, named
 from .lineage import cut
 from .textblocks import blocks, lower_ascii, mix, prefix_sums, span_hashes, word_spans
 
@@ -301,23 +303,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     return both.mapInArrow(_count_overlaps, "a long, b long")
 
 
-def _nameless(batches):
-    """Rows without id: their numbers of shingles."""
-    for b in batches:
-        for lo, hi, data, offs in blocks(b.column(1)):
-            _, ends = shingles(data, offs)
-            none = pa.nulls(hi - lo, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array((ends[1:] - ends[:-1]).astype(np.int64)), none], names=["doc_id", "n_shingles", "component_id"])
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every document."""
-    spark = docs.sparkSession
+    rows, names = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    found = _join(rows.select(F.col("key").alias("doc_id"), "text"))
+    if names is None:
+        return found
+    # Keys become ids again; of a component, the smallest of its members' ids.
+    known = named(found.withColumnRenamed("doc_id", "key").withColumnRenamed("component_id", "c"), names)
+    least = known.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "c").select("doc_id", "n_shingles", "component_id")
+
+
+def _join(rows: DataFrame) -> DataFrame:
+    """The join of rows (doc_id, text) with unique ids."""
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (2 * parts - 1).bit_length())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    nameless = rows.where(F.col("doc_id").isNull()).mapInArrow(_nameless, "doc_id long, n_shingles long, component_id long")
-    dealt = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(_count_columns(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     table = cut(back.mapInArrow(_gather_documents, _DOC))
     # One document for each distinct set stands for its copies.
@@ -348,7 +351,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Roots are smallest representatives, and a representative is the smallest of its copies.
     whole = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

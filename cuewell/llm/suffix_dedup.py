@@ -10,16 +10,20 @@ Every byte that a ``length``-byte string covers goes if that string also starts
 2. Contexts.  Where an anchor hash repeats, the bytes of the strings that it anchors are dealt by
    that hash, hot hashes in salted groups.
 3. Shards.  Contexts form shards.  A shard's suffixes are sorted once into a Burrows-Wheeler
-   transform over symbols of ``SYMBOL`` bytes.  Shards that share an anchor hash are merged by
+   transform over symbols of many bytes.  Shards that share an anchor hash are merged by
    iterative interleave refinement: an interleave bit for each suffix, sorted stably by the
    preceding symbol until ``length`` bytes are compared; no suffix is sorted again.  Where two
    neighbours part gives their common prefix; runs that don't part within ``length`` bytes are the
    repeated intervals.
 4. Salted groups of one hash hand on one hash for each string that they saw, which decides strings
    that repeat across groups only.
+5. Passages.  Beside the removal, each document's number of anchors of ``PASSAGE``-byte strings that
+   another document holds too: above nought wherever it shares so many consecutive bytes.
 
-Null text is empty.  Texts shorter than ``length`` bytes lose nothing.  Ids are taken as unique, but
-for null ids: each such row counts as a document of its own and keeps its null id.
+A symbol has the largest number of bytes up to ``SYMBOL`` that divides ``length``.
+
+Null text is empty.  Texts shorter than ``length`` bytes lose nothing.  Every row is a document of its
+own, with its id as it is, null and repeated ids included.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import keyed, named
 from .lineage import cut
 from .textblocks import blocks, prefix_sums, span_hashes
 
 GRAM = 32
-SYMBOL = 200
+SYMBOL, LEAST_SYMBOL = 200, 8
+PASSAGE, PASSAGE_GRAM = 256, 64
 SHARD_BYTES = 1 << 19
 GROUP_ROWS = 2000
 
@@ -52,13 +58,40 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[: n - w + 1], pre[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int):
+def symbol_bytes(length: int) -> int:
+    """Bytes of a symbol for strings of some length."""
+    for n in range(min(SYMBOL, length), LEAST_SYMBOL - 1, -1):
+        if length % n == 0:
+            return n
+    raise ValueError(f"length has no divisor from {LEAST_SYMBOL} to {SYMBOL}")
+
+
+def passage_grams(data: np.ndarray, offs: np.ndarray, p: np.ndarray):
+    """Distinct (row, hash): the smallest hash among the gram windows of every PASSAGE-byte string."""
+    wide = PASSAGE - PASSAGE_GRAM + 1
+    if len(data) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(data) - PASSAGE_GRAM + 1)
+    best = _sliding_min(span_hashes(p, at, at + PASSAGE_GRAM), wide)
+    row = np.repeat(np.arange(len(offs) - 1), offs[1:] - offs[:-1])[: len(best)]
+    inside = np.arange(len(best)) + PASSAGE <= offs[row + 1]
+    row, best = row[inside], best[inside]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
+    row, best = row[new], best[new]
+    order = np.lexsort((best, row))
+    row, best = row[order], best[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
+    return row[new], best[new]
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, p: np.ndarray):
     """Of a block: (row, anchor hash, first and last start that it anchors, last marked start, dropped)."""
     none = np.zeros(0, np.int64)
     sizes = offs[1:] - offs[:-1]
     if len(data) < length or sizes.max(initial=0) < length:
         return none, none.astype(np.uint64), none, none, none, none.astype(bool)
-    p = prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
     h = span_hashes(p, at, at + GRAM)
     bits = max(20, int(len(data)).bit_length())
@@ -86,20 +119,27 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int):
     return row, f, s1 - offs[row], s2 - offs[row], s1 - offs[row] + many - 1, equal
 
 
-_ANCHOR = "f long, doc long, s1 long, s2 long, mark boolean"
+SEEN, MARK, SHARED = 0, 1, 2
+_ANCHOR = "f long, doc long, s1 long, s2 long, kind int"
 
 
 def _anchor_rows(length: int):
+    """Texts to their anchors (SEEN), the periods marked inside (MARK) and passage anchors (SHARED)."""
+
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, data, offs in blocks(b.column(1)):
-                row, f, s1, s2, until, drop = anchors(data, offs, length)
+                p = prefix_sums(data)
+                row, f, s1, s2, until, drop = anchors(data, offs, length, p)
                 doc = keys[lo:hi][row]
-                for x, last, as_mark in ((~drop, s2, False), (until >= s1, until, True)):
+                parts = [(f[x], doc[x], s1[x], last[x], kind) for x, last, kind in ((~drop, s2, SEEN), (until >= s1, until, MARK))]
+                row, f = passage_grams(data, offs, p)
+                parts.append((f, keys[lo:hi][row], np.zeros(len(f), np.int64), np.zeros(len(f), np.int64), SHARED))
+                for f, doc, first, last, kind in parts:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(f[x].view(np.int64)), pa.array(doc[x]), pa.array(s1[x]), pa.array(last[x]), pa.array(np.full(int(x.sum()), as_mark))],
-                        names=["f", "doc", "s1", "s2", "mark"],
+                        [pa.array(f.view(np.int64)), pa.array(doc), pa.array(first), pa.array(last), pa.array(np.full(len(f), kind, np.int32))],
+                        names=["f", "doc", "s1", "s2", "kind"],
                     )
 
     return run
@@ -145,7 +185,7 @@ class Shard:
         self.order, self.bwt, self.short = order, bwt, short
 
     @classmethod
-    def build(cls, text: np.ndarray, offs: np.ndarray, depth: int, first: int) -> Shard:
+    def build(cls, text: np.ndarray, offs: np.ndarray, depth: int, first: int, symbol: int) -> Shard:
         """Sorts one shard: depth stable sorts by preceding symbol, from the unsorted suffixes on.
 
         Each context ends with one byte that is no part of it: its empty suffix stands there.
@@ -153,10 +193,10 @@ class Shard:
         n = len(text)
         room = np.repeat(offs[1:], offs[1:] - offs[:-1]) - np.arange(n) - 1
         at = np.arange(n)
-        has = room >= SYMBOL
+        has = room >= symbol
         sym = np.zeros(n, np.uint64)
-        sym[has] = span_hashes(prefix_sums(text), at[has], at[has] + SYMBOL) | np.uint64(1)
-        before = np.arange(n) - SYMBOL
+        sym[has] = span_hashes(prefix_sums(text), at[has], at[has] + symbol) | np.uint64(1)
+        before = np.arange(n) - symbol
         valid = before >= np.repeat(offs[:-1], offs[1:] - offs[:-1])
         short = at[~has]
         order = np.concatenate([short, at[has]])
@@ -215,9 +255,8 @@ _MARK = "doc long, a long, b long, h long, many boolean"
 
 def _mark_rows(length: int):
     """Contexts sorted by (f, salt) to marks: [a, b) ranges that repeat, and for salted groups hashes."""
-    depth = length // SYMBOL
-    if depth * SYMBOL != length:
-        raise ValueError(f"length must be a multiple of {SYMBOL}")
+    symbol = symbol_bytes(length)
+    depth = length // symbol
 
     def solve(rows):
         """Contexts that hold every occurrence within their (f, salt) groups."""
@@ -238,7 +277,7 @@ def _mark_rows(length: int):
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SHARD_BYTES, "right")) - 1)
             text = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-            shards.append(Shard.build(text, total[lo : hi + 1] - total[lo], depth, at))
+            shards.append(Shard.build(text, total[lo : hi + 1] - total[lo], depth, at, symbol))
             at += len(text)
             lo = hi
         while len(shards) > 1:
@@ -296,15 +335,15 @@ def _mark_rows(length: int):
     return run
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_OUT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_passages long, kept_text string"
 
 
 def _cut_rows(length: int, with_text: bool, keep: list[str]):
-    """Rows (doc_id, text, spans, kept columns) to their result."""
+    """Rows (key, text, spans, shared, kept columns) to their result."""
 
     def run(batches):
         for b in batches:
-            lists = b.column(2).to_pylist()
+            lists, shared = b.column(2).to_pylist(), b.column(3).to_pylist()
             out = []
             for i, spans in enumerate(lists):
                 raw = (b.column(1)[i].as_py() or "").encode()
@@ -321,10 +360,10 @@ def _cut_rows(length: int, with_text: bool, keep: list[str]):
                 kept = b"".join([*kept, raw[at:]])
                 # A range may begin or end inside a character; what is left of one isn't text.
                 text = kept.decode(errors="ignore") if with_text else None
-                out.append((len(raw), sum(y - x for x, y in merged), len(merged), hashlib.sha256(kept).hexdigest(), text))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            rest = [b.column(i) for i in range(3, b.num_columns)]
+                out.append((len(raw), sum(y - x for x, y in merged), len(merged), hashlib.sha256(kept).hexdigest(), shared[i] or 0, text))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            rest = [b.column(i) for i in range(4, b.num_columns)]
             names = [c.split()[0] for c in _OUT.split(", ")] + keep
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], *rest], names=names)
 
@@ -332,57 +371,48 @@ def _cut_rows(length: int, with_text: bool, keep: list[str]):
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc, spans): for each document of (doc_id, text) the [a, b) byte ranges to remove."""
+    """(doc, spans, shared): of documents (key, text) the [a, b) byte ranges to remove, and how many
+    passage anchors another document holds too."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(docs.mapInArrow(_anchor_rows(length), _ANCHOR))
-    seen = found.where(~F.col("mark"))
+    seen = found.where(F.col("kind") == SEEN).select("f", "doc", "s1", "s2")
     # Partial counts first, so a hot hash costs one row a task.
     often = seen.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     hot = F.col("k") > 2 * GROUP_ROWS
     salt = F.when(hot, F.pmod(F.xxhash64("doc", "s1"), (F.col("k") / GROUP_ROWS).cast("int") + 1)).otherwise(-1).cast("int")
     some = seen.join(often, "f").select("doc", F.struct("f", salt.alias("salt"), "s1", "s2").alias("x"))
     lists = some.groupBy("doc").agg(F.collect_list("x").alias("xs"))
-    texts = docs.repartition(parts, "doc_id")
-    both = texts.join(lists, texts["doc_id"] == lists["doc"]).select("doc_id", "text", "xs")
+    texts = docs.repartition(parts, "key")
+    both = texts.join(lists, texts["key"] == lists["doc"]).select("key", "text", "xs")
     ctx = both.mapInArrow(_context_rows(length), _CONTEXT).repartition(parts, "f", "salt").sortWithinPartitions("f", "salt")
     marks = cut(ctx.mapInArrow(_mark_rows(length), _MARK))
     across = marks.where(F.col("h").isNotNull())
     again = across.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
     more = across.join(again, "h", "left_semi").select("doc", "a", "b")
-    local = found.where("mark").select("doc", F.col("s1").alias("a"), (F.col("s2") + length).alias("b"))
+    local = found.where(F.col("kind") == MARK).select("doc", F.col("s1").alias("a"), (F.col("s2") + length).alias("b"))
     every = marks.where(F.col("h").isNull()).select("doc", "a", "b").unionByName(more).unionByName(local)
-    return every.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def _with_keys(rows: DataFrame):
-    """Rows with a key each in doc_id, for null ids one beyond all ids; and the column that is the id again."""
-    known = rows.where(F.col("doc_id").isNotNull())
-    nulls = cut(rows.where(F.col("doc_id").isNull()).withColumn("doc_id", F.monotonically_increasing_id()))
-    most = nulls.agg(F.max("doc_id")).first()[0]
-    if most is None:
-        return known, F.col("doc_id")
-    lo, hi = known.agg(F.min("doc_id"), F.max("doc_id")).first()
-    first = 0 if hi is None else hi + 1
-    if first + most >= 2**63:
-        first = lo - 1 - most
-    if first < -(2**63):
-        raise ValueError("ids leave no room for keys of the rows without id")
-    keyed = nulls.withColumn("doc_id", F.col("doc_id") + F.lit(first).cast("long"))
-    return known.unionByName(keyed), F.when(~F.col("doc_id").between(first, first + most), F.col("doc_id"))
+    grams = found.where(F.col("kind") == SHARED).select("f", "doc")
+    twice = grams.groupBy("f").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("f")
+    shared = grams.join(twice, "f", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("long")
+    rows = every.select("doc", "a", "b", nothing.alias("n")).unionByName(shared.select("doc", nothing.alias("a"), nothing.alias("b"), "n"))
+    span = F.when(F.col("a").isNotNull(), F.struct("a", "b"))
+    return rows.groupBy("doc").agg(F.collect_list(span).alias("spans"), F.max("n").alias("shared"))
 
 
 def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, (with_text) kept_text, and columns in keep."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_passages, (with_text) kept_text, and columns in keep."""
     keep = keep or []
+    symbol_bytes(length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    rows, own_id = _with_keys(rows)
-    spans = repeated_ranges(rows.select("doc_id", "text"), length)
-    texts = rows.repartition(parts, "doc_id")
-    joined = texts.join(spans, texts["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans", *[f"k_{c}" for c in keep])
-    kept = "".join(f", `{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema.fields[2:], strict=True))
-    out = joined.mapInArrow(_cut_rows(length, with_text, keep), _OUT + kept).withColumn("doc_id", own_id)
+    rows, names = keyed(rows)
+    spans = repeated_ranges(rows.select("key", "text"), length)
+    texts = rows.drop("doc_id").repartition(parts, "key")
+    joined = texts.join(spans, texts["key"] == spans["doc"], "left").select("key", "text", "spans", "shared", *[f"k_{c}" for c in keep])
+    kept = "".join(f", `{c}` {rows.schema[f'k_{c}'].dataType.simpleString()}" for c in keep)
+    out = named(joined.mapInArrow(_cut_rows(length, with_text, keep), _OUT + kept), names)
     return out if with_text else out.drop("kept_text")
 
 

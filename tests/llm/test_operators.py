@@ -148,39 +148,81 @@ def test_suffix_dedup_salted_groups(docs, monkeypatch):
     assert {i: r["kept_sha256"] for i, r in rows(suffix_dedup.dedup(docs)).items()} == {i: r["kept_sha256"] for i, r in whole.items()}
 
 
-def test_null_ids_stay(spark):
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = WS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return out
+
+
+def linked_groups(sets):
+    """For each place the smallest place reachable by links, over all pairs."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def test_null_and_repeated_ids(spark):
     from cuewell.llm import ngram_join, suffix_dedup
 
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     passage = " ".join(word() for _ in range(70))
-    texts = [f"{word()} {passage} {word()}", f"{word()} {word()} {passage}", "few words", None, " ".join(word() for _ in range(90)), passage * 2]
+    texts = [f"{word()} {passage} {word()}", f"{word()} {word()} {passage}", "few words", None, " ".join(word() for _ in range(90)), passage * 2, "few words"]
     want = removed([(t or "").encode() for t in texts], 400)
-    n = [len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) > 4 else int(bool(w)) for w in ((t or "").split() for t in texts)]
-    for ids in ([None, 2**63 - 1, None, None, 7, None], [None, -(2**63), None, None, 7, None], [None] * 6):
+    sets = shingle_sets(texts)
+    group = linked_groups(sets)
+    for ids in ([None, 2**63 - 1, None, None, 7, None, 5], [None, -(2**63), None, None, 7, None, 7], [None] * 7, [3] * 7, [8, 4, 8, 4, 4, 1, 2]):
         df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
-        key = lambda r: (str(r[0]), r[1:])
+        key = lambda r: (str(r[0]), str(r[1:]))
         got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(df).collect()]
         assert sorted(got, key=key) == sorted(zip(ids, [len((t or "").encode()) for t in texts], want, strict=True), key=key)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()]
-    assert sorted(got, key=str) == sorted(((None, k, None) for k in n), key=str)
+        least = [min((i for i, g in zip(ids, group, strict=True) if g == own and i is not None), default=None) for own in group]
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()]
+        assert sorted(got, key=key) == sorted(zip(ids, map(len, sets), least, strict=True), key=key)
+
+
+def test_shared_passages(spark):
+    """Every document that shares PASSAGE bytes with another one is counted, others aren't."""
+    from cuewell.llm.suffix_dedup import PASSAGE, PASSAGE_GRAM, dedup
+
+    rng = random.Random(21)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = [prose(rng.randint(0, 1500)) for _ in range(40)]
+    passage = prose(PASSAGE)
+    texts += [prose(rng.randint(0, 400)) + passage + prose(rng.randint(0, 400)) for _ in range(5)]
+    twice = prose(PASSAGE)
+    texts += [twice + prose(50) + twice, prose(300) + passage[:PASSAGE_GRAM - 1]]
+    got = rows(dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [i for i in range(len(texts)) if got[i]["n_shared_passages"]] == list(range(40, 45))
 
 
 def test_shards_merge_like_one():
     import numpy as np
 
-    from cuewell.llm.suffix_dedup import SYMBOL, Shard, merge, repeated
+    from cuewell.llm.suffix_dedup import Shard, merge, repeated
 
     rng = random.Random(2)
     parts = [bytes(rng.choice(b"ab") for _ in range(260)) for _ in range(3)]
     texts = [parts[rng.randrange(3)] + parts[rng.randrange(3)] for _ in range(9)]
-    depth = 400 // SYMBOL
+    symbol, depth = 50, 8
     texts = [t + b"\0" for t in texts]  # the place of each context's empty suffix
     offs = lambda ts: np.concatenate([[0], np.cumsum([len(t) for t in ts])])
     buf = lambda ts: np.frombuffer(b"".join(ts), np.uint8)
-    one = Shard.build(buf(texts), offs(texts), depth, 0)
+    one = Shard.build(buf(texts), offs(texts), depth, 0, symbol)
     a, b = texts[:4], texts[4:]
-    two = merge(Shard.build(buf(a), offs(a), depth, 0), Shard.build(buf(b), offs(b), depth, len(b"".join(a))), depth)
+    two = merge(Shard.build(buf(a), offs(a), depth, 0, symbol), Shard.build(buf(b), offs(b), depth, len(b"".join(a)), symbol), depth)
     groups = []
     for s in (one, two):
         order, cls = repeated(s, depth)
@@ -189,7 +231,11 @@ def test_shards_merge_like_one():
             if c >= 0:
                 found[c].add(o)
         groups.append(sorted(map(sorted, found.values())))
-    assert groups[0] == groups[1] and SYMBOL * depth == 400
+    data, same = b"".join(texts), defaultdict(set)
+    for first, last in zip(offs(texts)[:-1].tolist(), offs(texts)[1:].tolist(), strict=True):
+        for k in range(first, last - 400):
+            same[data[k : k + 400]].add(k)
+    assert groups[0] == groups[1] == sorted(map(sorted, same.values()))
 
 
 def test_packing(docs, empty):
