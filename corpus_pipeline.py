@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each calling one operator of ``cuewell.llm`` on all rows it gets.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
-Rows keep their ids.  Null texts come out of the text-changing stages as empty ones.
+Rows keep their ids.  Null texts come out of the text-changing stages as empty ones.  Rows with a null
+or repeated id are documents like all others: copies among them go, the rest stays.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewell.llm import ngram_join, packing, pii, quality_classifier, suffix_dedup
+from cuewell.llm.keys import keyed
 from cuewell.llm.lineage import cut
 from cuewell.llm.textblocks import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of the shortest repeated passage that goes: under 51 words, which take some 250 bytes or more.
+PASSAGE_BYTES = 200
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +29,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of linked documents."""
-    gone = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    rows, _ = keyed(docs)
+    gone = ngram_join.join(rows, id_col="key").where("component_id <> doc_id").select(F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that also start elsewhere."""
-    out = suffix_dedup.dedup(docs, keep=["lang", "source"])
+    """Texts without the strings of PASSAGE_BYTES bytes that also start elsewhere."""
+    out = suffix_dedup.dedup(docs, length=PASSAGE_BYTES, keep=["lang", "source"])
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
