@@ -9,6 +9,7 @@ the file holds.  A template is reported when the words at an alignment agree wel
 its mandatory phrases stands there whole.
 
 Base phrases are found at every place.  Null or empty text: no words, score 0.  Repeats count each.
+Every row gives one row, with its id as it is, null and repeated ids included.
 """
 
 from __future__ import annotations
@@ -24,40 +25,101 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Template wordings; the first element of each pair lists mandatory phrases, any of
-# which must stand in the file at the template's alignment.
+_GNU = (
+    "this program is free software you can redistribute it and or modify it under the terms of the {} as published by the free software foundation "
+    "either version {} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {} for more details"
+)
+_GPL, _LGPL, _AGPL = "gnu general public license", "gnu lesser general public license", "gnu affero general public license"
+# Public template wordings as word sequences, short references and whole notices; the first
+# element of each pair lists mandatory phrases, any of which must stand in the file at the template's alignment.
 TEMPLATES = {
     "mit": [
         (["under the mit license"], "released under the mit license"),
         (["permission is hereby granted free of charge"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+        (
+            ["permission is hereby granted free of charge"],
+            "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+            "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+            "software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+            "permission notice shall be included in all copies or substantial portions of the software",
+        ),
+    ],
+    "isc": [
+        (
+            ["permission to use copy modify and or distribute this software"],
+            "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+            "notice and this permission notice appear in all copies",
+        ),
     ],
     "apache-2": [
         (["apache license version 2"], "licensed under the apache license version 2 0"),
+        (
+            ["apache license version 2"],
+            "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the "
+            "license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is "
+            "distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing "
+            "permissions and limitations under the license",
+        ),
     ],
     "cc-by-nc": [
         (["cc by nc", "creative commons attribution noncommercial"], "licensed under cc by nc 4 0"),
-        (["creative commons attribution noncommercial"], "licensed under the creative commons attribution noncommercial 4 0 international license"),
     ],
     "cc-by": [
         (["creative commons attribution 4 0"], "licensed under the creative commons attribution 4 0 international license"),
     ],
+    "cc-by-sa": [
+        (["creative commons attribution sharealike"], "licensed under the creative commons attribution sharealike 4 0 international license"),
+    ],
+    "cc0": [
+        (["waived all copyright and related or neighboring rights"], "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ],
     "gpl-3": [
-        (["gnu general public license version 3", "gnu gpl version 3"], "this work is licensed under the gnu general public license version 3"),
+        ([f"{_GPL} version 3", "gnu gpl version 3"], f"this work is licensed under the {_GPL} version 3"),
+        ([f"{_GPL} as published by the free software foundation either version 3"], _GNU.format(_GPL, 3, _GPL)),
     ],
     "gpl-2": [
-        (["gnu general public license version 2", "gnu gpl version 2"], "this work is licensed under the gnu general public license version 2"),
+        ([f"{_GPL} version 2", "gnu gpl version 2"], f"this work is licensed under the {_GPL} version 2"),
+        ([f"{_GPL} as published by the free software foundation either version 2"], _GNU.format(_GPL, 2, _GPL)),
     ],
     "lgpl": [
-        (["gnu lesser general public license"], "licensed under the gnu lesser general public license"),
+        ([_LGPL], f"licensed under the {_LGPL}"),
+        ([_LGPL], _GNU.format(_LGPL, 3, _LGPL)),
     ],
     "agpl": [
-        (["gnu affero general public license"], "licensed under the gnu affero general public license"),
+        ([_AGPL], f"licensed under the {_AGPL}"),
+        ([_AGPL], _GNU.format(_AGPL, 3, _AGPL)),
     ],
     "mpl-2": [
         (["mozilla public license"], "subject to the terms of the mozilla public license v 2 0"),
+        (
+            ["mozilla public license"],
+            "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain "
+            "one at http mozilla org mpl 2 0",
+        ),
     ],
     "bsd": [
         (["redistribution and use in source and binary forms"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+        (
+            ["redistribution and use in source and binary forms"],
+            "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions "
+            "of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the "
+            "above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ),
+    ],
+    "unlicense": [
+        (
+            ["free and unencumbered software released into the public domain"],
+            "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+            "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ),
+    ],
+    "zlib": [
+        (
+            ["permission is granted to anyone to use this software for any purpose"],
+            "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of "
+            "this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ),
     ],
 }
 

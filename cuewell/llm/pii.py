@@ -39,24 +39,55 @@ GENERATORS = [
     ("card", r"(?<![0-9A-Za-z.])[0-9]{4}+(?:[.\x20/_-][0-9]{4}+){3}+(?![0-9A-Za-z.])"),
     ("phone", r"(?<![0-9A-Za-z.+)-])(?:\([0-9]{2,4}+\)\x20?|0[0-9]{1,3}+[\x20/-])[0-9]{3,4}+[\x20-][0-9]{3,5}+(?![0-9A-Za-z.])"),
 ]
-BEFORE = 24
+BEFORE, BLOCK = 24, 64
 
 
-def spans_of(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct(s, k, e, m)> of a pattern's matches: start, kind number, end, matched text."""
-    lit = F.lit(pattern)
-    found = F.regexp_extract_all(text, lit, F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,m:string>>").alias("out"))
-    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc, x):
-        s = (acc["at"] + F.length(x["gap"])).cast("int")
-        e = (s + F.length(x["hit"])).cast("int")
-        one = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), x["hit"].alias("m"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    spans = F.aggregate(both, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(zero["out"])
+def _running(sizes: Column) -> Column:
+    """Sums of all elements before each: inside blocks of BLOCK, and over the blocks' totals."""
+    add = lambda part: F.aggregate(part, F.lit(0), lambda x, y: x + y)
+    blocks = lambda a: F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+
+    def place(a, totals):
+        def inside(b):
+            return _bind(
+                F.struct(F.slice(a, b * BLOCK + 1, BLOCK).alias("x"), add(F.slice(totals, 1, b)).alias("at")),
+                lambda p: F.transform(p["x"], lambda _, i: p["at"] + add(F.slice(p["x"], 1, i))),
+            )
+
+        return F.flatten(F.transform(blocks(a), inside))
+
+    return _bind(sizes, lambda a: _bind(F.transform(blocks(a), lambda b: add(F.slice(a, b * BLOCK + 1, BLOCK))), lambda t: place(a, t)))
+
+
+def spans_of(text: Column, pattern: str, kind: str, context: bool = False) -> Column:
+    """array<struct(s, k, e, m)> of a pattern's matches: start, kind number, end, matched text; with
+    context also b, the characters before it back to the match before the last.
+
+    Starts are sums of the lengths before, so the work grows with the number of matches, not its square.
+    """
+    number = F.lit(KINDS.index(kind))
+    before = ",b:string" if context else ""
+    none = F.array().cast(f"array<struct<s:int,k:int,e:int,m:string{before}>>")
+
+    def spans(x):
+        def one(hit, i):
+            s = F.get(x["at"], 2 * i + 1)
+            own = [s.alias("s"), number.alias("k"), F.get(x["at"], 2 * i + 2).alias("e"), hit.alias("m")]
+            return F.struct(*own, F.right(F.concat(F.coalesce(F.get(x["hits"], i - 1), F.lit("")), F.get(x["gaps"], i)), F.lit(BEFORE)).alias("b")) if context else F.struct(*own)
+
+        return F.transform(x["hits"], one)
+
+    def placed(x):
+        sizes = F.flatten(F.transform(x["hits"], lambda hit, i: F.array(F.length(F.get(x["gaps"], i)), F.length(hit))))
+        return _bind(F.struct(x["hits"].alias("hits"), x["gaps"].alias("gaps"), _running(F.concat(sizes, F.array(F.lit(0)))).alias("at")), spans)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _bind(parts, placed)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -267,12 +298,9 @@ def candidate_spans(text: Column, model) -> Column:
         trees, limit = model[kind]
 
         def passes(x):
-            start = F.greatest(x["s"] - BEFORE, F.lit(0))
-            before = F.substring(text, start + 1, x["s"] - start)
-            margins = F.transform(F.array(feature_bits(x["m"], before)), lambda b: margin_column(trees, b))
-            return F.element_at(margins, 1) >= limit
+            return _bind(feature_bits(x["m"], x["b"]), lambda b: margin_column(trees, b)) >= limit
 
-        return F.filter(spans_of(text, pattern, kind), passes)
+        return F.filter(spans_of(text, pattern, kind, context=True), passes)
 
     return F.concat(*[chosen(kind, pattern) for kind, pattern in GENERATORS])
 

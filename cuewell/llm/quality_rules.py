@@ -2,9 +2,13 @@
 
 Base counts come from array functions, one pass over the texts, no shuffle.  The verdict: per
 language and source, a minimum-covariance-determinant estimate of the centre and covariance of
-transformed statistics, by concentration steps (distances, the closest three quarters, their
-moments), regularised and shrunk toward the pooled estimate so that small or constant groups stay
-well-defined.  A document whose squared Mahalanobis distance passes a chi-square quantile fails.
+transformed statistics.  Three starts (distances from the medians under fixed scales and under
+quartile scales, and under the moments of all rows) each take two concentration steps: distances,
+the closest three quarters, their moments.  Of each group the start of smallest determinant goes on
+until the determinant falls no more, and the estimate of smallest determinant stands.  Covariances
+are regularised and shrunk toward the pooled one, so that groups of one row, of equal rows or with
+tied distances (all rows at the limit count as close) stay well-defined.  A document whose squared
+Mahalanobis distance passes a chi-square quantile fails.
 
 The statistics are written once (checkpoint); each step moves only partial sums and quantile
 sketches, so a source with a third of all rows costs no task more than its share.
@@ -24,9 +28,12 @@ from .lineage import cut
 GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 DIMS = ["z1", "z2", "z3", "z4"]
+START = "g_start"
 #: Smallest standard deviation of each transformed statistic that counts as spread.
 FLOORS = [0.12, 0.12, 0.25, 0.25]
-KEEP_SHARE, STEPS, SHRINK, TAIL = 0.75, 3, 30.0, 1e-6
+KEEP_SHARE, SHRINK, TAIL = 0.75, 30.0, 1e-6
+#: Steps of every start; steps of the best one at most, and the share by which its determinant must fall to go on.
+FIRST_STEPS, MOST_STEPS, FALL = 2, 10, 1e-4
 #: Groups whose parameters (some 200 bytes each) may be broadcast, and salts beyond that.
 FEW_GROUPS, SALTS = 10_000, 32
 
@@ -101,12 +108,13 @@ def _parameters(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
     """Centre and Cholesky factor of each group, shrunk toward the pooled moments."""
     d = range(len(DIMS))
     pooled_n = F.sum("n")
-    # Pooled centre and within-group covariance: one row, joined to every group.
+    # Pooled centre and within-group covariance: one row (for each start), joined to every group.
     within = [
         (F.sum(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / pooled_n).alias(f"pc{i}{j}") for i in d for j in range(i + 1)
     ]
-    pooled = sums.agg(*[(F.sum(f"s{i}") / pooled_n).alias(f"pm{i}") for i in d], *within)
-    p = sums.join(F.broadcast(pooled))  # the pooled side is one row
+    by = [START] if START in keys else []
+    pooled = sums.groupBy(*by).agg(*[(F.sum(f"s{i}") / pooled_n).alias(f"pm{i}") for i in d], *within)
+    p = sums.join(F.broadcast(pooled), by) if by else sums.join(F.broadcast(pooled))  # three rows at most
     w = F.col("n") / (F.col("n") + SHRINK)
     p = p.withColumns({f"m{i}": w * F.col(f"s{i}") / F.col("n") + (1 - w) * F.col(f"pm{i}") for i in d})
     cov = {}
@@ -122,7 +130,10 @@ def _parameters(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             p = p.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return p.select(*keys, "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+    det = F.lit(1.0)
+    for i in d:
+        det = det * F.col(f"l{i}{i}") ** 2
+    return p.select(*keys, "n", det.alias("det"), *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
 
 
 def _match(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,23 +162,49 @@ def _distance(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("d2", total).select(*rows.columns, "d2")
 
 
+def _concentrate(ranked: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """One step: the estimate of each group's rows of smallest d2."""
+    limit = cut(ranked.groupBy(*keys).agg(F.percentile_approx("d2", KEEP_SHARE, 1000).alias("limit")))
+    close = _match(ranked, limit, keys).where(F.col("d2") <= F.col("limit"))
+    return cut(_parameters(_moments(close, keys), keys, scale))  # one row for each group
+
+
 def _estimate(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Concentration steps from a start at the coordinate medians."""
+    """The estimate of smallest determinant of each group: centre (m), Cholesky factor (l) and det."""
     d = len(DIMS)
     cut_at = chi2_quantile(KEEP_SHARE, d)
     scale = KEEP_SHARE / _chi2_cdf(cut_at, d + 2)
-    medians = cut(stats.groupBy(*keys).agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"med{i}") for i, z in enumerate(DIMS)]))
-    near = F.lit(0.0)
+    quartiles = [F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, z in enumerate(DIMS)]
+    middle = cut(stats.groupBy(*keys).agg(*quartiles))
+    whole = cut(_parameters(_moments(stats, keys), keys, 1.0))
+    fixed, own = F.lit(0.0), F.lit(0.0)
     for i, z in enumerate(DIMS):
-        near = near + ((F.col(z) - F.col(f"med{i}")) / FLOORS[i]) ** 2
-    ranked = _match(stats, medians, keys).withColumn("d2", near).select(*stats.columns, "d2")
+        gap = F.col(z) - F.get(f"q{i}", F.lit(1))
+        fixed = fixed + (gap / FLOORS[i]) ** 2
+        own = own + (gap / F.greatest((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i]))) ** 2
+    far = _distance(stats, whole, keys).withColumnRenamed("d2", "whole")
+    starts = F.array(*[F.struct(F.lit(i).alias(START), x.alias("d2")) for i, x in enumerate((fixed, own, F.col("whole")))])
+    ranked = _match(far, middle, keys).select(*stats.columns, F.inline(starts))
+    each = [*keys, START]
     params = None
-    for _ in range(STEPS):
-        limit = cut(ranked.groupBy(*keys).agg(F.percentile_approx("d2", KEEP_SHARE, 1000).alias("limit")))
-        close = _match(ranked, limit, keys).where(F.col("d2") <= F.col("limit"))
-        params = cut(_parameters(_moments(close, keys), keys, scale))  # one row for each group
-        ranked = _distance(stats, params, keys)
-    return params
+    for step in range(FIRST_STEPS):
+        params = _concentrate(ranked, each, scale)
+        if step + 1 < FIRST_STEPS:
+            three = stats.withColumn(START, F.explode(F.array(*[F.lit(i) for i in range(3)])))
+            ranked = _distance(three, params, each)
+    first = params.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in params.columns if c not in keys]), F.struct("det", START)).alias("x"))
+    best = cut(first.select(*keys, *[F.col(f"x.{c}").alias(c) for c in params.columns if c not in each]))
+    now = best
+    for _ in range(MOST_STEPS):
+        new = _concentrate(_distance(stats, now, keys), keys, scale)
+        old = best.select(*keys, F.struct(*[c for c in best.columns if c not in keys]).alias("old"))
+        both = new.join(old, keys)  # a row for each group
+        fell = F.col("det") < F.col("old.det") * (1 - FALL)
+        better = cut(both.select(*keys, *[F.when(F.col("det") < F.col("old.det"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in new.columns if c not in keys], fell.alias("fell")))
+        best, now = better.drop("fell"), new
+        if better.where("fell").isEmpty():
+            break
+    return best
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -1,186 +1,294 @@
 """Operator 3: exact top-k by integer inner product, ball trees and branch and bound.
 
-All vectors are dealt into shards by a hash of their id; a shard's vectors form a ball tree.  The
-query set goes to every shard in blocks.  A node's inner product with a query is at most
-q.centre + |q| * radius; leaves are visited by that bound, highest first, by the queries whose bound
-reaches their current k-th score.  The k-th scores are shared: the query's home shard runs
-first, and its k-th score opens the search of every other shard.
-
-Vectors that are null, or hold null or non-finite components, take no part.  Components become
-floor(64 * x).  Vectors of different lengths are compared as if padded with zeros.  Equal scores
-go to the smaller id, which pruning respects: a leaf is left only if its bound is strictly lower.
+Vectors are dealt into cells by their nearest pivot, so that a cell is a ball; cells of more than
+SHARD_ROWS rows are split by a hash of the key.  Each shard builds a ball tree.  A ball's inner
+product with a query is at most q.centre + |q| * radius.  Branch and bound runs on two levels:
+
+1. Every query searches its own shard first.  Its k-th score there is shared: the query is sent on
+   only to shards of cells whose bound reaches it, so the others are dropped before the shuffle.
+2. In a shard a block of queries walks the tree from the root, the node of the highest bound first; a
+   node is left by the queries whose k-th score its bound doesn't reach, and opened for the rest.
+   Results raise the k-th scores while the walk goes on.
+
+Pivots come from a bounded sample (SAMPLE rows of smallest key hash) and decide speed only: every row
+is dealt and every bound holds for all rows of its cell.
+
+Vectors that are null, or hold null or non-finite components, and rows with a null id take no part.
+Components become floor(64 * x).  Vectors of different lengths are compared as if padded with zeros.
+Equal scores go to the smaller id, which pruning respects: a node is left only if its bound is
+strictly lower.  Every row is a vector of its own, repeated ids included: each is a partner, and each
+is a query with k ranks of its own, from which only the row itself is left out.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keys import keyed
 from .lineage import cut
 
-LEAF = 512
+LEAF = 256
 QUERY_BLOCK = 1024
 SHARD_ROWS = 32_768
+MAX_CELLS, SAMPLE, ROUNDS = 1024, 8192, 6
+
+
+class Tree:
+    """A ball tree: centre and radius of every node, two children or a range of perm each."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.perm = x, np.arange(len(x))
+        centre, radius, self.child, self.span = [], [], [], []
+        todo = [(0, len(x), -1, 0)]
+        while todo:
+            a, b, parent, side = todo.pop()
+            pts = x[self.perm[a:b]]
+            c = pts.mean(0)
+            at = len(centre)
+            if parent >= 0:
+                self.child[parent][side] = at
+            centre.append(c)
+            far2 = ((pts - c) ** 2).sum(1)
+            radius.append(np.sqrt(far2.max()))
+            self.child.append([-1, -1])
+            self.span.append((a, b))
+            if b - a > LEAF and radius[-1] > 0:
+                # Split at the median between two far points; the depth stays logarithmic.
+                far = pts[far2.argmax()]
+                other = pts[((pts - far) ** 2).sum(1).argmax()]
+                mid = (b - a) // 2
+                self.perm[a:b] = self.perm[a:b][np.argpartition(pts @ (other - far), mid)]
+                todo += [(a, a + mid, at, 0), (a + mid, b, at, 1)]
+        self.centre, self.radius = np.array(centre), np.array(radius)
+
+    def bounds(self, node: int, q: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        b = q @ self.centre[node] + norm * self.radius[node]
+        return b + 1e-6 * (1.0 + np.abs(b))  # rounding of the bound itself
+
+
+class _Best:
+    """The k best of each query of a block, by score, id and key."""
 
+    def __init__(self, n: int, kth: np.ndarray, k: int):
+        self.k, self.kth = k, kth.astype(np.float64).copy()
+        self.cols = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.found, self.size = [], 0
 
-def build_tree(x: np.ndarray):
-    """Leaves of a ball tree: a permutation of the rows, leaf offsets, centres and radii.
+    def add(self, row, cid, key, score):
+        self.found.append((row, cid, key, score))
+        self.size += len(row)
+        if self.size > 64 * QUERY_BLOCK:
+            self.settle()
 
-    A node is split at the median along the direction between two far points until it has at most
-    LEAF rows; equal points are split by position, so the depth stays logarithmic.
+    def settle(self):
+        row, cid, key, score = (np.concatenate([c, *[f[i] for f in self.found]]) for i, c in enumerate(self.cols))
+        self.found, self.size = [], 0
+        order = np.lexsort((key, cid, -score, row))
+        row, cid, key, score = row[order], cid[order], key[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        last = place == self.k - 1
+        self.kth[row[last]] = np.maximum(self.kth[row[last]], score[last])
+        keep = place < self.k
+        self.cols = [row[keep], cid[keep], key[keep], score[keep]]
+
+
+def search(tree: Tree, ids, keys, q, q_keys, kth, k):
+    """(query row, id, key, score) that hold the k best of one shard for a block of queries.
+
+    kth: scores that a result must reach.  Nodes are taken by the highest bound of any query.
     """
-    perm, out, stack = np.arange(len(x)), [], [(0, len(x))]
-    while stack:
-        a, b = stack.pop()
-        if b - a <= LEAF:
-            out.append((a, b))
+    best, norm = _Best(len(q), kth, k), np.sqrt((q**2).sum(1))
+    root = tree.bounds(0, q, norm)
+    heap = [(-root.max(), 0, np.arange(len(q)), root)]
+    seen = 0
+    while heap:
+        _, node, live, bound = heapq.heappop(heap)
+        still = bound >= best.kth[live]
+        live = live[still]
+        if not len(live):
             continue
-        pts = x[perm[a:b]]
-        far = pts[np.argmax(((pts - pts[0]) ** 2).sum(1))]
-        other = pts[np.argmax(((pts - far) ** 2).sum(1))]
-        mid = (b - a) // 2
-        order = np.argpartition(pts @ (other - far), mid)
-        perm[a:b] = perm[a:b][order]
-        stack += [(a, a + mid), (a + mid, b)]
-    out.sort()
-    offs = np.array([a for a, _ in out] + [len(x)])
-    centre = np.array([x[perm[a:b]].mean(0) for a, b in out]).reshape(len(out), x.shape[1])
-    radius = np.array([np.sqrt(((x[perm[a:b]] - c) ** 2).sum(1).max()) for (a, b), c in zip(out, centre, strict=True)])
-    return perm, offs, centre, radius
-
-
-def search(tree, x, ids, q, q_ids, kth, k):
-    """Pairs (query row, id, score) that hold the k best of one shard for a block of queries.
-
-    kth: scores that a result must reach.  Each query first visits the leaf of its highest bound;
-    then the block visits leaves by their highest bound, each leaf with the queries whose bound
-    reaches their k-th score, which rises as results come in.
-    """
-    perm, offs, centre, radius = tree
-    n, m = len(q), len(radius)
-    norm = np.sqrt((q**2).sum(1))
-    bound = q @ centre.T + norm[:, None] * radius[None, :]
-    bound += 1e-6 * (1.0 + np.abs(bound))  # rounding of the bound itself
-    kth = kth.astype(np.float64).copy()
-    row, cid, sco = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    found: list[tuple] = []
-
-    def visit(leaf, live):
-        rows = perm[offs[leaf] : offs[leaf + 1]]
-        s = q[live] @ x[rows].T
-        r, c = np.nonzero(s >= kth[live][:, None])
-        r_q, c_id = live[r], ids[rows[c]]
-        other = c_id != q_ids[r_q]
-        found.append((r_q[other], c_id[other], s[r, c][other]))
-
-    def settle():
-        """Keeps each query's k best and raises its k-th score."""
-        nonlocal row, cid, sco
-        row = np.concatenate([row, *[f[0] for f in found]])
-        cid = np.concatenate([cid, *[f[1] for f in found]])
-        sco = np.concatenate([sco, *[f[2] for f in found]])
-        found.clear()
-        order = np.lexsort((cid, -sco, row))
-        row, cid, sco = row[order], cid[order], sco[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        full = place == k - 1
-        kth[row[full]] = np.maximum(kth[row[full]], sco[full])
-        keep = place < k
-        row, cid, sco = row[keep], cid[keep], sco[keep]
-
-    best = bound.argmax(1)
-    by = np.argsort(best, kind="stable")
-    for live in np.split(by, np.flatnonzero(np.diff(best[by])) + 1):
-        visit(best[live[0]], live)
-    settle()
-    for i, leaf in enumerate(np.argsort(-bound.max(0)).tolist()):
-        live = np.flatnonzero((bound[:, leaf] >= kth) & (best != leaf))
-        if len(live):
-            visit(leaf, live)
-        if i % 4 == 3:
-            settle()
-    settle()
-    return row, cid, sco
-
-
-def top_k(df, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shards: int = 0):
-    """query, rank, id and score of the k best partners of every row for which is_query holds."""
-    spark = df.sparkSession
+        a, b = tree.span[node]
+        if tree.child[node][0] >= 0:
+            for c in tree.child[node]:
+                bound = tree.bounds(c, q[live], norm[live])
+                ok = bound >= best.kth[live]
+                if ok.any():
+                    heapq.heappush(heap, (-bound[ok].max(), c, live[ok], bound[ok]))
+            continue
+        at = tree.perm[a:b]
+        score = q[live] @ tree.x[at].T
+        r, c = np.nonzero(score >= best.kth[live][:, None])
+        other = keys[at[c]] != q_keys[live[r]]
+        r, c = r[other], c[other]
+        best.add(live[r], ids[at[c]], keys[at[c]], score[r, c])
+        seen += 1
+        if seen % 4 == 0:
+            best.settle()
+    best.settle()
+    return best.cols
+
+
+def pivots_of(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of the sample's clusters: a few rounds of k-means from evenly dealt rows."""
+    c = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].copy()
+    for _ in range(ROUNDS):
+        near = _nearest(sample, c)[0]
+        for j in range(cells):
+            own = sample[near == j]
+            if len(own):
+                c[j] = own.mean(0)
+    return c
+
+
+def _nearest(x: np.ndarray, c: np.ndarray):
+    """Number of the nearest centre of each row, and the distance."""
+    d = (x**2).sum(1)[:, None] - 2 * (x @ c.T) + (c**2).sum(1)[None, :]
+    near = d.argmin(1)
+    return near, np.sqrt(np.maximum(((x - c[near]) ** 2).sum(1), 0))
+
+
+def _matrix(col, width: int) -> np.ndarray:
+    """A list column as rows of one width, padded with zeros."""
+    offs = col.offsets.to_numpy()
+    flat = col.values.to_numpy(zero_copy_only=False)
+    n = len(col)
+    lens = offs[1 : n + 1] - offs[:n]
+    if (lens == width).all():
+        return flat[offs[0] : offs[n]].reshape(n, width)
+    out = np.zeros((n, width))
+    for i in range(n):
+        out[i, : lens[i]] = flat[offs[i] : offs[i + 1]]
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+_ROW = "shard int, role int, key long, id long, x array<double>, kth double"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+
+
+def top_k(df, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS):
+    """query_id, rank, vec_id and score of the k best partners of every row for which is_query holds."""
     x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * 64).cast("double"))
     finite = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
-    if not shards:
-        # Shards of bounded size, so that their number follows the data.
-        shards = max(1, -(-rows.count() // SHARD_ROWS)) * 2
-    home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    member = rows.select(home.alias("shard"), "id", "x", F.lit(None).cast("long").alias("kth"))
-    asked = rows.where(is_query(F.col("id")))
+    rows, names = keyed(rows, "id")
+    rows = rows.select("key", "id", "x")
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    width = width or 0
+    cells = max(1, min(MAX_CELLS, -(-n // shard_rows)))
+    sample = rows.select("x", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(SAMPLE).collect()  # a bounded sample
+    first = np.zeros((max(1, len(sample)), width))
+    for i, r in enumerate(sample):
+        first[i, : len(r["x"])] = r["x"]
+    centres = pivots_of(first, min(cells, len(first)))
+
+    def measure(batches):
+        for b in batches:
+            near, far = _nearest(_matrix(b.column(0), width), centres)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(far)], names=["cell", "far"])
+
+    found = rows.select("x").mapInArrow(measure, "cell int, far double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()  # MAX_CELLS rows at most
+    radius, splits = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in found:
+        radius[r["cell"]], splits[r["cell"]] = r["r"], -(-r["n"] // shard_rows)
+    base = np.concatenate([[0], np.cumsum(splits)])
+    shards = max(1, int(base[-1]))
+
+    def home_of(keys, near):
+        part = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+        return base[near] + part % np.maximum(splits[near], 1)
+
+    def deal(role: int):
+        """Rows to their own shards."""
+
+        def run(batches):
+            for b in batches:
+                keys, m = b.column(0).to_numpy(), _matrix(b.column(2), width)
+                home = home_of(keys, _nearest(m, centres)[0])
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.full(n, role, np.int32)), b.column(0), b.column(1), _lists(m), pa.nulls(n, pa.float64())], names=_NAMES)
+
+        return run
+
+    def send(batches):
+        """Queries (key, id, x, k-th score) to the shards, but for their own, whose bound reaches the score."""
+        for b in batches:
+            keys, m = b.column(0).to_numpy(), _matrix(b.column(2), width)
+            kth = np.array([-np.inf if v is None else v for v in b.column(3).to_pylist()], dtype=np.float64)
+            home = home_of(keys, _nearest(m, centres)[0])
+            bound = m @ centres.T + np.sqrt((m**2).sum(1))[:, None] * radius[None, :]
+            bound += 1e-6 * (1.0 + np.abs(bound))
+            for c in np.flatnonzero(splits):
+                for s in range(base[c], base[c + 1]):
+                    go = np.flatnonzero((bound[:, c] >= kth) & (home != s))
+                    if len(go):
+                        at = pa.array(go)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(go), s, np.int32)), pa.array(np.ones(len(go), np.int32)), b.column(0).take(at), b.column(1).take(at), _lists(m[go]), pa.array(kth[go])], names=_NAMES
+                        )
 
     def run(batches):
-        """One shard's rows: members first (kth null, role 0), then queries in blocks."""
-        cur, ids, xs, tree = None, [], [], None
-        q_ids, qs, kths = [], [], []
+        """Rows by shard, members (role 0) before queries, to the best pairs of each shard."""
+        cur, tree, ids, keys = None, None, [], []
+        members, asked = [], []
 
         def flush():
-            nonlocal tree, ids, xs, q_ids, qs, kths
-            if not q_ids:
-                return
-            if tree is None:
-                width = max((len(v) for v in xs), default=0)
-                m = np.zeros((len(xs), width))
-                for i, v in enumerate(xs):
-                    m[i, : len(v)] = v
-                ids_a = np.array(ids, dtype=np.int64)
-                tree = (build_tree(m), m, ids_a)
-            t, m, ids_a = tree
-            q = np.zeros((len(qs), m.shape[1]))
-            for i, v in enumerate(qs):
-                w = min(len(v), m.shape[1])
-                q[i, :w] = v[:w]
-            qa = np.array(q_ids, dtype=np.int64)
-            ka = np.array([-np.inf if z is None else z for z in kths], dtype=np.float64)
-            q_ids, qs, kths = [], [], []
-            if not len(m):
+            nonlocal tree, ids, keys, members, asked
+            if members:
+                ids, keys = (np.concatenate([m[i] for m in members]) for i in (0, 1))
+                tree, members = Tree(np.concatenate([m[2] for m in members])), []
+            if not asked:
                 return
-            r, c, s = search(t, m, ids_a, q, qa, ka, k)
-            yield pa.RecordBatch.from_arrays([pa.array(qa[r]), pa.array(c), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            sh = batch.column("shard").to_numpy()
-            role = batch.column("role").to_numpy()
-            idc = batch.column("id").to_numpy()
-            kc = batch.column("kth").to_pylist()
-            xc = batch.column("x")
-            flat, offs = xc.values.to_numpy(zero_copy_only=False), xc.offsets.to_numpy()
-            for i in range(len(sh)):
-                if sh[i] != cur:
+            q_keys, q_ids, q, kth = (np.concatenate([a[i] for a in asked]) for i in range(4))
+            asked = []
+            if tree is not None:
+                r, c, ck, s = search(tree, ids, keys, q, q_keys, kth, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_keys[r]), pa.array(q_ids[r]), pa.array(c), pa.array(ck), pa.array(s.astype(np.int64))], names=["q", "query_id", "vec_id", "key", "score"])
+
+        for b in batches:
+            shard, role = b.column(0).to_numpy(), b.column(1).to_numpy()
+            change = np.flatnonzero((np.diff(shard) != 0) | (np.diff(role) != 0)) + 1
+            for a, z in zip(np.concatenate([[0], change]), np.concatenate([change, [len(shard)]]), strict=True):
+                if a == z:
+                    continue
+                if shard[a] != cur:
                     yield from flush()
-                    cur, ids, xs, tree = sh[i], [], [], None
-                v = flat[offs[i] : offs[i + 1]]
-                if role[i] == 0:
-                    ids.append(idc[i])
-                    xs.append(v)
-                else:
-                    q_ids.append(idc[i])
-                    qs.append(v)
-                    kths.append(kc[i])
-                    if len(q_ids) >= QUERY_BLOCK:
+                    cur, tree, members, asked = shard[a], None, [], []
+                part = b.slice(a, z - a)
+                key, id_, m = part.column(2).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4), width)
+                if role[a] == 0:
+                    members.append((id_, key, m))
+                    continue
+                kth = np.array([-np.inf if v is None else v for v in part.column(5).to_pylist()], dtype=np.float64)
+                for i in range(0, len(key), QUERY_BLOCK):
+                    y = slice(i, i + QUERY_BLOCK)
+                    asked.append((key[y], id_[y], m[y], kth[y]))
+                    if sum(len(t[0]) for t in asked) >= QUERY_BLOCK:
                         yield from flush()
         yield from flush()
 
-    def visit(queries):
-        both = member.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
+    member = rows.mapInArrow(deal(0), _ROW)
+    queries = rows.where(is_query(F.col("id")))
+
+    def visit(asked):
+        both = member.unionByName(asked)
         dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "role")
-        return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    at_home = cut(visit(asked.select(home.alias("shard"), "id", "x", F.lit(None).cast("long").alias("kth"))))
-    seen = at_home.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-    away = asked.join(seen, "id", "left").withColumn("shard", F.explode(others)).select("shard", "id", "x", "kth")
-    result = at_home if shards == 1 else at_home.unionByName(visit(away))
+        return dealt.mapInArrow(run, "q long, query_id long, vec_id long, key long, score long")
+
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("key"))
+    result = at_home = cut(visit(queries.mapInArrow(deal(1), _ROW)))
+    if shards > 1:
+        seen = at_home.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("q").alias("key"), F.col("score").cast("double").alias("kth"))
+        away = queries.join(seen, "key", "left").select("key", "id", "x", "kth").mapInArrow(send, _ROW)
+        result = at_home.unionByName(visit(away))
     return result.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -309,12 +309,51 @@ def test_topk(spark):
         if q % 20 == 0:
             s = sorted((-sum(a * b for a, b in zip(ints[q], c)), i) for i, c in ints.items() if i != q)[:20]
             want.update({(q, k + 1): (i, -x) for k, (x, i) in enumerate(s)})
-    for shards in (0, 5):
-        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, lambda i: i % 20 == 0, shards=shards).collect()}
+    for size in (32768, 40):  # one shard, and many, the common vector's cell split
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, lambda i: i % 20 == 0, shard_rows=size).collect()}
         assert got == want
     assert top_k(df.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+def test_topk_repeated_ids(spark):
+    from cuewell.llm.topk_search import top_k
+
+    rng = random.Random(13)
+    data = [(rng.choice([20, 40, 41, 42, 43, None]), [rng.randint(-5, 5) / 64 for _ in range(6)]) for _ in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    ints = [(i, [round(64 * x) for x in v]) for i, v in data if i is not None]
+    want = Counter()
+    for a, (q, x) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-sum(map(lambda s, t: s * t, x, y)), i) for b, (i, y) in enumerate(ints) if b != a)[:20]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(tuple(r) for r in top_k(df, lambda i: i % 20 == 0, shard_rows=25).collect()) == want
+
+
+def test_ball_tree_leaves_nodes_out():
+    """Far clusters: the walk opens few nodes, and what it finds is what all pairs give."""
+    import numpy as np
+
+    from cuewell.llm import topk_search
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-3, 4, (512, 8)) + rng.integers(-400, 400, 8) for _ in range(32)]).astype(float)
+    tree, ids = topk_search.Tree(x), np.arange(len(x))
+    assert min(map(len, (tree.centre, tree.radius))) > 32 and any(c[0] >= 0 for c in tree.child)
+    for node, (a, b) in enumerate(tree.span):  # every ball holds its rows
+        assert np.sqrt(((x[tree.perm[a:b]] - tree.centre[node]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
+    opened = []
+    plain = tree.bounds
+    tree.bounds = lambda node, *a: opened.append(node) or plain(node, *a)
+    q = x[:3]
+    row, cid, _, score = topk_search.search(tree, ids, ids, q, ids[:3], np.full(3, -np.inf), 5)
+    for i in range(3):
+        s = q[i] @ x.T
+        best = sorted((-s[j], j) for j in range(len(x)) if j != i)[:5]
+        assert [(-a, b) for a, b in best] == list(zip(score[row == i].tolist(), cid[row == i].tolist(), strict=True))
+    assert len(set(opened)) < len(tree.radius) / 2
+
+
 def test_license_scan(docs, empty):
     from cuewell.llm.license_scan import BASE_PHRASES, scan
 
@@ -340,7 +379,7 @@ def test_license_scan_several_notices(spark):
 
     forms = [(label, must, text) for label, group in TEMPLATES.items() for must, text in group]
     rng = random.Random(6)
-    texts = [f"{a[2]} {b[2]}" for a in forms for b in forms if a is not b]
+    texts = [f"{a[2]} {b[2]}" for a, b in rng.sample([(a, b) for a in forms for b in forms if a is not b], 120)]
     texts += [f"{a[2]} {' '.join(['charge person conditions forms'] * 3)} {b[2]} {a[2]}" for a, b in zip(forms, forms[::-1], strict=True)]
     for _ in range(60):  # words lost, added and swapped
         w = " ".join(text for *_, text in rng.sample(forms, 3)).split()
@@ -367,6 +406,19 @@ def test_license_scan_several_notices(spark):
         assert got[i]["score"] == pytest.approx(min(best, 1.0)), texts[i]
 
 
+def test_license_scan_finds_every_licence(spark):
+    """Each notice alone, all in one file, and pairs that share many words."""
+    from cuewell.llm.license_scan import TEMPLATES, scan
+
+    forms = [(label, text) for label, group in TEMPLATES.items() for _, text in group]
+    gpl, mpl, bsd = (next(t for x, t in forms if x == y) for y in ("gpl-3", "mpl-2", "bsd"))
+    texts = [t for _, t in forms] + [f" {'and so on '.join(t for _, t in forms)} ", f"{gpl} {mpl}", f"{bsd} {gpl}"]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [x for x, (label, _) in enumerate(forms) if label not in got[x]] == []
+    assert got[len(forms)] == set(TEMPLATES)
+    assert got[len(forms) + 1] >= {"gpl-3", "mpl-2"} and got[len(forms) + 2] >= {"bsd", "gpl-3"}
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
@@ -451,6 +503,51 @@ def test_quality_rules_reject_outliers(spark):
     assert not any(got[i]["kept"] for i, *_ in junk)
 
 
+def test_quality_rules_minimum_determinant(spark):
+    """The estimates against numpy: same steps, and no larger a determinant than 200 random starts give."""
+    import numpy as np
+
+    from cuewell.llm import quality_rules as q
+
+    rng = np.random.default_rng(5)
+    groups = {
+        "wide": np.concatenate([rng.normal(0, [0.5, 0.3, 1, 2], (150, 4)), rng.normal(9, 0.1, (30, 4))]),
+        "tied": np.concatenate([np.tile([1.0, 0.2, 0, 0], (60, 1)), rng.normal(0, 1, (20, 4))]),
+        "single": np.array([[1.0, 2.0, 3.0, 4.0]]),
+        "same": np.tile([0.5, 0.5, 0.5, 0.5], (12, 1)),
+    }
+    table = [(i, g, "", *map(float, z)) for g, x in groups.items() for i, z in enumerate(x)]
+    stats = spark.createDataFrame(table, "doc_id long, g_lang string, g_source string, z1 double, z2 double, z3 double, z4 double").repartition(3)
+    got = {r["g_lang"]: r for r in q._estimate(stats, ["g_lang", "g_source"]).collect()}
+    assert set(got) == set(groups)
+    scale = q.KEEP_SHARE / q._chi2_cdf(q.chi2_quantile(q.KEEP_SHARE, 4), 6)
+    x = groups["wide"]
+    m = np.array([got["wide"][f"m{i}"] for i in range(4)])
+    low = np.array([[got["wide"][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    assert got["wide"]["det"] == pytest.approx(np.linalg.det(low @ low.T))
+
+    def close(d2):
+        return d2 <= np.sort(d2)[int(np.ceil(q.KEEP_SHARE * len(d2))) - 1]
+
+    kept = close((np.linalg.solve(low, (x - m).T) ** 2).sum(0))
+    assert kept[:150].mean() > 0.85 and not kept[150:].any()  # the far cluster is left out
+
+    def plain(start):
+        best = np.inf
+        keep = start
+        for _ in range(12):
+            c = np.cov(x[keep].T, bias=True) * scale + np.diag(np.square(q.FLOORS))
+            best = min(best, np.linalg.det(c))
+            d = x - x[keep].mean(0)
+            keep = close((d @ np.linalg.inv(c) * d).sum(1))
+        return best
+
+    least = min(plain(rng.choice(len(x), 20, replace=False)) for _ in range(200))
+    assert got["wide"]["det"] <= least * 1.3  # shrunk toward the pooled covariance, so not quite the same
+    for g in ("single", "same", "tied"):
+        assert np.isfinite(got[g]["det"]) and got[g]["det"] > 0
+
+
 def test_quality_rules_many_groups(docs, monkeypatch):
     from cuewell.llm import quality_rules
 
