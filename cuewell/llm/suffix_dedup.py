@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import keyed, named
-from .lineage import cut
-from .textblocks import blocks, prefix_sums, span_hashes
+from .lineage import written
+from .textblocks import blocks, mix, prefix_sums, span_hashes
 
 GRAM = 32
-SYMBOL, LEAST_SYMBOL = 200, 8
+SYMBOL, LEAST_SYMBOL = 100, 8
 PASSAGE, PASSAGE_GRAM = 256, 64
 SHARD_BYTES = 1 << 19
 GROUP_ROWS = 2000
@@ -66,19 +66,23 @@ def symbol_bytes(length: int) -> int:
     raise ValueError(f"length has no divisor from {LEAST_SYMBOL} to {SYMBOL}")
 
 
-def passage_grams(data: np.ndarray, offs: np.ndarray, p: np.ndarray):
-    """Distinct (row, hash): the smallest hash among the gram windows of every PASSAGE-byte string."""
-    wide = PASSAGE - PASSAGE_GRAM + 1
-    if len(data) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(len(data) - PASSAGE_GRAM + 1)
-    best = _sliding_min(span_hashes(p, at, at + PASSAGE_GRAM), wide)
-    row = np.repeat(np.arange(len(offs) - 1), offs[1:] - offs[:-1])[: len(best)]
-    inside = np.arange(len(best)) + PASSAGE <= offs[row + 1]
-    row, best = row[inside], best[inside]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
-    row, best = row[new], best[new]
+def passage_grams(h: np.ndarray, offs: np.ndarray):
+    """Distinct (row, hash): the smallest hash among the gram windows of every PASSAGE-byte string.
+
+    h: the hashes of all GRAM-byte windows; a passage's gram is two of them side by side.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(h) <= PASSAGE - GRAM:
+        return none
+    two = mix(h[:-GRAM] * np.uint64(0x9E3779B97F4A7C15) + h[GRAM:])
+    best = _sliding_min(two, PASSAGE - PASSAGE_GRAM + 1)
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[offs[:-1][offs[:-1] < len(best)]] = True
+    at = np.flatnonzero(new)
+    row = np.searchsorted(offs, at, "right") - 1
+    inside = at + PASSAGE <= offs[row + 1]
+    row, best = row[inside], best[at[inside]]
     order = np.lexsort((best, row))
     row, best = row[order], best[order]
     new = np.ones(len(row), bool)
@@ -86,29 +90,33 @@ def passage_grams(data: np.ndarray, offs: np.ndarray, p: np.ndarray):
     return row[new], best[new]
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, p: np.ndarray):
+def gram_hashes(data: np.ndarray, p: np.ndarray) -> np.ndarray:
+    at = np.arange(max(0, len(data) - GRAM + 1))
+    return span_hashes(p, at, at + GRAM)
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, p: np.ndarray, h: np.ndarray):
     """Of a block: (row, anchor hash, first and last start that it anchors, last marked start, dropped)."""
     none = np.zeros(0, np.int64)
     sizes = offs[1:] - offs[:-1]
     if len(data) < length or sizes.max(initial=0) < length:
         return none, none.astype(np.uint64), none, none, none, none.astype(bool)
-    at = np.arange(len(data) - GRAM + 1)
-    h = span_hashes(p, at, at + GRAM)
     bits = max(20, int(len(data)).bit_length())
     low = np.uint64((1 << bits) - 1)
-    best = _sliding_min((h & ~low) | at.astype(np.uint64), length - GRAM + 1)
-    starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) if b - a >= length])
-    pos = (best[starts] & low).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (pos[1:] != pos[:-1]) | (starts[1:] != starts[:-1] + 1)
-    k = np.flatnonzero(new)
-    s1, s2 = starts[k], starts[np.append(k[1:], len(starts)) - 1]
+    best = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[offs[:-1][offs[:-1] < len(best)]] = True
+    s1 = np.flatnonzero(new)
+    s2 = np.append(s1[1:], len(best)) - 1
     row = np.searchsorted(offs, s1, "right") - 1
-    f = h[pos[k]]
+    whole_strings = s1 + length <= offs[row + 1]
+    s1, s2, row = s1[whole_strings], np.minimum(s2, offs[row + 1] - length)[whole_strings], row[whole_strings]
+    f = h[(best[s1] & low).astype(np.int64)]
     # A run of anchors that equals the run before it, string by string, is a period.
     n = s2 - s1 + 1
     whole = lambda s: span_hashes(p, s, s + length)
-    equal = np.zeros(len(k), bool)
+    equal = np.zeros(len(s1), bool)
     j = np.flatnonzero((f[1:] == f[:-1]) & (row[1:] == row[:-1]) & (s1[1:] == s2[:-1] + 1) & (n[1:] <= n[:-1])) + 1
     if len(j):
         back = n[j - 1]
@@ -131,10 +139,11 @@ def _anchor_rows(length: int):
             keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, data, offs in blocks(b.column(1)):
                 p = prefix_sums(data)
-                row, f, s1, s2, until, drop = anchors(data, offs, length, p)
+                h = gram_hashes(data, p)
+                row, f, s1, s2, until, drop = anchors(data, offs, length, p, h)
                 doc = keys[lo:hi][row]
                 parts = [(f[x], doc[x], s1[x], last[x], kind) for x, last, kind in ((~drop, s2, SEEN), (until >= s1, until, MARK))]
-                row, f = passage_grams(data, offs, p)
+                row, f = passage_grams(h, offs)
                 parts.append((f, keys[lo:hi][row], np.zeros(len(f), np.int64), np.zeros(len(f), np.int64), SHARED))
                 for f, doc, first, last, kind in parts:
                     yield pa.RecordBatch.from_arrays(
@@ -174,11 +183,24 @@ def _contexts(out):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _CONTEXT.split(", ")])
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: their upper bits are sorted with the place below them, and only
+    where these don't tell two hashes apart all bits are."""
+    bits = max(1, (len(x) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    packed = np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    own = x[order]
+    if ((packed[1:] ^ packed[:-1] <= low) & (own[1:] != own[:-1])).any():
+        return np.argsort(x, kind="stable")
+    return order
+
+
 class Shard:
     """Suffixes of some contexts, sorted by their first ``depth`` symbols, with their transform.
 
     order: suffix numbers (context, place) packed by the caller; bwt: the symbol before each suffix
-    (0: none); short: suffixes too short for a symbol, which stand first.
+    (0: none); short: suffixes without a symbol of their own, which stand first.
     """
 
     def __init__(self, order, bwt, short):
@@ -188,22 +210,25 @@ class Shard:
     def build(cls, text: np.ndarray, offs: np.ndarray, depth: int, first: int, symbol: int) -> Shard:
         """Sorts one shard: depth stable sorts by preceding symbol, from the unsorted suffixes on.
 
-        Each context ends with one byte that is no part of it: its empty suffix stands there.
+        A context holds strings of depth symbols that start at its first places, up to its end, and one
+        byte that is no part of it: the last string's empty rest stands there.  Only suffixes that a
+        string is compared at take part: those at its start and every symbol on.
         """
-        n = len(text)
-        room = np.repeat(offs[1:], offs[1:] - offs[:-1]) - np.arange(n) - 1
-        at = np.arange(n)
-        has = room >= symbol
-        sym = np.zeros(n, np.uint64)
-        sym[has] = span_hashes(prefix_sums(text), at[has], at[has] + symbol) | np.uint64(1)
-        before = np.arange(n) - symbol
-        valid = before >= np.repeat(offs[:-1], offs[1:] - offs[:-1])
-        short = at[~has]
-        order = np.concatenate([short, at[has]])
+        sizes = offs[1:] - offs[:-1]
+        place = np.arange(len(text)) - np.repeat(offs[:-1], sizes)
+        many = np.repeat(sizes - depth * symbol, sizes)  # strings of the place's context
+        has = np.zeros(len(text), bool)
+        for k in range(depth):
+            has |= (place >= k * symbol) & (place < k * symbol + many)
+        at = np.flatnonzero(has)
+        sym = np.zeros(len(text), np.uint64)
+        sym[at] = span_hashes(prefix_sums(text), at, at + symbol) | np.uint64(1)
+        short = np.flatnonzero((place >= depth * symbol) & ~has)
+        order = np.concatenate([short, at])
         for _ in range(depth):
-            prev = before[order[valid[order]]]
-            order = np.concatenate([short, prev[np.argsort(sym[prev], kind="stable")]])
-        bwt = np.where(valid[order], sym[np.maximum(before[order], 0)], np.uint64(0))
+            prev = order[place[order] >= symbol] - symbol
+            order = np.concatenate([short, prev[_order(sym[prev])]])
+        bwt = np.where(place[order] >= symbol, sym[np.maximum(order - symbol, 0)], np.uint64(0))
         return cls(order + first, bwt, len(short))
 
 
@@ -214,7 +239,7 @@ def merge(a: Shard, b: Shard, depth: int) -> Shard:
     for _ in range(depth):
         sym = _interleaved(z, a.bwt, b.bwt)
         keep = sym != 0
-        new = np.concatenate([ends, z[keep][np.argsort(sym[keep], kind="stable")]])
+        new = np.concatenate([ends, z[keep][_order(sym[keep])]])
         if np.array_equal(new, z):
             break
         z = new
@@ -235,7 +260,7 @@ def repeated(shard: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(shard.order)
     linked = np.flatnonzero(shard.bwt != 0)
-    perm = linked[np.argsort(shard.bwt[linked], kind="stable")]
+    perm = linked[_order(shard.bwt[linked])]
     # The k-th suffix that starts with a symbol stands before the k-th occurrence of it.
     target = shard.short + np.arange(len(perm))
     cls = np.zeros(n, np.int64)
@@ -269,7 +294,13 @@ def _mark_rows(length: int):
         alike = copies[stands]
         if alike.any():
             yield batch(docs[alike], s1[alike], s2[alike] + length)
+        salted = np.array([r[1] >= 0 for r in rows])
         only = np.flatnonzero(stands == np.arange(len(rows)))
+        # Strings of one context differ, and equal ones share a group: a context alone in its group is done.
+        group = np.cumsum([i == 0 or rows[i][:2] != rows[i - 1][:2] for i in range(len(rows))])[only]
+        only = only[(np.bincount(group)[group] > 1) | salted[only]]
+        if not len(only):
+            return
         texts = [rows[i][5] + b"\0" for i in only.tolist()]
         sizes = np.array([len(t) for t in texts])
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -291,10 +322,10 @@ def _mark_rows(length: int):
         many = np.bincount(cls)[cls] > 1 if len(cls) else np.zeros(0, bool)
         start = s1[ctx] + place
         yield from ranges(docs[ctx[many]], start[many])
-        salted = np.array([r[1] >= 0 for r in rows])[ctx]
-        if salted.any():
+        across = salted[ctx]
+        if across.any():
             text = np.frombuffer(b"".join(texts), np.uint8)
-            idx = np.flatnonzero(salted)
+            idx = np.flatnonzero(across)
             _, one = np.unique(cls[idx], return_index=True)
             idx = idx[one]  # a string's hash once for each group of rows
             o = order[idx]
@@ -375,7 +406,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     passage anchors another document holds too."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(docs.mapInArrow(_anchor_rows(length), _ANCHOR))
+    found = written(docs.mapInArrow(_anchor_rows(length), _ANCHOR), "kind")
     seen = found.where(F.col("kind") == SEEN).select("f", "doc", "s1", "s2")
     # Partial counts first, so a hot hash costs one row a task.
     often = seen.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -386,7 +417,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     texts = docs.repartition(parts, "key")
     both = texts.join(lists, texts["key"] == lists["doc"]).select("key", "text", "xs")
     ctx = both.mapInArrow(_context_rows(length), _CONTEXT).repartition(parts, "f", "salt").sortWithinPartitions("f", "salt")
-    marks = cut(ctx.mapInArrow(_mark_rows(length), _MARK))
+    marks = written(ctx.mapInArrow(_mark_rows(length), _MARK))
     across = marks.where(F.col("h").isNotNull())
     again = across.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
     more = across.join(again, "h", "left_semi").select("doc", "a", "b")
