@@ -195,7 +195,7 @@ def q_spread(spark, sf):
 
 def q_spread_settled(spark, sf):
     e = episodes(spark, sf)
-    return graph.spread(last_sentences(e), e, 8, 0).select("qid", "rank", "idx", "seed", "act")
+    return graph.spread(last_sentences(e), e, 8, 0).select("qid", "rank", "idx", "seed", F.round("act", 6).alias("act"))
 
 
 def geography(spark, sf):
@@ -251,7 +251,7 @@ def q_trust(spark, sf):
 def q_trust_rank(spark, sf):
     ledger = signals.trust(trust_rounds(spark, sf))
     e = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("pos"), F.col("value").alias("relevance"), F.col("event_type").alias("class"))
-    return signals.trust_rank(e, ledger).where("rank <= 3").select("qid", "pos", "class", "rank")
+    return signals.trust_rank(e, ledger).select("qid", "pos", "class", "rank")
 
 
 def notes(spark, sf):
@@ -283,12 +283,8 @@ def q_class_of(spark, sf):
 def q_cosine(spark, sf):
     """Ten nearest vectors by cosine of every vector whose id is divisible by 20."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    v = v.withColumn("norm", vectors.norm(F.col("vec")))
-    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"), F.col("norm").alias("qn"))
-    pairs = v.join(q, F.col("id") != F.col("qid"))
-    s = pairs.select("qid", "id", F.round(vectors.dot(F.col("q"), F.col("vec")) / (F.col("qn") * F.col("norm")), 9).alias("cosine"))
-    w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("qid", "rank", "id", F.round("cosine", 6).alias("cosine"))
+    near = vectors.nearest(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), 10)
+    return near.select("qid", "rank", "id", F.round("cosine", 6).alias("cosine"))
 
 
 def q_quantize(spark, sf):
@@ -376,7 +372,7 @@ def q_session(spark, sf):
     """Each conversation's sentences recalled in order, every hit strengthening its fact."""
     e = episodes(spark, sf)
     q = e.select(F.col("idx").cast("long").alias("qid"), "scope", F.col("idx").alias("seq"), F.col("t").alias("query"))
-    return adaptive.recall_session(q, e, 8.0)
+    return adaptive.recall_session(q, e, 8.0).withColumn("weight", F.round("weight", 9))
 
 
 def q_session_links(spark, sf):
@@ -446,10 +442,13 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from . import catalog_meaning, catalog_store
+
+    return QUERIES | catalog_store.QUERIES | catalog_meaning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from .plans.oracle import SQL
+    from .plans import oracle, oracle_meaning, oracle_store
 
-    return {k: v for k, v in SQL.items() if k in QUERIES}
+    known = queries()
+    return {k: v for k, v in (oracle.SQL | oracle_store.SQL | oracle_meaning.SQL).items() if k in known}

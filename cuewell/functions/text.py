@@ -181,3 +181,17 @@ def unescape(text: Column) -> Column:
     parts = F.split(text, r"\\\\", -1)  # between escaped backslashes
     plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")))
     return F.array_join(plain, "\\")
+
+
+def json_escape(text: Column) -> Column:
+    """A text as it stands inside a JSON string: quotes, backslashes and control characters escaped."""
+    t = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\u0008", 9: "\\t", 10: "\\n", 12: "\\u000c", 13: "\\r"}
+    for code in range(32):
+        t = F.replace(t, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+    return F.when(text.rlike(r'["\\\x00-\x1F]'), t).otherwise(text)
+
+
+def url_decode(text: Column) -> Column:
+    """Plus signs and percent codes of a query string resolved; null where it isn't well-formed."""
+    return F.try_url_decode(text)

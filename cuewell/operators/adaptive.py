@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import cut
-from .recall import gather, score, with_cues
+from .recall import gather, indexed, score, with_cues
 
 LINK_WINDOW, RING = 3, 32
 
@@ -38,7 +38,7 @@ def recall_session(queries: DataFrame, episodes: DataFrame, half_life: float | N
     """
     q = with_cues(queries, expand=False)
     pets = F.col("pet_query") & F.col("es_pet")
-    df = score(gather(q, episodes), q, episodes)
+    df = score(gather(q, indexed(episodes)), q, episodes)
     df = df.where((F.col("ov") >= 1) | pets).where((~F.col("loose_fact") | pets) & (~F.col("loose_cue") | pets))
     rows = df.select("scope", "seq", "qid", "idx", "exact", "selfp", "subj", "spec", F.col("t").alias("fact"))
 
@@ -64,7 +64,11 @@ def recall_session(queries: DataFrame, episodes: DataFrame, half_life: float | N
 
 
 def recall_links(hits: DataFrame, window: int = LINK_WINDOW) -> DataFrame:
-    """(scope, a, b, w): half a unit for every pair of hits within window of each other."""
+    """(scope, a, b, w): half a unit for every pair of hits within window of each other.
+
+    A ring keeps the last RING hits, so no window reaches further.
+    """
+    window = min(window, RING)
     w = Window.partitionBy("scope").orderBy("tick")
     pairs = hits
     for k in range(1, window + 1):
@@ -118,3 +122,19 @@ def rewire(links: DataFrame, survivors: DataFrame, episodes: DataFrame) -> DataF
     a = links.join(stands.select("scope", F.col("idx").alias("a"), F.col("to").alias("x")), ["scope", "a"])
     b = a.join(stands.select("scope", F.col("idx").alias("b"), F.col("to").alias("y")), ["scope", "b"]).where("x <> y")
     return b.groupBy("scope", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def reinforce(weights: DataFrame, touched: DataFrame, half_life: float | None = None) -> DataFrame:
+    """Weights (scope, idx, w, tick) after (scope, idx, tick, by): decayed to the tick, then raised; a fact that
+    has no weight yet starts at one."""
+    by = touched.groupBy("scope", "idx").agg(F.sum("by").alias("by"), F.max("tick").alias("at"))
+    both = weights.join(by, ["scope", "idx"], "full")
+    now = effective(F.coalesce("w", F.lit(1.0)), F.coalesce("tick", "at"), F.coalesce("at", "tick"), half_life)
+    return both.select("scope", "idx", F.when(F.col("by").isNull(), F.col("w")).otherwise(now + F.col("by")).alias("w"), F.coalesce("at", "tick").alias("tick"))
+
+
+def strength(weights: DataFrame, now: DataFrame, half_life: float | None = None) -> DataFrame:
+    """(scope, idx, eff, facts): effective weights at each scope's tick (scope, now), and how many facts it holds."""
+    both = weights.join(now, "scope")
+    n = F.count(F.lit(1)).over(Window.partitionBy("scope"))
+    return both.select("scope", "idx", effective(F.col("w"), F.col("tick"), F.col("now"), half_life).alias("eff"), n.alias("facts"))

@@ -1,4 +1,4 @@
-"""Facts to episodes: index keys, value candidates and head of every fact, as one projection.
+"""Facts to episodes: index keys, value candidates and head of every fact, in one pass over its tokens.
 
 Whatever depends on the fact alone is worked out here, once: each candidate carries its stem, its
 place, whether it is a number and the phrase it grows to, so that recall only compares.
@@ -6,78 +6,39 @@ place, whether it is a number and the phrase it grows to, so that recall only co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
-from ..functions import lexicon as lex
-from ..functions import text as T
+from ..functions import analysis
 
-MAX_CANDIDATES, FIRST_CANDIDATES = 10, 5
-_BLOCKED = sorted(set(lex.STOP) | set(lex.STOP_VALUES))
 
+def _with(df: DataFrame, schema: str, text_col: str, make) -> DataFrame:
+    """The frame's own columns and those that make(batch, place of the text) adds, over Arrow batches."""
+    added = t.StructType.fromDDL(schema)
+    own = [f for f in df.schema.fields if f.name not in added.fieldNames()]
+    names = [f.name for f in own] + added.fieldNames()
+    at = [f.name for f in own].index(text_col)
 
-def _candidates() -> Column:
-    """Value candidates from the columns _clip and _low, most surprising first, earlier token on ties."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(make(b, at), names=names)
 
-    def one(w, i):
-        low = F.get("_low", i)
-        ok = (low != "") & ~F.get("_stop", i) & low.rlike(r"[\p{L}\p{N}]") & ((F.octet_length(low) >= 3) | low.rlike("^[0-9]+$"))
-        score = T.surprise(w, i) + 0.15 * i.cast("double")
-        return F.struct((-score).alias("s"), i.alias("i"), w.alias("w"), ok.alias("ok"))
+    return df.select([f.name for f in own]).mapInArrow(run, t.StructType([*own, *added.fields]))
 
-    return F.array_sort(F.filter(F.transform("_clip", one), lambda x: x["ok"]))
-
-
-def _grown(w: Column) -> Column:
-    """A capitalised candidate with the open capitalised tokens next to it; one with a digit stays."""
-    at = F.array_position("_low", F.lower(w)).cast("int") - 1
-    seq = F.sequence(F.lit(0), F.size("_open") - 1)
-    lo = F.aggregate(F.reverse(seq), at, lambda a, i: F.when((i == a - 1) & F.get("_open", i), i).otherwise(a))
-    hi = F.aggregate(seq, at, lambda a, i: F.when((i == a + 1) & F.get("_open", i), i).otherwise(a))
-    span = T.bind(F.struct(lo.alias("lo"), hi.alias("hi")), lambda b: F.when(b["hi"] > b["lo"], F.array_join(F.slice("_clip", b["lo"] + 1, b["hi"] - b["lo"] + 1), " ")))
-    return F.when(T.is_capital(w) & ~w.rlike("[0-9]"), F.coalesce(span, w)).otherwise(w)
 
+def encode(facts: DataFrame, text_col: str = "t") -> DataFrame:
+    """Adds tok, tok_stems, c, cand, v, raw, s, pos, roots, head and self_flag; rows that hold no fact go.
 
-def _place(w: Column) -> Column:
-    """First token that a candidate equals, shown or cleaned."""
-    a, b = F.array_position("_low", F.lower(w)), F.array_position("_w", T.clean_word(w))
-    none = F.lit(1_000_001).cast("long")
-    return (F.least(F.when(a > 0, a).otherwise(none), F.when(b > 0, b).otherwise(none)) - 1).cast("int")
+    A null text holds no fact.
+    """
+    return _with(facts, analysis.EPISODE, text_col, analysis.episodes_of)
 
 
-def encode(facts: DataFrame, text_col: str = "t") -> DataFrame:
-    """Adds tok, tok_stems, c, cand, v, raw, s, pos, head and self_flag; rows that hold no fact go."""
-    df = facts.withColumn("_u", F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "")).withColumn("tok", T.tokens(F.col("_u")))
-    df = df.withColumns({"_w": F.transform("tok", T.clean_word), "_clip": F.transform("tok", T.clip)})
-    df = df.withColumns({"_d": F.array_remove(F.array_distinct("_w"), ""), "_low": F.transform("_clip", F.lower)})
-    df = df.withColumn("_stop", F.transform("_low", lambda x: x.isin(_BLOCKED)))
-    df = df.withColumn("raw", F.array_sort(F.array_except("_d", T._list(lex.STOP))))
-    digit = F.exists("raw", lambda w: w.rlike("[0-9]"))
-    enough = (F.size("tok") >= 3) | digit | F.contains("_u", F.lit(":"))
-    df = df.where((F.size("raw") > 0) & enough).withColumn("_ranked", _candidates()).where(F.size("_ranked") > 0)
-    rest = F.filter("_ranked", lambda x, i: (i >= FIRST_CANDIDATES) & (T.is_number(x["w"]) | T.is_capital(x["w"])))
-    keep = F.concat(F.slice("_ranked", 1, FIRST_CANDIDATES), F.slice(rest, 1, MAX_CANDIDATES - FIRST_CANDIDATES))
-    df = df.withColumns(
-        {
-            "c": F.transform(keep, lambda x: x["w"]),
-            "tok_stems": F.transform("_w", T.stem),
-            "s": T.stems(F.col("raw")),
-            "_open": F.transform("_clip", lambda w, i: T.is_capital(w) & ~F.get("_stop", i)),
-        }
-    )
-    info = lambda w: F.struct(w.alias("w"), T.stem(F.lower(w)).alias("st"), _place(w).alias("p"), T.is_number(w).alias("num"), _grown(w).alias("x"))
-    first = F.filter("_w", lambda w: (w != "") & ~w.isin(lex.STOP) & ~w.isin(lex.FILLERS))
-    has = lambda *ws: F.arrays_overlap("_d", T._list(list(ws)))
-    df = df.withColumns(
-        {
-            "cand": F.transform("c", info),
-            "v": F.element_at("c", 1),
-            "pos": F.transform("s", lambda x: (F.array_position("tok_stems", x) - 1).cast("int")),
-            "head": F.coalesce(T.stem(F.get(first, F.lit(0))), F.lit("")),
-            "self_flag": has("my", "i", "im", "mine") & ~has("her", "his", "its", "their", "your") & F.array_contains("s", "name"),
-        }
-    )
-    return df.drop("_u", "_w", "_d", "_clip", "_low", "_stop", "_ranked", "_open")
+def cues(queries: DataFrame, expand: bool = True, text_col: str = "query") -> DataFrame:
+    """Adds q (content words), cue (stems) and the query's flags; queries without content go."""
+    return _with(queries, analysis.CUE, text_col, lambda b, at: analysis.cues_of(b, at, expand))
 
 
 def pick_value(df: DataFrame, cue: str, want_number: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as lex
 from ..functions import text as T
 from ..plans.lineage import cut
-from .recall import document_counts, gather, postings, sizes, with_cues
+from .recall import indexed, with_cues
 
 EPSILON, STRENGTH_CAP, STRENGTH_FLOOR = 1e-6, 8.0, 0.05
 
@@ -20,18 +20,18 @@ def spread(queries: DataFrame, episodes: DataFrame, k: int = 16, hops: int = 0)
     hops = 0 runs until nothing new is lit.  Signals are summed per stem before they fan out, so a
     stem with many facts costs its facts once, not its pairs; a fact's own signal is taken back out.
     """
-    q = with_cues(queries, expand=False)
+    index = indexed(episodes)
+    episodes = index.episodes
+    q = cut(with_cues(queries, expand=False))
     keys = ["qid", "scope"]
-    cand = gather(q, episodes, pets=False)
     cues = q.select(*keys, F.explode("cue").alias("stem"))
     # A seed's activation counts its cue stems among those that may gather.
-    counts = document_counts(episodes).join(sizes(episodes), "scope")
+    counts = index.counts.join(index.sizes, "scope")
     gate = counts.withColumn("rare", F.col("df") <= F.greatest(F.floor(F.col("n") * 0.25), F.lit(64)))
     used = cues.join(gate.select("scope", "stem", "rare"), ["scope", "stem"]).withColumn("any", F.max("rare").over(Window.partitionBy(*keys))).where("rare OR NOT any")
-    seeds = used.join(postings(episodes), ["scope", "stem"]).groupBy(*keys, "idx").agg(F.count(F.lit(1)).cast("double").alias("act"))
-    seeds = seeds.join(cand, [*keys, "idx"], "left_semi")
+    seeds = used.join(index.postings, ["scope", "stem"]).groupBy(*keys, "idx").agg(F.count(F.lit(1)).cast("double").alias("act"))
     link = counts.where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.floor(F.col("n") * 0.25), F.lit(4))) & ~F.col("stem").isin(lex.STOP_VALUE_STEMS))
-    links = postings(episodes).join(link.select("scope", "stem", "df"), ["scope", "stem"])
+    links = index.postings.join(link.select("scope", "stem", "df"), ["scope", "stem"])
     act, frontier, step = seeds.withColumn("seed", F.lit(True)), seeds, 0
     while hops == 0 or step < hops:
         step += 1

@@ -10,20 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
+from ..plans.numbering import numbered
 
 LOSE, WIN, PRUNE = 0.5, 1.1, 0.1
 
 
 def entangle(links: DataFrame, new: DataFrame) -> DataFrame:
     """Links after new rows without id; ebits is at least one, ids go on from the largest."""
-    from pyspark.sql.window import Window
-
     base = links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))  # one row
-    order = Window.orderBy("src_scope", "src_text", "dst_scope", "dst_text")
-    ranked = new.withColumn("id", F.row_number().over(order)).join(F.broadcast(base))
+    ranked = numbered(new, ["src_scope", "src_text", "dst_scope", "dst_text"], "id").join(F.broadcast(base))
     return links.unionByName(ranked.withColumn("id", (F.col("id") + F.col("base")).cast("long")).withColumn("ebits", F.greatest("ebits", F.lit(1))).select(links.columns))
 
 
+def missing_ends(links: DataFrame, facts: DataFrame) -> DataFrame:
+    """(scope, t): ends of links that the store doesn't hold yet and has to write."""
+    ends = links.select(F.col("src_scope").alias("scope"), F.col("src_text").alias("t")).unionByName(links.select(F.col("dst_scope").alias("scope"), F.col("dst_text").alias("t"))).distinct()
+    return ends.join(facts.select("scope", "t"), ["scope", "t"], "left_anti")
+
+
+def disentangle(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links without those of some ids."""
+    return links.join(ids, "id", "left_anti")
+
+
+def of_scopes(links: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(scope, id): the links that end in a scope, either side, each once."""
+    ends = links.select(F.explode(F.array_distinct(F.array("src_scope", "dst_scope"))).alias("scope"), "id")
+    return ends.join(scopes, "scope", "left_semi")
+
+
 def find(links: DataFrame, facts: DataFrame) -> DataFrame:
     """(scope, t, id, partner_scope, partner): links that a fact ends, either side."""
     src = facts.join(links, (facts["scope"] == links["src_scope"]) & (facts["t"] == links["src_text"])).select("scope", "t", "id", F.col("dst_scope").alias("partner_scope"), F.col("dst_text").alias("partner"))
@@ -82,13 +98,15 @@ def after_moves(links: DataFrame, moves: DataFrame) -> DataFrame:
     return out.withColumns({"src_text": src, "dst_text": dst}).select(links.columns)
 
 
-def cascade(requests: DataFrame, links: DataFrame, hops: int) -> DataFrame:
-    """Moves carried on from each destination while a live link leads out of it, hops at most."""
-    from ..plans.lineage import cut
+def cascade(requests: DataFrame, links: DataFrame, hops: int | None = None) -> DataFrame:
+    """Moves carried on from each destination while a live link leads out of it.
 
-    out, now = None, requests
-    for h in range(hops):
-        moves = cut(teleport(now, links).withColumn("hop", F.lit(h + 1)))
+    Every move spends an ebit, so the links bound the number of hops; hops sets a lower bound of its own.
+    """
+    out, now, h = None, requests, 0
+    while hops is None or h < hops:
+        h += 1
+        moves = cut(teleport(now, links).withColumn("hop", F.lit(h)))
         if moves.isEmpty():
             break
         out = moves if out is None else out.unionByName(moves)
@@ -137,12 +155,69 @@ def best_entry(cues: DataFrame, entries: DataFrame) -> DataFrame:
     return n.groupBy("qid", "scope").agg(F.min_by("text", F.struct(-F.col("ov"), F.col("text"))).alias("text"))
 
 
-def place(new: DataFrame, loads: DataFrame) -> DataFrame:
-    """(shard, load) rows and new scopes: each goes to the least loaded other shard, in turn."""
-    from pyspark.sql.window import Window
+def recall_once(asked: DataFrame, budgets: DataFrame, supers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recalled facts (qid, scope, t, seq), each read spent: alternatives first, then the read budget.
 
-    order = F.row_number().over(Window.orderBy("load", "shard"))
-    n = loads.count()  # shards, not facts
-    ranked = loads.withColumn("r", order)
-    turns = new.withColumn("r", F.pmod(F.xxhash64("scope"), F.lit(max(n, 1))).cast("int") + 1)
-    return turns.join(F.broadcast(ranked), "r").select("scope", "shard")
+    Gives (qid, scope, t, seq, answer, served), the budgets left and the alternatives left; an entry with
+    one survivor is a fact from then on and leaves the alternatives.  supers: (scope, t, alts).
+    """
+    turns = asked.groupBy("scope", "t").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    measured = supers.join(turns, ["scope", "t"]).withColumn("m", measure(F.col("alts"), F.col("n")))
+    served, rest = spend_reads(budgets, asked.select("scope", "t", "seq"))
+    out = asked.join(served, ["scope", "t", "seq"]).join(measured.select("scope", "t", F.col("m.chosen").alias("chosen")), ["scope", "t"], "left")
+    left = supers.join(measured.select("scope", "t", F.col("m.rest").alias("rest")), ["scope", "t"], "left").withColumn("alts", F.coalesce("rest", "alts"))
+    return out.select("qid", "scope", "t", "seq", F.coalesce("chosen", "t").alias("answer"), "served"), rest, left.where(F.size("alts") > 1).select("scope", "t", "alts")
+
+
+def superpose(entries: DataFrame) -> DataFrame:
+    """(scope, t, alts) of rows (scope, t, alt, seq): alternatives in order, each once, at weight one."""
+    first = entries.groupBy("scope", "t", "alt").agg(F.min("seq").alias("seq"))
+    by = first.groupBy("scope", "t").agg(F.array_sort(F.collect_list(F.struct("seq", "alt"))).alias("x"))
+    return by.select("scope", "t", F.transform("x", lambda x: F.struct(x["alt"].alias("alt"), F.lit(1.0).alias("w"))).alias("alts"))
+
+
+def survivors(supers: DataFrame) -> DataFrame:
+    """(scope, t): the one alternative left of an entry, to be stored as a fact."""
+    return supers.where(F.size("alts") == 1).select("scope", F.get("alts", F.lit(0))["alt"].alias("t"))
+
+
+def place(new: DataFrame, loads: DataFrame, capacity: int | None = None) -> DataFrame:
+    """(scope, shard): new scopes in name order, each put on the shard of least load then, the first on ties.
+
+    loads: (shard, load), a row a shard.  Beyond the capacity of all shards, further shards are opened in turn.
+    """
+    held = {r["shard"]: r["load"] for r in loads.collect()}  # a row a shard
+    n = new.count()
+    level, spare = _water(held, n, capacity)
+    order = numbered(new.select("scope"), ["scope"], "n")
+    # Places by level: a shard takes one at each level from its load up to the common one.
+    slots = loads.where(F.col("load") <= level).select("shard", F.explode(F.sequence("load", F.lit(level))).alias("at"))
+    ranked = numbered(slots, ["at", "shard"], "n").select("n", "shard") if level >= 0 else None
+    if ranked is None:
+        out = order.withColumn("shard", F.lit(None).cast("long"))
+    else:
+        out = order.join(ranked, "n", "left")
+    if spare:
+        first = max(held, default=-1) + 1
+        room = max(1, capacity or 1)
+        out = out.withColumn("shard", F.coalesce("shard", (F.lit(first) + F.floor((F.col("n") - 1 - F.lit(n - spare)) / room)).cast("long")))
+    return out.select("scope", "shard")
+
+
+def _water(held: dict, n: int, capacity: int | None) -> tuple[int, int]:
+    """The highest level that n more scopes reach over shards of some loads, and how many find no room."""
+    room = sum(max(0, capacity - x) for x in held.values()) if capacity is not None else n
+    if not held:
+        return -1, n
+    fits = min(n, room)
+    if fits == 0:
+        return -1, n
+    lo, hi = min(held.values()), max(held.values()) + n
+    top = hi if capacity is None else capacity - 1
+    while lo < hi:  # the lowest level with places enough
+        mid = (lo + hi) // 2
+        if sum(max(0, min(mid, top) - x + 1) for x in held.values()) >= fits:
+            hi = mid
+        else:
+            lo = mid + 1
+    return lo, n - fits

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as lex
 from ..functions import text as T
 from ..plans.lineage import cut
-from .encode import pick_value
+from .encode import cues, pick_value
 
 ROOT_WINDOW = 4000
 HIT = ["qid", "scope", "rank", "fact", "value", "coverage", "overlap", "exact", "echo", "idx"]
@@ -38,28 +38,27 @@ def document_counts(episodes: DataFrame) -> DataFrame:
 
 def with_cues(queries: DataFrame, expand: bool = True) -> DataFrame:
     """Adds q (content words), cue (stems) and the query's flags; queries without content go."""
-    df = queries.withColumn("q", T.content(F.col("query"))).where(F.size("q") > 0)
-    df = df.withColumn("cue", T.cue(F.col("query"), expand))
-    return df.withColumns(
-        {
-            "pet_query": F.array_contains("cue", "pet") | F.array_contains("cue", lex.stem_word("animal")),
-            "name_query": F.array_contains("cue", "name") & ~F.arrays_overlap("cue", T._list(lex.RELATION_STEMS)),
-            "want_number": F.array_contains("cue", "many") | F.array_contains("cue", "much") | F.array_contains("cue", lex.stem_word("number")),
-        }
-    )
+    return cues(queries, expand)
 
 
-def gather(queries: DataFrame, episodes: DataFrame, floor: int = 64, pets: bool = True) -> DataFrame:
+def gather(queries: DataFrame, index, floor: int = 64, pets: bool = True) -> DataFrame:
     """(qid, scope, idx) of the candidates of queries that have cues."""
-    counts = document_counts(episodes).join(sizes(episodes), "scope")
+    counts = index.counts.join(index.sizes, "scope")
     counts = counts.withColumn("rare", F.col("df") <= F.greatest(F.floor(F.col("n") * 0.25), F.lit(floor)))
-    cues = queries.select("qid", "scope", F.explode("cue").alias("stem")).join(counts.select("scope", "stem", "rare"), ["scope", "stem"])
+    asked = queries.select("qid", "scope", F.explode("cue").alias("stem")).join(counts.select("scope", "stem", "rare"), ["scope", "stem"])
     any_rare = F.max("rare").over(Window.partitionBy("qid", "scope"))
-    chosen = cues.withColumn("any_rare", any_rare).where(F.col("rare") | ~F.col("any_rare")).select("qid", "scope", "stem")
+    chosen = asked.withColumn("any_rare", any_rare).where(F.col("rare") | ~F.col("any_rare")).select("qid", "scope", "stem")
     if pets:
         animals = queries.where("pet_query").select("qid", "scope", F.explode(T._list(lex.PET_STEMS)).alias("stem"))
         chosen = chosen.unionByName(animals).distinct()
-    return chosen.join(postings(episodes), ["scope", "stem"]).select("qid", "scope", "idx").distinct()
+    return chosen.join(index.postings, ["scope", "stem"]).select("qid", "scope", "idx").distinct()
+
+
+def indexed(source):
+    """An index as it is, or the one of episodes."""
+    from .index import Index
+
+    return source if isinstance(source, Index) else Index.of(source)
 
 
 def _shared(a: str, b: str) -> Column:
@@ -90,17 +89,19 @@ def _answer(df: DataFrame, cue: str = "cue") -> DataFrame:
     return pick_value(df, cue, "want_number").withColumn("fact", F.col("t"))
 
 
-def root_scan(queries: DataFrame, episodes: DataFrame, k: int = 1) -> DataFrame:
+def root_scan(queries: DataFrame, index, k: int = 1) -> DataFrame:
     """Hits by morphological roots and synonyms, among each scope's most recent facts."""
+    index = indexed(index)
     q = queries.withColumn("roots", T.roots(F.col("q")))
     flag = lambda w: F.array_contains("q", w)
     q = q.withColumn("want_number", flag("many") | flag("much") | flag("number"))
-    last = episodes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    recent = episodes.withColumn("_r", F.row_number().over(Window.partitionBy("scope").orderBy("idx"))).join(last, "scope")
-    recent = recent.where(F.col("_r") > F.col("n") - ROOT_WINDOW).withColumn("fact_roots", T.roots(F.col("raw")))
+    # Only scopes that are asked, and of these the last facts: idx is dense.
+    asked = index.episodes.join(q.select("scope").distinct(), "scope", "left_semi")
+    last = asked.groupBy("scope").agg(F.max("idx").alias("top"))
+    recent = asked.join(last, "scope").where(F.col("idx") > F.col("top") - ROOT_WINDOW).withColumnRenamed("roots", "fact_roots")
     keys = recent.select("scope", "idx", F.explode("fact_roots").alias("root"))
     hits = q.select("qid", "scope", F.explode("roots").alias("root")).join(keys, ["scope", "root"]).groupBy("qid", "scope", "idx").agg(F.count(F.lit(1)).cast("int").alias("ov"))
-    df = hits.join(q, ["qid", "scope"]).join(recent.drop("n", "_r"), ["scope", "idx"])
+    df = hits.join(q, ["qid", "scope"]).join(recent.drop("top"), ["scope", "idx"])
     inside = lambda w: F.array_contains("roots", T.root(w)) | F.array_contains("roots", T.root(T.canon(w)))
     spots = F.filter(F.transform("tok", lambda w, i: F.when(inside(w), i)), lambda i: i.isNotNull())
     df = df.withColumns({"first_pos": F.coalesce(F.get(spots, F.lit(0)), F.lit(9999)), "hit_cue": F.transform(F.filter("raw", inside), T.stem)})
@@ -110,10 +111,14 @@ def root_scan(queries: DataFrame, episodes: DataFrame, k: int = 1) -> DataFrame:
     return _answer(df, "hit_cue").select(HIT)
 
 
-def recall(queries: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The best fact for each query, later facts winning ties; morphology rescues misses."""
+def recall(queries: DataFrame, source) -> DataFrame:
+    """The best fact for each query, later facts winning ties; morphology rescues misses.
+
+    source: episodes, or a stored index of them.
+    """
+    index = indexed(source)
     q = cut(with_cues(queries))
-    df = score(gather(q, episodes), q, episodes)
+    df = score(gather(q, index), q, index.episodes)
     pets = F.col("pet_query") & F.col("es_pet")
     df = df.withColumn("overlap", F.when((F.col("ov") < 1) & pets, 1).otherwise(F.col("ov"))).where("overlap >= 1")
     df = df.where((~F.col("loose_fact") | pets) & (~F.col("loose_cue") | pets))
@@ -127,20 +132,21 @@ def recall(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     open_ = cut(q.join(settled, ["qid", "scope"], "left_anti"))
     if open_.isEmpty():
         return best.select(HIT)
-    scan = root_scan(open_, episodes)
+    scan = root_scan(open_, index)
     better = scan.alias("r").join(best.select("qid", "scope", "ov").alias("b"), ["qid", "scope"], "left").where("b.ov IS NULL OR r.overlap > b.ov").select(*[F.col(f"r.{c}").alias(c) if c not in ("qid", "scope") else F.col(c) for c in HIT])
     return best.select(HIT).join(better.select("qid", "scope"), ["qid", "scope"], "left_anti").unionByName(better)
 
 
-def recall_many(queries: DataFrame, episodes: DataFrame, k: int = 8) -> DataFrame:
+def recall_many(queries: DataFrame, source, k: int = 8) -> DataFrame:
     """The k best facts for each query, earlier facts winning ties; roots when nothing matches."""
+    index = indexed(source)
     q = cut(with_cues(queries))
-    df = score(gather(q, episodes), q, episodes).where("ov >= 1")
+    df = score(gather(q, index), q, index.episodes).where("ov >= 1")
     order = Window.partitionBy("qid", "scope").orderBy(F.desc("exact"), F.desc("ov"), F.desc("spec"), "first_cue", "idx")
     df = df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("overlap", F.col("ov"))
     hits = cut(_answer(df).select(HIT))
     missed = cut(q.join(hits.select("qid", "scope").distinct(), ["qid", "scope"], "left_anti"))
-    return hits if missed.isEmpty() else hits.unionByName(root_scan(missed, episodes, k))
+    return hits if missed.isEmpty() else hits.unionByName(root_scan(missed, index, k))
 
 
 def in_family(scope: Column, base: Column) -> Column:
@@ -188,6 +194,32 @@ def assess(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     return out.withColumn("has_value", F.coalesce(~F.col("echo") & (F.col("value") != ""), F.lit(False))).drop("echo", "value").fillna(zero)
 
 
+def recall_value(queries: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(qid, scope, value): each query's value from its own scope, else from the best of its documents."""
+    own = cut(recall(queries, episodes).select("qid", "scope", "value"))
+    missed = queries.join(own, ["qid", "scope"], "left_anti")
+    children = recall_across(missed, episodes, 1)
+    base = F.regexp_extract("scope", r"^(.*?)(?:__.*)?$", 1)
+    return own.unionByName(children.select("qid", base.alias("scope"), "value"))
+
+
+def fire(queries: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(qid, scope, value, idx, candidates): the answer of each query (idx -1 and no value without one) and
+    every fact that its cue reached, in order."""
+    index = indexed(episodes)
+    q = with_cues(queries)
+    lit = gather(q, index).groupBy("qid", "scope").agg(F.array_sort(F.collect_list("idx")).alias("candidates"))
+    best = recall(queries, index).select("qid", "scope", "value", "idx")
+    out = queries.select("qid", "scope").join(best, ["qid", "scope"], "left").join(lit, ["qid", "scope"], "left")
+    none = F.array().cast(lit.schema["candidates"].dataType)
+    return out.select("qid", "scope", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("candidates", none).alias("candidates"))
+
+
+def keyed_hits(hits: DataFrame, facts: DataFrame) -> DataFrame:
+    """Hits with the key that their fact is stored under, null where it has none."""
+    return hits.join(facts.select("scope", "idx", "key"), ["scope", "idx"], "left")
+
+
 def route_shards(facts: DataFrame, per_shard: int) -> DataFrame:
     """Facts with the shard that insertion order gives them."""
     return facts.withColumn("shard", F.floor(F.col("idx") / per_shard))
@@ -204,16 +236,19 @@ def recall_sharded(queries: DataFrame, episodes: DataFrame, per_shard: int) -> D
     return best.select(*HIT, "shard")
 
 
-def chain(starts: DataFrame, episodes: DataFrame, hops: int) -> DataFrame:
-    """Follows relation paths: starts (qid, scope, start, path) to value (null if broken) and trail.
+def chain(starts: DataFrame, episodes, hops: int) -> DataFrame:
+    """Follows relation paths: starts (qid, scope, start, path) to value (null if broken), trail and the
+    facts (steps) that resolved its hops.
 
     One batch recall a hop; a hop counts only if its relation stands in the recalled fact.
     """
-    state = starts.withColumns({"current": F.trim("start"), "trail": F.array(F.trim(F.col("start"))), "alive": F.lit(True)})
+    index = indexed(episodes)
+    idx = index.episodes.schema["idx"].dataType.simpleString()
+    state = starts.withColumns({"current": F.trim("start"), "trail": F.array(F.trim(F.col("start"))), "steps": F.array().cast(f"array<{idx}>"), "alive": F.lit(True)})
     for h in range(hops):
         rel = F.get("path", F.lit(h))
         asked = state.where(F.col("alive") & rel.isNotNull()).select("qid", "scope", F.concat_ws(" ", "current", rel).alias("query"))
-        got = recall(asked, episodes).select("qid", "scope", "fact", F.col("value").alias("next"))
+        got = recall(asked, index).select("qid", "scope", "fact", F.col("value").alias("next"), F.col("idx").alias("step"))
         state = state.join(got, ["qid", "scope"], "left")
         wanted = F.filter(T.tokens(rel), lambda w: F.octet_length(w) >= 3)
         named = F.exists(wanted, lambda r: F.exists(T.tokens(F.col("fact")), lambda w: T.same_relation(w, r)))
@@ -223,11 +258,12 @@ def chain(starts: DataFrame, episodes: DataFrame, hops: int) -> DataFrame:
             {
                 "current": F.when(due & ok, F.col("next")).otherwise(F.col("current")),
                 "trail": F.when(due & ok, F.concat("trail", F.array("next"))).otherwise(F.col("trail")),
+                "steps": F.when(due & ok, F.concat("steps", F.array("step"))).otherwise(F.col("steps")),
                 "alive": F.when(due, ok).otherwise(F.col("alive")),
             }
-        ).drop("fact", "next")
+        ).drop("fact", "next", "step")
         state = cut(state)
-    return state.select("qid", "scope", F.when(F.col("alive"), F.col("current")).alias("value"), "trail")
+    return state.select("qid", "scope", F.when(F.col("alive"), F.col("current")).alias("value"), "trail", "steps")
 
 
 def rank_fusion(lists: list[DataFrame], keys: list[str], item: str, k: int, constant: int = 60) -> DataFrame:

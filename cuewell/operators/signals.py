@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as lex
 from ..functions import text as T
+from ..functions.hashing import fact_key
 
 LEARN, STALL, RELAX, LOW, HIGH = 0.25, 0.97, 0.01, 0.05, 8.0
 BUMP, DECAY, FLOOR, THRESHOLD = 1.0, 0.9, 0.5, 1.5
@@ -37,16 +38,11 @@ def contradiction(new: Column, old: Column, coverage: Column, overlap: Column) -
     return F.when(both & (neg(nw) != neg(ow)), "negation").when(both & value, "value")
 
 
-def key_hash(text: Column) -> Column:
-    """Identity of a fact across formatting: a hash of its normalised words."""
-    return F.md5(F.array_join(T.norm_words(text), " "))
-
-
 def contested(hits: DataFrame, messages: DataFrame) -> DataFrame:
     """(scope, hash, with, reason) marks of both sides of every contradiction among recalled hits."""
     both = hits.join(messages.select("qid", F.col("query").alias("new")), "qid")
     both = both.withColumn("reason", contradiction(F.col("new"), F.col("fact"), F.col("coverage"), F.col("overlap"))).where(F.col("reason").isNotNull())
-    side = lambda mine, other: both.select("scope", key_hash(F.col(mine)).alias("hash"), F.left(other, F.lit(160)).alias("with"), "reason")
+    side = lambda mine, other: both.select("scope", fact_key(F.col(mine)).alias("hash"), F.left(other, F.lit(160)).alias("with"), "reason")
     return side("new", "fact").unionByName(side("fact", "new")).distinct()
 
 
@@ -135,8 +131,12 @@ def topic_matches(stored: Column, asked: Column) -> Column:
     return (s != "") & (a != "") & ((s == a) | F.array_contains(T.tokens(a), s) | F.array_contains(T.tokens(s), a))
 
 
-def directive(moods: DataFrame, views: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(scope, mood, asked) with each scope's view that should show: the asked one, else the strongest."""
+def directive(moods: DataFrame, views: DataFrame, persona: dict[str, float] | None = None) -> DataFrame:
+    """(scope, mood, asked) with each scope's view that should show: the asked one, else the strongest.
+
+    A view that nobody asked for shows from the persona's threshold on.
+    """
+    threshold = modulated(persona)["threshold"]
     best = views.join(moods.select("scope", "asked"), "scope", "right").withColumn("hit", F.coalesce(topic_matches(F.col("topic"), F.col("asked")), F.lit(False)))
     w = Window.partitionBy("scope").orderBy(F.desc("hit"), F.desc("strength"), "topic")
     top = best.withColumn("r", F.row_number().over(w)).where("r = 1")
@@ -150,3 +150,74 @@ def resolve_capabilities(capabilities: DataFrame, host: list[str]) -> DataFrame:
     """(name, kind) with who serves each: the store what is grounded, the host what it can and may."""
     ceded = (F.col("kind") == "deferrable") & F.col("name").isin(host)
     return capabilities.withColumn("served_by", F.when(ceded, "host").otherwise("store"))
+
+
+#: Traits from which on, and up to which, a persona is described by a word.
+HIGH_TRAIT, LOW_TRAIT = 0.66, 0.34
+# Words of high and low traits, for the description and for the voice.
+TRAIT_WORDS = {
+    "openness": ("curious", "conventional"), "conscientiousness": ("disciplined", "easygoing"), "extraversion": ("outgoing", "reserved"),
+    "agreeableness": ("warm", "blunt"), "neuroticism": ("volatile", "even-keeled"),
+}
+BALANCED = "balanced, even-tempered"
+
+
+def describe(traits: dict[str, Column]) -> Column:
+    """The words of a persona's high and low traits; a balanced one has its own."""
+    words = [F.when(traits[name] >= HIGH_TRAIT, high).when(traits[name] <= LOW_TRAIT, low) for name, (high, low) in TRAIT_WORDS.items()]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *words), F.lit("")), F.lit(BALANCED))
+
+
+def persona_rows(personas: DataFrame) -> DataFrame:
+    """Personas (scope, a column for each trait, reactivity) as variables (scope, name, value) to store."""
+    names = [c for c in personas.columns if c != "scope"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.format_string("%.4f", F.col(n).cast("double")).alias("value")) for n in names])
+    return personas.select("scope", F.inline(pairs))
+
+
+def load_personas(variables: DataFrame) -> DataFrame:
+    """Stored variables (scope, name, value) as personas; traits are clamped, missing ones neutral."""
+    cols = [F.max(F.when(F.col("name") == n, F.col("value").try_cast("double"))).alias(n) for n in NEUTRAL]
+    by = variables.groupBy("scope").agg(*cols)
+    top = lambda n: 2.0 if n == "reactivity" else 1.0
+    return by.select("scope", *[F.coalesce(F.least(F.greatest(F.col(n), F.lit(0.0)), F.lit(top(n))), F.lit(v)).alias(n) for n, v in NEUTRAL.items()])
+
+
+def observe_checked(new: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, scope, query) to store and the facts they recall, to the marks that the write leaves: whatever
+    the verdict, the text is stored; both sides of a contradiction are marked once."""
+    return contested(hits, new)
+
+
+def scored(hits: DataFrame, marks: DataFrame) -> DataFrame:
+    """Hits with contested, and with: the sibling that a mark names (the smallest of several), else null."""
+    one = marks.groupBy("scope", "hash").agg(F.min("with").alias("with"))
+    keyed = hits.withColumn("hash", fact_key(F.col("fact")))
+    return keyed.join(one, ["scope", "hash"], "left").withColumn("contested", F.col("with").isNotNull()).drop("hash")
+
+
+def reinforce(facts: DataFrame, notes: DataFrame, bump: float = BUMP) -> DataFrame:
+    """Facts after (scope, topic, feeling): the first fact that starts with the topic gains strength, says the
+    new feeling and moves to the end; a topic without one is written at the bump."""
+    from .store import FACT, append, renumber
+
+    low = F.lower(F.concat(F.trim("topic"), F.lit(":")))
+    head = F.lower(F.concat(F.substring_index("t", ":", 1), F.lit(":")))
+    first = facts.withColumn("low", head).groupBy("scope", "low").agg(F.min_by(F.struct("idx", "strength"), "idx").alias("old"))
+    told = notes.withColumn("low", low).join(first, ["scope", "low"], "left")
+    gone = told.where(F.col("old").isNotNull()).select("scope", F.col("old.idx").alias("idx"))
+    kept = renumber(facts.join(gone, ["scope", "idx"], "left_anti").select(FACT))
+    text = F.concat(F.trim("topic"), F.lit(": "), F.trim("feeling"))
+    order = Window.partitionBy("scope").orderBy("low")
+    new = told.select("scope", (F.row_number().over(order) - 1).alias("idx"), text.alias("t"), (F.coalesce("old.strength", F.lit(0.0)) + bump).alias("strength"), F.lit(None).cast("string").alias("key"))
+    return append(kept, new)
+
+
+def why(topics: DataFrame, views: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, scope, topic) to the view held on it and the facts recalled for it, as evidence in rank order;
+    a topic without a view gives no row."""
+    met = topics.join(views.withColumnRenamed("topic", "held"), "scope").where(topic_matches(F.col("held"), F.col("topic")))
+    view = met.groupBy("qid", "scope", "topic").agg(F.max_by(F.struct("feeling", "strength"), F.struct("strength", "held")).alias("v"))
+    found = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact"))), lambda x: x["fact"]).alias("evidence"))
+    none = F.array().cast("array<string>")
+    return view.join(found, "qid", "left").select("qid", "scope", "topic", "v.feeling", F.col("v.strength").alias("intensity"), F.coalesce("evidence", none).alias("evidence"))

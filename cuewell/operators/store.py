@@ -5,6 +5,8 @@ A facts table has scope, idx (dense insertion order within the scope), t, streng
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,19 +131,50 @@ def set_variables(facts: DataFrame, assignments: DataFrame) -> DataFrame:
     return append(renumber(kept), added)
 
 
+def heads(text: Column) -> Column:
+    """Lower-cased beginnings of a text that stand before ' is ': the names that it may be a variable of."""
+    parts = F.split(F.lower(text), " is ", -1)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), " is "))
+
+
 def get_variables(facts: DataFrame, names: DataFrame) -> DataFrame:
     """(scope, name) rows with the value of their first fact."""
-    hits = names.join(facts, "scope").where(F.startswith(F.lower("t"), F.lower(F.concat("name", F.lit(" is ")))))
+    known = facts.where(F.contains(F.lower("t"), F.lit(" is "))).select("scope", "idx", "t", F.explode(heads(F.col("t"))).alias("low"))
+    hits = names.withColumn("low", F.lower("name")).join(known, ["scope", "low"])
     first = hits.groupBy("scope", "name").agg(F.min_by("t", "idx").alias("t"))
     return first.select("scope", "name", F.expr("substring(t, instr(t, ' is ') + 4)").alias("value"))
 
 
+def variables(facts: DataFrame) -> DataFrame:
+    """(scope, place, name, value): every variable of each scope, sorted by name."""
+    at = F.instr("t", " is ")
+    pair = facts.where(at > 0).select("scope", F.substring_index("t", " is ", 1).alias("name"), F.expr("substring(t, instr(t, ' is ') + 4)").alias("value"), "idx")
+    first = pair.groupBy("scope", "name").agg(F.min_by("value", "idx").alias("value"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("name")))
+
+
+def delete_variables(facts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts without the variables (scope, name), and (scope, name, deleted) with 1 where there was one."""
+    keyed = facts.withColumn("low", F.lower(F.substring_index("t", " is ", 1))).where(F.contains("t", F.lit(" is ")))
+    wanted = names.withColumn("low", F.lower("name"))
+    gone = keyed.join(wanted, ["scope", "low"]).select("scope", "idx", "low").distinct()
+    hit = gone.select("scope", "low").distinct().withColumn("deleted", F.lit(1))
+    told = wanted.join(hit, ["scope", "low"], "left").select("scope", "name", F.coalesce("deleted", F.lit(0)).alias("deleted"))
+    return renumber(facts.join(gone, ["scope", "idx"], "left_anti").select(FACT)), told
+
+
 def strengthen(facts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Facts after (scope, match, bump): strength grows by the bumps of the matches they hold, up to the cap."""
-    hits = facts.join(matches, "scope").where(F.contains(F.lower("t"), F.lower("match")))
-    by = hits.groupBy("scope", "idx").agg(F.sum(F.least(F.greatest(F.col("bump"), F.lit(0.05)), F.lit(4.0))).alias("bump"))
-    up = F.when(F.col("bump").isNotNull(), F.least(F.col("strength") + F.col("bump"), F.greatest(F.lit(STRENGTH_CAP), F.col("strength"))))
-    return facts.join(by, ["scope", "idx"], "left").withColumn("strength", F.coalesce(up, F.col("strength"))).select(FACT)
+    """Facts after (scope, match, bump): strength grows by the bumps of the matches they hold, up to the cap.
+
+    A scope's matches are gathered into one list, so every fact is read once whatever the number of matches.
+    """
+    bump = F.least(F.greatest(F.col("bump"), F.lit(0.05)), F.lit(4.0))
+    lists = matches.groupBy("scope").agg(F.collect_list(F.struct(F.lower("match").alias("m"), bump.alias("b"))).alias("ms"))
+    low = F.lower("t")
+    total = F.aggregate(F.filter("ms", lambda x: F.contains(low, x["m"])), F.lit(0.0), lambda s, x: s + x["b"])
+    joined = facts.join(lists, "scope", "left").withColumn("_b", total)
+    up = F.when(F.col("_b") > 0, F.least(F.col("strength") + F.col("_b"), F.greatest(F.lit(STRENGTH_CAP), F.col("strength"))))
+    return joined.withColumn("strength", F.coalesce(up, F.col("strength"))).select(FACT)
 
 
 def decay_others(facts: DataFrame, prefix: Column, factor: float, floor: float) -> DataFrame:
@@ -172,3 +205,137 @@ def interned_bytes(facts: DataFrame) -> DataFrame:
     width = F.when(rank <= 128, 1).when(rank <= 16384, 2).otherwise(3)
     sized = tok.withColumn("b", F.octet_length("w") + 1 + F.col("n") * width)
     return sized.groupBy("scope").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("vocabulary"), F.sum("b").alias("bytes"))
+
+
+def scan(facts: DataFrame) -> DataFrame:
+    """(scope, place, t): every fact of each scope in insertion order."""
+    return renumber(facts.select("scope", "idx", "t")).withColumnRenamed("idx", "place")
+
+
+def has_fact(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted rows (scope, t) that the store holds word for word."""
+    return wanted.join(facts.select("scope", "t"), ["scope", "t"], "left_semi")
+
+
+def by_update(log: DataFrame) -> DataFrame:
+    """(scope, created, updated, turns, place) of a write log (scope, seq): scopes by their last write, latest first."""
+    from ..plans.numbering import numbered
+
+    by = log.groupBy("scope").agg(F.min("seq").alias("created"), F.max("seq").alias("updated"), F.count(F.lit(1)).alias("turns"))
+    return numbered(by.withColumn("_down", -F.col("updated")), ["_down", "scope"], "place").drop("_down")
+
+
+def observe_durable(messages: DataFrame, facts: DataFrame, window: int = DEDUP_WINDOW) -> DataFrame:
+    """Facts after messages (scope, seq, text): a message whose whole text one of the scope's last facts says,
+    or a fact of an earlier message of the batch, adds nothing; a batch counts as within the window."""
+    from .encode import encode
+
+    parts = messages.select("scope", "seq", F.posexplode(T.sentences(F.col("text"), MAX_SENTENCES)).alias("place", "t"))
+    made = encode(parts.where(~F.contains("t", F.lit("?"))))
+    first = made.groupBy("scope", "t").agg(F.min("seq").alias("first"))
+    whole = messages.select("scope", "seq", F.trim("text").alias("t"))
+    fresh = whole.join(first, ["scope", "t"], "left").where(F.col("first").isNull() | (F.col("first") >= F.col("seq")))
+    kept = made.join(drop_known(fresh, facts, window).select("scope", "seq"), ["scope", "seq"], "left_semi")
+    order = Window.partitionBy("scope").orderBy("seq", "place")
+    return append(facts, kept.select("scope", (F.row_number().over(order) - 1).alias("idx"), "t", F.lit(1.0).alias("strength"), F.lit(None).cast("string").alias("key")))
+
+
+def replay(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """Facts of a snapshot followed by the facts of its log (scope, seq, t, strength, key) in write order."""
+    order = Window.partitionBy("scope").orderBy("seq")
+    return append(renumber(snapshot.select(FACT)), log.withColumn("idx", F.row_number().over(order) - 1).select(FACT))
+
+
+def due(snapshot: DataFrame, log: DataFrame, flush_every: int = 256) -> DataFrame:
+    """(scope, stored, logged, due): whether a scope's log has grown to its snapshot, flush_every and 256 rows."""
+    a = snapshot.groupBy("scope").agg(F.count(F.lit(1)).alias("stored"))
+    b = log.groupBy("scope").agg(F.count(F.lit(1)).alias("logged"))
+    both = a.join(b, "scope", "full").select("scope", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("logged", F.lit(0)).alias("logged"))
+    return both.withColumn("due", F.col("logged") >= F.greatest(F.col("stored"), F.lit(max(flush_every, 256))))
+
+
+def compact(snapshot: DataFrame, log: DataFrame, flush_every: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Snapshot and log after the logs of due scopes have moved into the snapshot."""
+    ready = due(snapshot, log, flush_every).where("due").select("scope")
+    moved = log.join(ready, "scope", "left_semi")
+    return replay(snapshot, moved), log.join(ready, "scope", "left_anti")
+
+
+# The typed sub-scopes that go with a wiped scope.
+TYPED = ["::var", "::instr", "::stance", "::affect", "::persona"]
+
+
+def wipe(facts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Facts without whole scopes and their typed sub-scopes."""
+    every = scopes.select(F.explode(F.array(F.col("scope"), *[F.concat("scope", F.lit(s)) for s in TYPED])).alias("scope"))
+    return facts.join(every, "scope", "left_anti")
+
+
+def replace_scopes(facts: DataFrame, new: DataFrame) -> DataFrame:
+    """Facts with the scopes of new facts replaced by them; other scopes stay."""
+    return facts.join(new.select("scope").distinct(), "scope", "left_anti").select(FACT).unionByName(new.select(FACT))
+
+
+def rewrite(facts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Facts after (scope, old, new): the first fact that says old goes, new is written at the end with its
+    strength; a change that finds nothing, or whose new text holds no fact, does nothing."""
+    from .encode import encode
+
+    at = facts.groupBy("scope", F.col("t").alias("old")).agg(F.min_by(F.struct("idx", "strength"), "idx").alias("x"))
+    good = encode(changes.select("scope", "old", F.col("new").alias("t"))).select("scope", "old", "t")
+    hit = good.join(at, ["scope", "old"])
+    kept = renumber(facts.join(hit.select("scope", F.col("x.idx").alias("idx")), ["scope", "idx"], "left_anti").select(FACT))
+    order = Window.partitionBy("scope").orderBy("x.idx", "t")
+    moved = hit.select("scope", (F.row_number().over(order) - 1).alias("idx"), "t", F.col("x.strength").alias("strength"), F.lit(None).cast("string").alias("key"))
+    return append(kept, moved)
+
+
+def instructions(added: DataFrame) -> DataFrame:
+    """(scope, place, text): standing instructions of each scope in order; empty and repeated ones add nothing."""
+    first = added.where("text <> ''").groupBy("scope", "text").agg(F.min("seq").alias("seq"))
+    return first.select("scope", (F.row_number().over(Window.partitionBy("scope").orderBy("seq")) - 1).alias("place"), "text")
+
+
+def delete_instructions(held: DataFrame, needles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Instructions without those that hold a needle (scope, needle; case ignored, an empty one deletes nothing),
+    and (scope, deleted)."""
+    low = F.lower(F.trim("needle"))
+    lists = needles.where(low != "").groupBy("scope").agg(F.collect_set(low).alias("ns"))
+    marked = held.join(lists, "scope", "left").withColumn("gone", F.coalesce(F.exists("ns", lambda n: F.contains(F.lower("text"), n)), F.lit(False)))
+    told = marked.groupBy("scope").agg(F.sum(F.col("gone").cast("long")).alias("deleted"))
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("place")) - 1
+    return marked.where("NOT gone").select("scope", place.alias("place"), "text"), told
+
+
+def clear_instructions(held: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Instructions without those of whole scopes, and (scope, deleted)."""
+    told = scopes.join(held.groupBy("scope").agg(F.count(F.lit(1)).alias("deleted")), "scope", "left").select("scope", F.coalesce("deleted", F.lit(0)).alias("deleted"))
+    return held.join(scopes, "scope", "left_anti"), told
+
+
+def pack(blobs: DataFrame) -> DataFrame:
+    """(scope, packed): dumped scopes compressed without loss."""
+    @F.pandas_udf("binary")
+    def squeeze(s: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=9)
+        return s.map(lambda x: z.compress(x.encode()))
+
+    return blobs.select("scope", squeeze("blob").alias("packed"))
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """(scope, blob) of packed scopes; one that is cut short gives what stands before the cut."""
+    def whole(x: bytes) -> str:
+        out, d = [], zstandard.ZstdDecompressor().decompressobj()
+        try:
+            for i in range(0, len(x), 1 << 16):
+                out.append(d.decompress(x[i : i + (1 << 16)]))
+        except zstandard.ZstdError:
+            pass
+        return b"".join(out).decode(errors="ignore")
+
+    @F.pandas_udf("string")
+    def widen(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: whole(bytes(x)))
+
+    return packed.select("scope", widen("packed").alias("blob"))

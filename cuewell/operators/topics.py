@@ -76,11 +76,50 @@ def scope_topics(assigned: DataFrame, facts: DataFrame) -> DataFrame:
     return posts.groupBy("scope", "topic").agg(F.count(F.lit(1)).alias("m")).join(n, "scope").select("scope", "topic", (F.col("m") / F.col("n")).alias("share"))
 
 
-def topic_gate(queries: DataFrame, assigned: DataFrame, facts: DataFrame) -> DataFrame:
-    """(qid, scope, idx): the most recent facts, CAP a query, that share a topic with the query's words."""
+def fold_in(texts: DataFrame, assigned: DataFrame, k: int, sweeps: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, topic, share, rank): topics of new texts under counts that stay as they are; texts without a known
+    word give no row."""
+    from ..plans.lineage import cut
+
+    topics = range(k)
+    counts = assigned.groupBy("word").agg(*[F.sum(F.when(F.col("topic") == i, F.col("n")).otherwise(0)).alias(f"k{i}") for i in topics])
+    kw = counts.select("word", F.array(*[F.col(f"k{i}").cast("double") for i in topics]).alias("kw"))
+    size = max(1, kw.count())
+    nk = kw.agg(F.array(*[F.sum(F.get("kw", F.lit(i))) for i in topics]).alias("nk"))  # one row
+    phi = kw.join(F.broadcast(nk)).select("word", F.zip_with("kw", "nk", lambda x, y: (x + BETA) / (y + size * BETA)).alias("phi"))
+    tok = texts.select(F.col(id_col).alias("id"), F.explode(T.semantic_tokens(F.col(text_col))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    tok = cut(tok.join(phi, "word"))
+    dk = tok.select("id").distinct().withColumn("dk", F.array(*[F.lit(1.0)] * k))
+    for _ in range(sweeps):
+        raw = F.zip_with("dk", "phi", lambda d, p: (d + ALPHA) * p)
+        both = tok.join(dk, "id").withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda x, y: x + y))
+        parts = [F.sum(F.col("n") * F.get("raw", F.lit(i)) / F.col("sum")) for i in topics]
+        dk = cut(both.groupBy("id").agg(F.array(*parts).alias("dk")))
+    total = F.aggregate("dk", F.lit(0.0), lambda x, y: x + y)
+    each = dk.select("id", F.posexplode(F.transform("dk", lambda x: (x + ALPHA) / (total + k * ALPHA))).alias("topic", "share"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("share", 9)), "topic"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= TOP).select("id", "topic", F.round("share", 6).alias("share"), "rank")
+
+
+def postings(assigned: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(scope, idx, topic): facts under every topic of their mixture; those without one under bucket k."""
+    held = mixture(assigned, k).select("id", "topic")
+    both = facts.select("id", "scope", "idx").join(held, "id", "left")
+    return both.select("scope", "idx", F.coalesce("topic", F.lit(k)).alias("topic"))
+
+
+def topic_gate(queries: DataFrame, assigned: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(qid, scope, idx): facts, CAP a query, under a topic of the query's mixture or of one of its words, the
+    most recent first; those of the bucket without topic only fill what is left.
+
+    Queries without a known word give no row.
+    """
     word_topic = assigned.groupBy("word", "topic").agg(F.sum("n").alias("n")).groupBy("word").agg(F.max_by("topic", F.struct("n", -F.col("topic"))).alias("topic"))
-    wanted = queries.select("qid", "scope", F.explode(F.array_distinct(T.semantic_tokens(F.col("query")))).alias("word")).join(word_topic, "word").select("qid", "scope", "topic").distinct()
-    posts = assigned.select("id", "topic").distinct().join(facts.select("id", "scope", "idx"), "id")
-    hits = wanted.join(posts, ["scope", "topic"]).select("qid", "scope", "idx").distinct()
-    w = Window.partitionBy("qid", "scope").orderBy(F.desc("idx"))
-    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= CAP).drop("r")
+    by_word = queries.select("qid", "scope", F.explode(F.array_distinct(T.semantic_tokens(F.col("query")))).alias("word")).join(word_topic, "word").select("qid", "scope", "topic")
+    whole = fold_in(queries.select(F.struct("qid", "scope").alias("id"), F.col("query").alias("text")), assigned, k)
+    wanted = by_word.unionByName(whole.select("id.qid", "id.scope", "topic")).distinct()
+    bucket = wanted.select("qid", "scope").distinct().withColumn("topic", F.lit(k))
+    posts = postings(assigned, facts, k)
+    hits = wanted.unionByName(bucket).join(posts, ["scope", "topic"]).groupBy("qid", "scope", "idx").agg(F.min((F.col("topic") == k).cast("int")).alias("loose"))
+    w = Window.partitionBy("qid", "scope").orderBy("loose", F.desc("idx"))
+    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= CAP).select("qid", "scope", "idx")

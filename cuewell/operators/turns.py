@@ -76,6 +76,16 @@ def answer(messages: DataFrame, episodes: DataFrame) -> DataFrame:
     return df.select("qid", "scope", state.alias("kind"), reply.alias("reply"))
 
 
+def capacity(written: DataFrame, facts: DataFrame, max_facts: int) -> DataFrame:
+    """Turns (qid, scope, wrote) with facts, the scope's number after them, and capacity_reached: whether the
+    scope was full and something was written, which then is cut off again."""
+    n = facts.groupBy("scope").agg(F.count(F.lit(1)).alias("held"))
+    both = written.join(n, "scope", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    full = F.col("held") >= max_facts
+    after = F.least(F.col("held") + F.col("wrote"), F.lit(max_facts)).cast("long")
+    return both.select("qid", "scope", "wrote", after.alias("facts"), (full & (F.col("wrote") > 0)).alias("capacity_reached"))
+
+
 def route(assessed: DataFrame) -> DataFrame:
     """A rule router over assessments: ANSWER what is covered, FETCH what is half known, else ESCALATE.
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -123,6 +124,111 @@ def dequantize(q: Column) -> Column:
     return F.transform(q["q"], lambda x: x * q["scale"])
 
 
+#: Queries that meet a shard's rows as one matrix, and rows of a shard.
+QUERY_BLOCK, SHARD_ROWS = 2048, 65_536
+
+
+def dense(vectors: DataFrame, id_cols: list[str], dim: int = DIM) -> DataFrame:
+    """(id columns, vec): sparse (ids, dim, val) rows as arrays of dim doubles."""
+
+    @F.pandas_udf("array<double>")
+    def fill(ds: pd.Series, xs: pd.Series) -> pd.Series:
+        out = np.zeros((len(ds), dim))
+        for i, (d, x) in enumerate(zip(ds, xs, strict=True)):
+            out[i, d] = x
+        return pd.Series(list(out))
+
+    by = vectors.groupBy(*id_cols).agg(F.collect_list(F.col("dim").cast("int")).alias("d"), F.collect_list(F.col("val").cast("double")).alias("x"))
+    return by.select(*id_cols, fill("d", "x").alias("vec"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, skip_same: bool = True) -> DataFrame:
+    """(qid, rank, id, cosine): the k rows (id, vec) nearest to each query (qid, vec), smaller ids on ties.
+
+    Rows are dealt into shards; queries go to every shard, meet its rows in blocks as matrix products and
+    come back with the k best of the shard, so no other pair is ever a row.  With skip_same a row isn't
+    near to itself.  Vectors without length are left out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, min(parts, rows.count()), -(-rows.count() // SHARD_ROWS))
+    qid, rid = queries.schema["qid"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    kind = StructType.fromDDL(f"qid {qid}, id {rid}, cosine double")
+    arrow = to_arrow_schema(kind)
+
+    def best(ids, x, names, q):
+        cos = q @ x.T
+        if skip_same:
+            cos[names[:, None] == ids[None, :]] = -np.inf
+        at = np.argsort(np.round(-cos, 9), axis=1, kind="stable")[:, :k]
+        row, col = np.repeat(np.arange(len(names)), at.shape[1]), at.ravel()
+        ok = np.isfinite(cos[row, col])
+        row, col = row[ok], col[ok]
+        return pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), arrow.field(0).type), pa.array(ids[col].tolist(), arrow.field(1).type), pa.array(cos[row, col])], schema=arrow)
+
+    def unit(vs):
+        x = np.array(vs, dtype=np.float64).reshape(len(vs), -1)
+        norm = np.linalg.norm(x, axis=1)
+        return x[norm > 0] / norm[norm > 0][:, None], norm > 0
+
+    def run(batches):
+        """Rows by shard, the shard's own (role 0, by id) before the queries."""
+        cur, ids, vs, names, qs, table = None, [], [], [], [], None
+
+        def flush():
+            nonlocal names, qs, table
+            if not qs or not vs:
+                names, qs = [], []
+                return
+            if table is None:
+                x, ok = unit(vs)
+                table = np.array(ids, dtype=object)[ok], x
+            q, ok = unit(qs)
+            named = np.array(names, dtype=object)[ok]
+            names, qs = [], []
+            if len(named) and len(table[0]):
+                yield best(*table, named, q)
+
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(5)]
+            for shard, role, id_, name, vec in zip(*cols, strict=True):
+                if shard != cur:
+                    yield from flush()
+                    cur, ids, vs, table = shard, [], [], None
+                if role == 0:
+                    ids.append(id_)
+                    vs.append(vec)
+                else:
+                    names.append(name)
+                    qs.append(vec)
+                    if len(qs) >= QUERY_BLOCK:
+                        yield from flush()
+        yield from flush()
+
+    own = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", F.lit(None).cast(qid).alias("qid"), "vec")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), F.lit(None).cast(rid).alias("id"), "qid", "vec")
+    dealt = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "role", "id")
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 9)), "id")
+    ranked = dealt.mapInArrow(run, kind).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("qid", "rank", "id", "cosine")
+
+
+def axis_rank(rows: DataFrame, w, c: float) -> DataFrame:
+    """(id, z, rank): rows (id, vec) by their place on an axis, z = w . x - c, highest first."""
+    from ..plans.numbering import numbered
+
+    z = dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in w])) - c
+    return numbered(rows.select("id", z.alias("z"), (-z).alias("_down")), ["_down", "id"], "rank").drop("_down")
+
+
+def semantic_totals(vectors: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: words with a vector, tokens read, and bytes of the vectors at four a component."""
+    v = vectors.agg(F.countDistinct("word").alias("words"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).join(F.broadcast(v)).select("words", "tokens", (F.col("words") * DIM * 4).alias("bytes"))
+
+
 def _rows_at(unit: DataFrame, places: list[int]) -> list[list[float]]:
     """Vectors of the rows at some places of the id order, found by counts of range partitions."""
     ranged = unit.repartitionByRange(64, "id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id())

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint; only a local session without a folder gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession) -> str:
+    """The session's shared folder for checkpoints; only a local session without one gets its own."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

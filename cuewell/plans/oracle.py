@@ -92,6 +92,17 @@ def norm_words(t: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(replace({t}, '''', '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
+def fnv(x: str, basis: int) -> str:
+    """A string's 64-bit hash as an unsigned 128-bit number: one step a byte."""
+    digit = lambda k: f"(strpos('0123456789ABCDEF', substr(hex({x}), 2 * i + {k}, 1)) - 1)"
+    byte = f"list_transform(range(0, strlen({x})), lambda i: ({digit(1)} * 16 + {digit(2)})::UHUGEINT)"
+    return f"list_reduce(list_concat([{basis}::UHUGEINT], {byte}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def fact_key(words: str) -> str:
+    return f"lpad(lower(hex({fnv(words, 0xCBF29CE484222325)}::UBIGINT)), 16, '0')"
+
+
 CAPITAL = r"regexp_matches({0}, '^\p{{Lu}}')"
 
 
@@ -120,7 +131,7 @@ def encoded(source: str, name: str = "enc") -> str:
 {name}_g AS (SELECT *, row_number() OVER (PARTITION BY scope, o1, o2 ORDER BY sc DESC, i) AS r FROM {name}_f),
 {name}_h AS (SELECT *, CASE WHEN r <= 5 THEN 0 ELSE row_number() OVER (PARTITION BY scope, o1, o2, r <= 5 ORDER BY r) END AS x FROM {name}_g WHERE r <= 5 OR {number('w')} OR {cap}),
 {name}_i AS (SELECT scope, o1, o2, list(w ORDER BY r) AS c FROM {name}_h WHERE x <= 5 GROUP BY scope, o1, o2),
-{name} AS (SELECT d.scope, row_number() OVER (PARTITION BY d.scope ORDER BY d.o1, d.o2) - 1 AS idx, d.t, d.raw, c,
+{name} AS (SELECT d.scope, row_number() OVER (PARTITION BY d.scope ORDER BY d.o1, d.o2) - 1 AS idx, d.o1, d.o2, d.t, d.raw, c, d.cw, d.cl,
     list_sort(list_distinct(list_transform(d.raw, lambda w: {stem('w')}))) AS s,
     list_transform(cw, lambda w: {stem('w')}) AS ts,
     coalesce(list_transform(list_filter(cw, lambda w: w <> '' AND NOT ({_in('w', lex.STOP)}) AND NOT ({_in('w', lex.FILLERS)})), lambda w: {stem('w')})[1], '') AS head,
@@ -139,10 +150,10 @@ SCORED_COLUMNS = """
 """.format(sv=_set(lex.STOP_VALUE_STEMS), pets=_set(lex.PET_STEMS), rel=_set(lex.RELATION_STEMS))
 
 
-def recall(queries: str, enc: str = "enc") -> str:
+def recall(queries: str, enc: str = "enc", expand: bool = True) -> str:
     """CTEs cues, gate, cand and sc over a CTE of queries (qid, scope, query) and encoded facts."""
     return f"""
-cues AS (SELECT qid, scope, {content('query')} AS q, {cue('query')} AS cue FROM {queries}),
+cues AS (SELECT qid, scope, {content('query')} AS q, {cue('query', expand)} AS cue FROM {queries}),
 kue AS (SELECT *, list_contains(cue, 'pet') OR list_contains(cue, 'animal') AS petq, list_contains(cue, 'name') AND NOT list_has_any(cue, {_set(lex.RELATION_STEMS)}) AS nameq FROM cues WHERE len(q) > 0),
 post AS (SELECT scope, idx, unnest(s) AS stem FROM {enc}),
 dfs AS (SELECT scope, stem, count(*) AS df FROM post GROUP BY ALL),
@@ -291,7 +302,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(act, 9) DESC
 SELECT qid, rank, idx, seed, round(act, 6) AS act FROM rk WHERE rank <= 8""",
     "rank_fusion": "WITH a AS (SELECT user_id AS qid, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r1, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r2 FROM events), b AS (SELECT qid, item, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS score FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item) AS rank FROM b) SELECT qid, rank, item, round(score, 9) AS score FROM c WHERE rank <= 5",
     "trust_fold": f"WITH {TRUST}, rw AS (SELECT class, sum((delta > 0)::INT)::BIGINT AS rewards, sum((delta < 0)::INT)::BIGINT AS penalties FROM rd GROUP BY class) SELECT class, round(weight, 6) AS weight, rewards, penalties FROM ledger JOIN rw USING (class)",
-    "trust_rank": f"WITH {TRUST}, z AS (SELECT user_id AS qid, event_id AS pos, event_type AS class, value * weight AS score FROM events JOIN ledger ON class = event_type), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS rank FROM z) SELECT qid, pos, class, rank FROM k WHERE rank <= 3",
+    "trust_rank": f"WITH {TRUST}, z AS (SELECT user_id AS qid, event_id AS pos, event_type AS class, value * weight AS score FROM events JOIN ledger ON class = event_type), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS rank FROM z) SELECT qid, pos, class, rank FROM k ",
     "trust_class": f"WITH {MESSAGES} SELECT scope, seq, CASE WHEN seq % 3 = 0 THEN 'src:' || lower(role) WHEN seq % 3 = 1 THEN 'self' ELSE lower(scope) END AS class FROM msg",
     "stance_fold": f"WITH {stance(1.0, 0.9, 0.5)} SELECT scope, topic, 'felt ' || max(seq)::VARCHAR AS feeling, round(any_value(strength), 6) AS strength FROM st JOIN nt USING (scope, topic) GROUP BY scope, topic",
     "stance_persona": f"WITH {stance(1.5 * 1.2, 0.9 + 0.25 * 0.2, 0.5 + 0.2 * 0.4)} SELECT scope, topic, round(strength, 6) AS strength FROM st",
@@ -315,8 +326,8 @@ pk AS (SELECT qid, scope, unnest(list_filter([a, b, c], lambda x: x IS NOT NULL)
 SELECT qid, rank, greatest(pk.idx - 1, 0) AS start, pk.idx - greatest(pk.idx - 1, 0) AS hit_pos, string_agg(e.t, chr(10) ORDER BY e.idx) AS facts
 FROM pk JOIN enc e ON e.scope = pk.scope AND e.idx BETWEEN pk.idx - 1 AND pk.idx + 1 GROUP BY qid, rank, pk.idx""",
     "contested_marks": f"""{WITH_RECALL}, {many(4)}, {CONTESTED}
-SELECT scope, md5(array_to_string(a, ' ')) AS hash, left(fact, 160) AS "with", reason FROM vd WHERE reason IS NOT NULL
-UNION SELECT scope, md5(array_to_string(b, ' ')), left(query, 160), reason FROM vd WHERE reason IS NOT NULL""",
+SELECT scope, {fact_key("array_to_string(a, ' ')")} AS hash, left(fact, 160) AS "with", reason FROM vd WHERE reason IS NOT NULL
+UNION SELECT scope, {fact_key("array_to_string(b, ' ')")}, left(query, 160), reason FROM vd WHERE reason IS NOT NULL""",
     "affect_directive": f"""WITH {stance(1.0, 0.9, 0.5)},
 fl AS (SELECT scope, topic, 'felt ' || max(seq)::VARCHAR AS feeling FROM nt GROUP BY ALL),
 md AS (SELECT scope, 'felt ' || max(seq)::VARCHAR AS mood, min(topic) AS asked FROM nt GROUP BY scope)

@@ -39,6 +39,21 @@ def import_pack(lines: DataFrame, known: DataFrame | None = None, dedup: bool =
     return df
 
 
+def import_into(facts: DataFrame, pack: DataFrame, dedup: bool = True, replace: bool = False) -> DataFrame:
+    """Facts after a parsed pack: its facts follow those of their scope, or with replace take their place.
+
+    With dedup, texts that a scope already holds are not written again.
+    """
+    from ..operators.encode import encode
+    from ..operators.store import FACT, append, drop_known, renumber, replace_scopes
+
+    held = encode(pack).select("scope", "file", "line", "t", "key")
+    fresh = held if replace or not dedup else drop_known(held, facts, 1 << 62)
+    w = Window.partitionBy("scope").orderBy("file", "line")
+    new = fresh.select("scope", (F.row_number().over(w) - 1).alias("idx"), "t", F.lit(1.0).alias("strength"), "key")
+    return replace_scopes(facts, new) if replace else append(renumber(facts.select(FACT)), new)
+
+
 def export_pack(facts: DataFrame) -> DataFrame:
     """(scope, text): one pack per scope, JSON lines where a heading can't name the scope safely."""
     safe = F.col("scope").rlike(r"^\S+$")

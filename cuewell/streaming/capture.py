@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..operators.encode import encode
+from ..operators.store import DEDUP_WINDOW
+from ..operators.vectors import train
 
 MAX_LINE = 65536
 
@@ -33,25 +36,52 @@ def keep(lines: DataFrame, only: str | None = None, skip: str | None = None) ->
     return lines
 
 
-def capture(lines: DataFrame, scope: str, table: str, checkpoint: str, dedup: bool = True):
-    """Starts a query that appends the facts of each batch of lines to a Parquet folder, once each.
+def capture(
+    lines: DataFrame, scope: str, table: str, checkpoint: str, dedup: bool = True, window: int | None = DEDUP_WINDOW, poll: str | None = None, models: str | None = None, tee: str | None = None
+):
+    """Starts a query that appends the facts of each batch of lines to a Parquet folder.
 
-    A batch is written under its number, so a batch that runs again after a failure replaces its
-    own files and nothing is doubled.
+    With dedup a text that is among the last facts of the table (window; None: any) isn't stored again.
+    poll ('300 milliseconds') keeps the query running; without it, it ends when all lines are read.
+    models: a folder where word vectors learn from every batch.  tee: a folder that gets the lines as
+    they came.  A batch is written under its number, so a batch that runs again after a failure replaces
+    its own files and nothing is doubled or learned twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        if tee:
+            batch.select("file", "line", "text").write.mode("overwrite").parquet(f"{tee}/batch={number}")
         facts = encode(batch.select(F.lit(scope).alias("scope"), "file", "line", F.col("text").alias("t")))
         rows = facts.select("scope", "file", "line", "t")
         if dedup:
             rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("scope", "t").orderBy("file", "line"))).where("r = 1").drop("r")
-            spark = batch.sparkSession
-            old = spark.read.schema("scope string, file string, line int, t string, batch long").parquet(table) if number else None
-            if old is not None:
-                rows = rows.join(old.where(F.col("batch") < number).select("scope", "t"), ["scope", "t"], "left_anti")
+            if number:
+                old = spark.read.schema("scope string, file string, line int, t string, batch long").parquet(table).where(F.col("batch") < number)
+                if window is not None:
+                    # The newest facts: batches from the last one back until they hold enough.
+                    sizes = {r["batch"]: r["n"] for r in old.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a batch
+                    first, held = number, 0
+                    while held < window and first - 1 in range(min(sizes, default=0), number):
+                        first -= 1
+                        held += sizes.get(first, 0)
+                    near = Window.partitionBy("scope").orderBy(F.desc("batch"), F.desc("file"), F.desc("line"))
+                    old = old.where(F.col("batch") >= first).withColumn("r", F.row_number().over(near)).where(F.col("r") <= window)
+                rows = rows.join(old.select("scope", "t").distinct(), ["scope", "t"], "left_anti")
         rows.select("scope", "file", "line", "t").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if models:
+            prose = rows.where(T.prose_like(F.col("t"))).select(F.col("t").alias("text"))
+            train(prose).write.mode("overwrite").parquet(f"{models}/batch={number}")
+        batch.unpersist()
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
+
+
+def learned(spark: SparkSession, models: str) -> DataFrame:
+    """(word, dim, val) of all batches of a capture: as if trained on their facts at once."""
+    return spark.read.parquet(models).groupBy("word", "dim").agg(F.sum("val").alias("val")).where("val <> 0")
 
 
 def dedup_stream(events: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
