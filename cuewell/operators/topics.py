@@ -108,12 +108,14 @@ def postings(assigned: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     return both.select("scope", "idx", F.coalesce("topic", F.lit(k)).alias("topic"))
 
 
-def topic_gate(queries: DataFrame, assigned: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+def topic_gate(queries: DataFrame, assigned: DataFrame, facts: DataFrame, k: int | None = None) -> DataFrame:
     """(qid, scope, idx): facts, CAP a query, under a topic of the query's mixture or of one of its words, the
     most recent first; those of the bucket without topic only fill what is left.
 
-    Queries without a known word give no row.
+    Queries without a known word give no row.  k: number of topics, as many as were assigned if not given.
     """
+    if k is None:
+        k = (assigned.agg(F.max("topic")).first()[0] or 0) + 1
     word_topic = assigned.groupBy("word", "topic").agg(F.sum("n").alias("n")).groupBy("word").agg(F.max_by("topic", F.struct("n", -F.col("topic"))).alias("topic"))
     by_word = queries.select("qid", "scope", F.explode(F.array_distinct(T.semantic_tokens(F.col("query")))).alias("word")).join(word_topic, "word").select("qid", "scope", "topic")
     whole = fold_in(queries.select(F.struct("qid", "scope").alias("id"), F.col("query").alias("text")), assigned, k)

@@ -72,10 +72,13 @@ class Memory:
     def strengthen(self, matches: DataFrame) -> Memory:
         return Memory(store.strengthen(self.facts, matches), self.max_facts, self.vectors)
 
-    def forget(self, scopes: DataFrame, match: str | None = None) -> Memory:
-        """Without the facts of some scopes that hold a match; without a match the scopes go, typed ones too."""
+    def forget(self, match: str | None = None, scopes: DataFrame | None = None) -> Memory:
+        """Without the facts that hold a match, of all scopes or some; without a match the scopes go whole,
+        typed sub-scopes too."""
         if match is None:
-            return Memory(store.wipe(self.facts, scopes), self.max_facts, self.vectors)
+            return Memory(store.wipe(self.facts, scopes) if scopes is not None else self.facts.limit(0), self.max_facts, self.vectors)
+        if scopes is None:
+            return Memory(store.forget(self.facts, F.lit(match)), self.max_facts, self.vectors)
         own = self.facts.join(scopes, "scope", "left_semi")
         rest = self.facts.join(scopes, "scope", "left_anti").select(store.FACT)
         return Memory(rest.unionByName(store.forget(own, F.lit(match)).select(store.FACT)), self.max_facts, self.vectors)

@@ -111,7 +111,7 @@ class Session:
 
     def forget(self, scope, words=""):
         before = self._count(scope)
-        self._become(self.memory.forget(self._scope(scope), words or None))
+        self._become(self.memory.forget(words or None, self._scope(scope)))
         left = self._count(scope)
         return {"forgot": before - left, "remaining": left}
 
