@@ -15,6 +15,11 @@ still in different components, under the bounds on size and position.  Overlaps
 full in both.  So components are those of all links, while a group of k near copies costs about k
 counts, not k * k.  N-grams are told apart by hashes of 40 bits and the block's number.
 
+Numbers of links come from the product itself: every link lies inside a component, whose sets are
+dealt into row blocks of bounded size.  Each pair of row blocks is multiplied, overlap counts adding
+up over column blocks, and what passes the bounds on size and overlap is counted for both sides; no
+pair becomes a row.
+
 Null or empty text, or text of white space only: an empty set, linked with nothing.  Fewer than
 five words: the whole sequence is the one shingle.  Every row is a document of its own, also where
 its id is null or repeated; a component's id is the smallest id in it, null if it has none.
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .keys import keyed, named
-from .lineage import cut
+from .lineage import cut, written
 from .textblocks import blocks, lower_ascii, mix, prefix_sums, span_hashes, word_spans
 
 WORDS = 5
@@ -303,33 +308,126 @@ def _verify(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
     return both.mapInArrow(_count_overlaps, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every document."""
+#: Entries and sets of a row block, and columns of a column block of the product.
+BLOCK_ENTRIES, BLOCK_SETS, COLUMNS = 1 << 20, 1024, 2048
+
+
+def product(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two lists of sets: products of column blocks, added up."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not all(len(r) for r in rows):
+        return out
+    _, column = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    n = int(column.max()) + 1
+    left, right = column[: len(rows[0])], column[len(rows[0]) :]
+    # Columns that stand in both, those of nearby rows together.
+    both = np.flatnonzero((np.bincount(left, minlength=n) > 0) & (np.bincount(right, minlength=n) > 0))
+    first = np.full(n, len(a), np.int64)
+    np.minimum.at(first, left, rows[0])
+    rank = np.full(n, -1, np.int64)
+    rank[both[np.argsort(first[both], kind="stable")]] = np.arange(len(both))
+    sides = []
+    for r, c in ((rows[0], rank[left]), (rows[1], rank[right])):
+        keep = c >= 0
+        order = np.argsort(c[keep], kind="stable")
+        sides.append((r[keep][order], c[keep][order]))
+    for lo in range(0, len(both), COLUMNS):
+        dense, own = [], []
+        for r, c in sides:
+            x = slice(*np.searchsorted(c, [lo, lo + COLUMNS]))
+            own.append(np.unique(r[x]))
+            m = np.zeros((len(own[-1]), COLUMNS), np.float32)
+            m[np.searchsorted(own[-1], r[x]), c[x] - lo] = 1
+            dense.append(m)
+        out[np.ix_(*own)] += dense[0] @ dense[1].T
+    return out
+
+
+def _count_links(batches):
+    """Rows of pairs of row blocks (root, lo, hi, side, doc, n, copies, shared), sorted by pair, to (doc, links)."""
+
+    def solve(key, rows):
+        low = [r for r in rows if r[0] == key[1]]
+        high = [r for r in rows if r[0] != key[1]]
+        same = key[1] == key[2]
+        if not same and not (low and high):
+            return
+        other = low if same else high
+        sets = lambda rs: [np.frombuffer(r[4], "<u8") for r in rs]
+        m = product(sets(low), sets(other))
+        na, nb = (np.array([r[2] for r in rs], np.int64) for rs in (low, other))
+        ca, cb = (np.array([r[3] for r in rs], np.int64) for rs in (low, other))
+        total = na[:, None] + nb[None, :]
+        linked = (4 * np.minimum(na[:, None], nb[None, :]) >= 3 * np.maximum(na[:, None], nb[None, :])) & (100 * m >= 75 * (total - m))
+        if same:
+            np.fill_diagonal(linked, False)
+        yield [r[1] for r in low], linked @ cb
+        if not same:
+            yield [r[1] for r in high], linked.T @ ca
+
+    def batch(parts):
+        docs, links = [], []
+        for d, x in parts:
+            docs += d
+            links += x.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(links, pa.int64())], names=["doc", "links"])
+
+    cur, rows = None, []
+    for b in batches:
+        keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rest = [b.column(i).to_pylist() for i in range(3, 7)]
+        for i, key in enumerate(keys):
+            if key != cur:
+                if rows:
+                    yield batch(solve(cur, rows))
+                cur, rows = key, []
+            rows.append((rest[0][i], rest[1][i], rest[2][i], rest[3][i], b.column(7)[i].as_py()))
+    if rows:
+        yield batch(solve(cur, rows))
+
+
+def _links(sets: DataFrame, comp: DataFrame, copies: DataFrame, partitions: int) -> DataFrame:
+    """(doc, links): how many documents each distinct set is linked with, but for its own copies."""
+    own = comp.join(sets.select(F.col("doc_id").alias("node"), "n", "shared"), "node").join(copies.withColumnRenamed("rep", "node"), "node")
+    size = comp.join(sets.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e"))
+    blocks = F.greatest(F.ceil(F.col("e") / BLOCK_ENTRIES), F.ceil(F.col("c") / BLOCK_SETS)).cast("int")
+    dealt = own.join(size.where("c > 1").select("root", blocks.alias("blocks")), "root").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = pairs.select("root", F.least("side", "x").alias("lo"), F.greatest("side", "x").alias("hi"), "side", "node", "n", "copies", "shared")
+    sorted_ = rows.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    return sorted_.mapInArrow(_count_links, "doc long, links long").groupBy("doc").agg(F.sum("links").alias("links"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and, with count, n_links (how many
+    documents it is linked with) of every document."""
     rows, names = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    found = _join(rows.select(F.col("key").alias("doc_id"), "text"))
+    found = _join(rows.select(F.col("key").alias("doc_id"), "text"), count)
     if names is None:
         return found
     # Keys become ids again; of a component, the smallest of its members' ids.
     known = named(found.withColumnRenamed("doc_id", "key").withColumnRenamed("component_id", "c"), names)
     least = known.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "c").select("doc_id", "n_shingles", "component_id")
+    return known.join(least, "c").select(found.columns)
 
 
-def _join(rows: DataFrame) -> DataFrame:
+def _join(rows: DataFrame, count: bool) -> DataFrame:
     """The join of rows (doc_id, text) with unique ids."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (2 * parts - 1).bit_length())
     dealt = rows.mapInArrow(_deal_entries(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(_count_columns(bits), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    table = cut(back.mapInArrow(_gather_documents, _DOC))
+    table = written(back.mapInArrow(_gather_documents, _DOC))
     # One document for each distinct set stands for its copies.
     hope = table.where(F.col("shared").isNotNull())
     # Written first, so that the join below deals both sides anew and a class of very many copies is split.
     classes = cut(hope.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     member = cut(hope.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "rep"))
-    sets = cut(hope.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "alone", "shared"))
-    entries = cut(sets.select("doc_id", "n", "alone", "shared").mapInArrow(_prefix, "h long, doc long, n long, p long"))
+    sets = written(hope.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "alone", "shared"))
+    entries = written(sets.select("doc_id", "n", "alone", "shared").mapInArrow(_prefix, "h long, doc long, n long, p long"))
     full = sets.select("doc_id", "n", "shared")
     # Pass one: each member against the smallest of its list; of a document's choices, the smallest.
     star = entries.groupBy("h").agg(F.min(F.struct("doc", "n", "p")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -349,9 +447,15 @@ def _join(rows: DataFrame) -> DataFrame:
     links = links.unionByName(_verify(rest, full, parts))
     comp = components(links)
     # Roots are smallest representatives, and a representative is the smallest of its copies.
-    whole = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("component_id"))
+    out = table.select("doc_id", F.col("n").alias("n_shingles"))
+    if not count:
+        return out.join(whole.drop("rep"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    copies = cut(member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")))
+    links_of = _links(full, cut(comp), copies, parts)
+    per = copies.join(links_of.withColumnRenamed("doc", "rep"), "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    counted = out.join(whole.join(cut(per), "rep"), "doc_id", "left")
+    return counted.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -379,5 +483,5 @@ WITH RECURSIVE w AS (
   UNION
   SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
 )
-SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """

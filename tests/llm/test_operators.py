@@ -87,10 +87,30 @@ def test_ngram_join(docs, empty):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert len({find(i) for i in sets}) < len(sets) - 10
-    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
+    linked = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    n_links = {a: sum(a != b and linked(a, b) for b in sets) for a in sets}
+    assert max(n_links.values()) > 5
+    assert {i: (r["n_shingles"], r["component_id"], r["n_links"]) for i, r in got.items()} == {i: (len(sets[i]), find(i), n_links[i]) for i in sets}
+    assert {i: r["component_id"] for i, r in rows(join(docs, count=False)).items()} == {i: find(i) for i in sets}
     assert join(empty).collect() == []
 
 
+def test_ngram_join_row_and_column_blocks(docs, monkeypatch):
+    """Components cut into several row blocks, products into several column blocks."""
+    import numpy as np
+
+    from cuewell.llm import ngram_join
+
+    whole = rows(ngram_join.join(docs))
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    assert rows(ngram_join.join(docs)) == whole
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    got = ngram_join.product(sets[:13], sets[13:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[13:]] for a in sets[:13]]
+
+
 def test_suffix_dedup(docs, empty):
     from cuewell.llm.suffix_dedup import dedup
 
@@ -188,9 +208,10 @@ def test_null_and_repeated_ids(spark):
         key = lambda r: (str(r[0]), str(r[1:]))
         got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(df).collect()]
         assert sorted(got, key=key) == sorted(zip(ids, [len((t or "").encode()) for t in texts], want, strict=True), key=key)
+        n_links = [sum(b != a and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for b, t in enumerate(sets)) for a, s in enumerate(sets)]
         least = [min((i for i, g in zip(ids, group, strict=True) if g == own and i is not None), default=None) for own in group]
-        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()]
-        assert sorted(got, key=key) == sorted(zip(ids, map(len, sets), least, strict=True), key=key)
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(df).collect()]
+        assert sorted(got, key=key) == sorted(zip(ids, map(len, sets), least, n_links, strict=True), key=key)
 
 
 def test_shared_passages(spark):
@@ -593,6 +614,32 @@ def test_html_keeps_whole_texts():
     assert extract("<p>a</p><p>b</p><p>c</p>" * 3) == "\n".join("abc" * 3)
 
 
+def test_html_threshold_selects(monkeypatch):
+    """Without semantic tags or telling names, ratios alone part the story from the boxes around it."""
+    from cuewell.llm import html_extract
+
+    story = [f"Paragraph {i} of the story goes on for quite a while, with words enough to stand out from what is around it." for i in range(8)]
+    box = lambda n: "<div>" + "".join(f"<span><a href=x><b>Box {n}</b></a></span><br>" for _ in range(6)) + "</div>"
+    page = f"<body><div>{box(1)}</div><div><h2>The heading</h2>{''.join(f'<p>{p}</p>' for p in story)}</div><div>{box(2)}{box(3)}</div></body>"
+    want = "\n".join(["The heading", *story])
+    assert html_extract.extract(page) == want
+    monkeypatch.setattr(html_extract, "_threshold", lambda values: float("-inf"))
+    off = html_extract.extract(page)
+    assert off != want and "Box 1" in off and "Box 3" in off
+
+
+def test_html_smoothing_selects(monkeypatch):
+    """One long line in a box is no story: its neighbours pull it down."""
+    from cuewell.llm import html_extract
+
+    story = [f"Paragraph {i} of the story goes on for quite a while, with words enough to stand out from what is around it." for i in range(12)]
+    lone = "A single line of some length in a box of links."
+    box = "<div>" + "<a><b><i>go</i></b></a><br>" * 8 + f"<p><a><b>{lone}</b></a></p>" + "<a><b><i>go</i></b></a><br>" * 8 + "</div>"
+    page = f"<body>{box}<div>{''.join(f'<p>{p}</p>' for p in story)}</div></body>"
+    assert html_extract.extract(page) == "\n".join(story)
+    assert html_extract._smooth([0.0, 0.0, 10.0, 0.0, 0.0])[2] < 5 < html_extract._smooth([10.0] * 5)[2]
+
+
 def test_byte_bpe(docs, empty):
     import public_tokenizers
     import tiktoken
@@ -662,6 +709,65 @@ def test_quality_classifier(spark):
     assert score(docs.limit(0), fit(docs, lab.limit(0))).collect() == []
 
 
+def test_factorisation_machine_equals_explicit_pairs():
+    """The sum-of-squares identity against all pairs of the features of each row."""
+    import numpy as np
+
+    from cuewell.llm import quality_classifier as q
+
+    rng = np.random.default_rng(2)
+    texts = ["a few words, a few", "", "x", "### | 12 3 Words AND words.\nmore words"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    word, rows_, bins = q.features(data, np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+    model = (0.3, rng.normal(0, 0.1, q.N_FEATURES), rng.normal(0, 0.3, (q.N_FEATURES, q.RANK)))
+    got = q.margins(model, word, rows_, bins)
+    for i in range(len(texts)):
+        own = word[rows_[i] : rows_[i + 1]]
+        items = [(k, 1 / max(1, len(own))) for k in own.tolist()] + [(k, 1.0) for k in bins[i].tolist()]
+        want = model[0] + sum(model[1][k] * x for k, x in items)
+        want += sum(x * y * float(model[2][a] @ model[2][b]) for n, (a, x) in enumerate(items) for b, y in items[:n])
+        assert got[i] == pytest.approx(want)
+
+
+def test_pii_many_spans(spark):
+    """Thousands of matches of several kinds in one text, beyond several blocks of running sums."""
+    from cuewell.llm.pii import find
+
+    rng = random.Random(12)
+    parts = [lambda: f"{rng.randint(0, 300)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"a{rng.randint(0, 999)}@é x.y@host{rng.randint(0, 9)}.example.org", lambda: f"+49 30 {rng.randint(1000000, 99999999)}", lambda: "😀 word"]
+    text = " ".join(rng.choice(parts)() for _ in range(3000))
+    r = find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = base_spans(text)
+    names = [f"{n}:{s}:{e}" for s, _, e, n in sorted(spans)]
+    assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[3] == k for x in spans) for k in ("email", "ip", "card", "phone")]
+    assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest() and set(names) <= set(r["spans"].split(","))
+
+
+def test_rows_with_null_and_repeated_ids_give_rows(spark):
+    """Operators that read a row at a time give each row its own result, whatever its id."""
+    import public_tokenizers
+
+    from cuewell.llm import byte_bpe, html_extract, license_scan, packing, pii, quality_classifier, quality_rules
+
+    texts = ["one two three", None, "", "mail me at a.b@ex.com or not", "one two three", "released under the mit license", "another text of several words in a row that goes on and on"]
+    ids = [None, 7, 7, None, 7, 3, 3]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string").repartition(2)
+    model = quality_classifier.fit(df, spark.createDataFrame([(7, 1), (3, 0), (None, 1)], "doc_id long, quality int"))
+    made = {
+        "licence": license_scan.scan(df), "pii": pii.find(df), "rules": quality_rules.judge(df),
+        "bpe": byte_bpe.encode_table(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), "score": quality_classifier.score(df, model),
+    }
+    for name, out in made.items():
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(ids), name
+    n = Counter(r["doc_id"] for r in license_scan.scan(df).where("n_words = 3").collect())
+    assert n == Counter([None, 7])
+    pieces = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(ids)
+    pages = spark.createDataFrame([(None, "u", "<p>x</p>"), (1, "v", "<p>y</p>"), (1, "v", None)], "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["text"]) for r in html_extract.extract_pages(pages).collect()) == Counter([(None, "x"), (1, "y"), (1, "")])
+
+
 def test_components(spark):
     from cuewell.llm.components import components
 
