@@ -30,7 +30,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group of linked documents."""
     rows, _ = keyed(docs)
-    gone = ngram_join.join(rows, id_col="key").where("component_id <> doc_id").select(F.col("doc_id").alias("key"))
+    gone = ngram_join.join(rows, id_col="key", count=False).where("component_id <> doc_id").select(F.col("doc_id").alias("key"))
     return rows.join(gone, "key", "left_anti").select(COLUMNS)
 
 
