@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,33 +34,48 @@ def recall_session(queries: DataFrame, episodes: DataFrame, half_life: float | N
     """Recalls queries (qid, scope, seq, query) in order, each hit strengthening its fact.
 
     Candidates and features come from one batch join; the sequential part, whose every step depends
-    on the hits before it, runs per scope over candidate rows only, reading them in order.
+    on the hits before it, reads a scope's candidate rows in order and keeps only the weights of the
+    facts that were hit.
     """
     q = with_cues(queries, expand=False)
     pets = F.col("pet_query") & F.col("es_pet")
     df = score(gather(q, indexed(episodes)), q, episodes)
     df = df.where((F.col("ov") >= 1) | pets).where((~F.col("loose_fact") | pets) & (~F.col("loose_cue") | pets))
-    rows = df.select("scope", "seq", "qid", "idx", "exact", "selfp", "subj", "spec", F.col("t").alias("fact"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight: dict[int, float] = {}
-        at: dict[int, int] = {}
-        tick, out = 0, []
-        half = half_life if half_life and half_life > 0 else None
-        for _, group in pdf.sort_values(["seq", "idx"]).groupby("seq", sort=True):
-            best, key = None, None
-            for r in group.itertuples():
-                w = weight.get(r.idx, 1.0) * (0.5 ** ((tick - at.get(r.idx, 0)) / half) if half else 1.0)
-                k = (r.exact, w, r.selfp, r.subj, r.spec, r.idx)
+    kinds = {"scope": "string", "seq": "long", "qid": "long", "idx": "long", "exact": "int", "selfp": "int", "subj": "int", "spec": "int", "fact": "string"}
+    rows = df.withColumn("fact", F.col("t")).select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    half = half_life if half_life and half_life > 0 else None
+
+    def run(batches):
+        scope, turn, best, key, tick = None, None, None, None, 0
+        held: dict[int, tuple[float, int]] = {}
+        for b in batches:
+            out = []
+            for r in zip(*(b.column(i).to_pylist() for i in range(len(kinds))), strict=True):
+                if (r[0], r[1]) != turn:
+                    if best is not None:
+                        held[best[3]] = (key[1] + 1.0, tick)
+                        out.append((best[0], best[2], best[3], best[8], key[1], tick))
+                        tick += 1
+                    if r[0] != scope:
+                        scope, tick = r[0], 0
+                        held.clear()
+                    turn, best, key = (r[0], r[1]), None, None
+                w, at = held.get(r[3], (1.0, 0))
+                k = (r[4], w * (0.5 ** ((tick - at) / half) if half else 1.0), r[5], r[6], r[7], r[3])
                 if key is None or k > key:
                     best, key = r, k
-            w = key[1]
-            weight[best.idx], at[best.idx] = w + 1.0, tick
-            out.append((best.scope, best.qid, best.idx, best.fact, w, tick))
-            tick += 1
-        return pd.DataFrame(out, columns=["scope", "qid", "idx", "fact", "weight", "tick"])
+            yield batch(out)
+        if best is not None:
+            yield batch([(best[0], best[2], best[3], best[8], key[1], tick)])
 
-    return rows.groupBy("scope").applyInPandas(run, "scope string, qid long, idx long, fact string, weight double, tick long")
+    names = ["scope", "qid", "idx", "fact", "weight", "tick"]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64())
+
+    def batch(out):
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return rows.repartition("scope").sortWithinPartitions("scope", "seq", "idx").mapInArrow(run, "scope string, qid long, idx long, fact string, weight double, tick long")
 
 
 def recall_links(hits: DataFrame, window: int = LINK_WINDOW) -> DataFrame:

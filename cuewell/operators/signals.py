@@ -110,19 +110,32 @@ def stances(notes: DataFrame, persona: dict[str, float] | None = None) -> DataFr
     """(scope, seq, topic, feeling) to (scope, topic, feeling, strength).
 
     Stating a topic adds a bump; every statement of another topic of the scope decays it toward the
-    floor.  In closed form: between two statements of a topic lie j others, so its strength becomes
-    max(s * decay^j, floor); only a topic's own statements are folded.
+    floor.  Between two statements of a topic lie j others, so a statement maps a strength s to
+    max(s * decay^j, floor) + bump.  Such maps compose: each chunk of CHUNK statements becomes one, and
+    a topic folds its chunks, so no list grows with a topic's statements.
     """
     m = modulated(persona)
-    w = Window.partitionBy("scope").orderBy("seq")
-    placed = notes.withColumn("low", F.lower(F.trim("topic"))).withColumn("p", F.row_number().over(w))
+    placed = notes.withColumn("low", F.lower(F.trim("topic"))).withColumn("p", F.row_number().over(Window.partitionBy("scope").orderBy("seq")))
     total = notes.groupBy("scope").agg(F.count(F.lit(1)).cast("int").alias("total"))
-    by = placed.groupBy("scope", "low").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.max_by("feeling", "p").alias("feeling"), F.max_by("topic", "p").alias("topic")).join(total, "scope")
-    faded = lambda s, j: F.when(j > 0, F.greatest(s * F.pow(F.lit(m["decay"]), j), F.lit(m["floor"]))).otherwise(s)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("s"))
-    step = lambda acc, p: F.struct(p.alias("at"), (F.when(acc["at"] == 0, 0.0).otherwise(faded(acc["s"], p - acc["at"] - 1)) + m["bump"]).alias("s"))
-    end = F.aggregate("ps", zero, step)
-    return by.withColumn("e", end).select("scope", "topic", "feeling", faded(F.col("e.s"), F.col("total") - F.col("e.at")).alias("strength"))
+    own = Window.partitionBy("scope", "low").orderBy("p")
+    gaps = placed.withColumns({"j": F.col("p") - F.lag("p").over(own) - 1, "chunk": F.floor((F.row_number().over(own) - 1) / CHUNK)})
+    never = F.lit(float("-inf"))
+    fade = F.when(F.col("j") > 0, F.pow(F.lit(m["decay"]), F.col("j"))).otherwise(F.when(F.col("j").isNull(), 0.0).otherwise(1.0))
+    low = F.when(F.col("j") > 0, F.lit(m["floor"] + m["bump"])).otherwise(never)
+    steps = gaps.select("scope", "low", "chunk", "p", F.struct("p", fade.alias("a"), low.alias("lo")).alias("f"), "feeling", "topic")
+    # A map is s -> max(a s + b, lo).
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), never.alias("lo"))
+    then = lambda f, g: F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), F.greatest(F.when(f["lo"] > never, g["a"] * f["lo"] + g["b"]).otherwise(never), g["lo"]).alias("lo"))
+    with_bump = lambda f: F.struct(f["a"].alias("a"), F.lit(m["bump"]).alias("b"), f["lo"].alias("lo"))
+    last = F.max(F.struct("p", "feeling", "topic")).alias("last")
+    part = steps.groupBy("scope", "low", "chunk").agg(F.array_sort(F.collect_list("f")).alias("fs"), last)
+    part = part.withColumn("f", F.aggregate("fs", same, lambda x, g: then(x, with_bump(g))))
+    by = part.groupBy("scope", "low").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"), F.max("last").alias("last")).join(total, "scope")
+    whole = F.aggregate("fs", same, lambda x, g: then(x, g["f"]))
+    strength = T.bind(whole, lambda f: F.greatest(f["b"], f["lo"]))  # from nought
+    j = F.col("total") - F.col("last.p")
+    faded = F.when(j > 0, F.greatest(F.col("s") * F.pow(F.lit(m["decay"]), j), F.lit(m["floor"]))).otherwise(F.col("s"))
+    return by.withColumn("s", strength).select("scope", F.col("last.topic").alias("topic"), F.col("last.feeling").alias("feeling"), faded.alias("strength"))
 
 
 def topic_matches(stored: Column, asked: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as lex
-from .oracle import FACT, LAST, MESSAGES, TOP1, _set, cue, fnv, recall, semantic
+from .oracle import FACT, LAST, MESSAGES, TOP1, TRUST, _set, cue, fnv, recall, semantic
 
 _M = "18446744073709551616::UHUGEINT"
 
@@ -79,6 +79,21 @@ f{i + 1} AS MATERIALIZED (SELECT g.qid, g.scope, g.idx, g.act FROM g{i} g ANTI J
     return out + f", rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(act, 9) DESC, idx) AS rank FROM a{steps}) SELECT qid, rank, idx, seed, round(act, 6) AS act FROM rk WHERE rank <= 8"
 
 
+def spread_once(k: int) -> str:
+    """CTEs over qs (qid, scope, query) and enc: rk1, the k facts of highest activation after one hop."""
+    return f"""
+kue AS (SELECT qid, scope, {cue('query', False)} AS cue FROM qs),
+post AS MATERIALIZED (SELECT scope, idx, unnest(s) AS stem FROM enc), dfs AS MATERIALIZED (SELECT scope, stem, count(*) AS df FROM post GROUP BY ALL), siz AS (SELECT scope, count(*) AS n FROM enc GROUP BY ALL),
+cs AS (SELECT qid, scope, unnest(cue) AS stem FROM kue),
+gt AS (SELECT cs.*, df <= greatest(floor(n * 0.25), 64) AS rare FROM cs JOIN dfs USING (scope, stem) JOIN siz USING (scope)),
+ga AS (SELECT *, bool_or(rare) OVER (PARTITION BY qid, scope) AS anyr FROM gt),
+seed AS MATERIALIZED (SELECT qid, scope, idx, count(*)::DOUBLE AS act FROM ga JOIN post USING (scope, stem) WHERE rare OR NOT anyr GROUP BY ALL),
+lk AS (SELECT scope, stem, df FROM dfs JOIN siz USING (scope) WHERE df >= 2 AND df <= greatest(floor(n * 0.25), 4) AND NOT list_contains({_set(lex.STOP_VALUE_STEMS)}, stem)),
+sg AS (SELECT a.qid, a.scope, q.idx, a.act * 0.5 / df AS sig FROM seed a JOIN post p ON p.scope = a.scope AND p.idx = a.idx JOIN lk ON lk.scope = p.scope AND lk.stem = p.stem JOIN post q ON q.scope = p.scope AND q.stem = p.stem AND q.idx <> a.idx WHERE a.act * 0.5 / df >= 1e-6),
+al AS (SELECT qid, scope, idx, sum(x) AS act, bool_or(sd) AS seed FROM (SELECT qid, scope, idx, act AS x, true AS sd FROM seed UNION ALL SELECT qid, scope, idx, sig, false FROM sg) GROUP BY ALL),
+rk1 AS (SELECT *, row_number() OVER (PARTITION BY qid, scope ORDER BY round(act, 9) DESC, idx) AS rank FROM al QUALIFY rank <= {k})"""
+
+
 SESSION = f"""WITH RECURSIVE {FACT}, qs AS (SELECT idx AS qid, scope, t AS query FROM enc), {recall('qs', expand=False)},
 cd AS (SELECT scope, qid AS seq, list({{'e': exact, 'f': selfp::INT, 'g': subj::INT, 's': spec, 'i': idx}}) AS cs FROM sc
   WHERE (ov >= 1 OR (petq AND es_pet)) AND (NOT loose_fact OR (petq AND es_pet)) AND (NOT loose_cue OR (petq AND es_pet)) GROUP BY ALL),
@@ -92,6 +107,9 @@ rc(scope, tick, seq, w, since, b) AS (
     FROM rc r JOIN sq s ON s.scope = r.scope AND s.tick = r.tick + 1)
 ), ses AS (SELECT rc.scope, seq AS qid, b.i AS idx, t AS fact, round(b.w, 9) AS weight, tick FROM rc JOIN enc ON enc.scope = rc.scope AND enc.idx = b.i WHERE tick >= 0)"""
 
+LINKS = "lg AS (SELECT scope, idx, unnest([lag(idx, 1) OVER w, lag(idx, 2) OVER w, lag(idx, 3) OVER w]) AS o FROM ses WINDOW w AS (PARTITION BY scope ORDER BY tick)), ln AS (SELECT scope, least(idx, o) AS a, greatest(idx, o) AS b, count(*) * 0.5::DOUBLE AS w FROM lg WHERE o IS NOT NULL AND o <> idx GROUP BY ALL)"
+LINKED = f"{SESSION}, {LINKS}, bw AS MATERIALIZED (SELECT * FROM ln UNION ALL SELECT scope, b, a, w FROM ln), ew AS MATERIALIZED (SELECT scope, idx, max(weight) AS eff FROM ses GROUP BY ALL)"
+
 SQL: dict[str, str] = {
     "vector_context": f"WITH {MESSAGES}, {CONTEXT} SELECT word, dim, val FROM cv",
     "semantic_totals": f"WITH {MESSAGES}, {CONTEXT} SELECT (SELECT count(DISTINCT word) FROM cv) AS words, (SELECT count(*) FROM sp) AS tokens, (SELECT count(DISTINCT word) FROM cv) * 1024 AS bytes",
@@ -118,6 +136,23 @@ SELECT qid, idx, round(coverage, 6) AS coverage, overlap, exact FROM top1 UNION
     "vector_kmeans": _kmeans(8, 4),
     "spread_settled": _settled(10),
     "adaptive_session": f"{SESSION} SELECT scope, qid, idx, fact, weight, tick FROM ses",
-    "adaptive_links": f"""{SESSION}, lg AS (SELECT scope, idx, unnest([lag(idx, 1) OVER w, lag(idx, 2) OVER w, lag(idx, 3) OVER w]) AS o FROM ses WINDOW w AS (PARTITION BY scope ORDER BY tick))
-SELECT scope, least(idx, o) AS a, greatest(idx, o) AS b, count(*) * 0.5::DOUBLE AS w FROM lg WHERE o IS NOT NULL AND o <> idx GROUP BY ALL""",
+    "adaptive_links": f"{SESSION}, {LINKS} SELECT scope, a, b, w FROM ln",
+    "spread_across": f"""WITH {FACT}, ls AS (SELECT scope::BIGINT AS qid, arg_max(t, idx) AS query FROM enc GROUP BY scope), qs AS (SELECT qid, scope, query FROM ls CROSS JOIN (SELECT DISTINCT scope FROM enc)), {spread_once(5)},
+fin AS (SELECT qid, scope, idx, seed, act, row_number() OVER (PARTITION BY qid ORDER BY seed DESC, round(act, 9) DESC, scope, idx) AS rank FROM rk1)
+SELECT qid, rank, 'all__' || scope AS scope, idx, seed, round(act, 6) AS act FROM fin WHERE rank <= 5""",
+    "spread_trusted": f"""WITH {TRUST.replace('event_type AS class', '(event_id % 100)::VARCHAR AS class')}, {FACT}, {LAST}, {spread_once(20)},
+fin AS (SELECT qid, idx, act * coalesce(weight, 1.0) AS act, row_number() OVER (PARTITION BY qid ORDER BY round(act * coalesce(weight, 1.0), 9) DESC, rank) AS rank FROM rk1 LEFT JOIN ledger ON class = lower(scope))
+SELECT qid, rank, idx, round(act, 6) AS act FROM fin WHERE rank <= 5""",
+    "adaptive_related": f"""{LINKED},
+nb AS (SELECT s.qid, s.scope, b.b AS idx, b.w, row_number() OVER (PARTITION BY s.qid, s.scope ORDER BY round(b.w * coalesce(eff, 1.0), 9) DESC, b.b) AS rank
+  FROM ses s JOIN bw b ON b.scope = s.scope AND b.a = s.idx LEFT JOIN ew ON ew.scope = b.scope AND ew.idx = b.b)
+SELECT qid, scope, rank, idx, round(w, 6) AS w FROM nb WHERE rank <= 3""",
+    "adaptive_spread": f"""{LINKED},
+e1 AS (SELECT bw.*, coalesce(eff, 1.0) AS eff, row_number() OVER (PARTITION BY bw.scope, a ORDER BY round(w * coalesce(eff, 1.0), 9) DESC, b) AS r FROM bw LEFT JOIN ew ON ew.scope = bw.scope AND ew.idx = bw.b),
+ed AS MATERIALIZED (SELECT scope, a, b, 0.7::DOUBLE * w / greatest(sum(w) OVER (PARTITION BY scope, a), 1.0) * least(eff, 1.0) AS gain FROM e1 WHERE r <= 8),
+h0 AS (SELECT qid, scope, idx, 1.0::DOUBLE AS act FROM ses WHERE tick = 0),
+h1 AS MATERIALIZED (SELECT qid, h.scope, b AS idx, sum(act * gain) AS act FROM h0 h JOIN ed ON ed.scope = h.scope AND ed.a = h.idx WHERE act * gain > 1e-9 GROUP BY ALL),
+h2 AS (SELECT qid, h.scope, b AS idx, sum(act * gain) AS act FROM h1 h JOIN ed ON ed.scope = h.scope AND ed.a = h.idx WHERE act > 1e-9 AND act * gain > 1e-9 GROUP BY ALL),
+un AS (SELECT qid, scope, idx, round(sum(act), 4) AS act FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY qid, scope, idx)
+SELECT *, row_number() OVER (PARTITION BY qid, scope ORDER BY act DESC, idx) AS rank FROM un QUALIFY rank <= 5""",
 }

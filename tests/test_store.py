@@ -130,6 +130,16 @@ def test_marks_and_why(spark):
     assert [(r["qid"], r["evidence"]) for r in signals.why(ask, views, hits).collect()] == [(1, ["the door is open"])]
 
 
+def test_folds_compose(spark, monkeypatch):
+    """Chunks of a few statements give what one chunk of all gives."""
+    notes = spark.createDataFrame([("a", i, "xyxxzyyyx"[i % 9], f"f{i}") for i in range(60)], "scope string, seq long, topic string, feeling string")
+    rounds = spark.createDataFrame([(i, "c", ((i * 37) % 11 - 5) / 5) for i in range(50)], "round long, class string, delta double")
+    key = lambda df: sorted((r[0], r[1], *[round(x, 9) if isinstance(x, float) else x for x in r[2:]]) for r in df.collect())
+    whole = key(signals.stances(notes)), key(signals.trust(rounds).select("class", "rewards", "penalties", "weight"))
+    monkeypatch.setattr(signals, "CHUNK", 4)
+    assert (key(signals.stances(notes)), key(signals.trust(rounds).select("class", "rewards", "penalties", "weight"))) == whole
+
+
 def test_adaptive_weights(spark):
     w = spark.createDataFrame([("a", 0, 1.0, 0), ("a", 1, 1.0, 0)], "scope string, idx long, w double, tick long")
     up = adaptive.reinforce(w, spark.createDataFrame([("a", 0, 8, 1.0), ("a", 2, 8, 1.0)], "scope string, idx long, tick long, by double"), 8.0)
