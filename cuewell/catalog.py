@@ -407,8 +407,8 @@ def q_secure(spark, sf):
 
 
 def q_topics(spark, sf):
-    m = messages(spark, sf).select(F.xxhash64("scope", "seq").alias("id"), "text")
-    return topics.mixture(topics.token_topics(m, 8, 6), 8)
+    m = messages(spark, sf).select(F.concat_ws("/", "scope", "seq").alias("id"), "text")
+    return topics.mixture(topics.token_topics(m, 8, 6), 8).withColumn("share", F.round("share", 9))
 
 
 def q_teleport(spark, sf):

@@ -107,12 +107,12 @@ def q_spread_trusted(spark, sf):
 
 
 def assigned(spark, sf) -> DataFrame:
-    m = messages(spark, sf).select(F.xxhash64("scope", "seq").alias("id"), "text")
+    m = messages(spark, sf).select(F.concat_ws("/", "scope", "seq").alias("id"), "text")
     return cut(topics.token_topics(m, 8, 6))
 
 
 def q_top_words(spark, sf):
-    return topics.top_words(assigned(spark, sf), 8)
+    return topics.top_words(assigned(spark, sf), 8).withColumn("phi", F.round("phi", 9))
 
 
 def q_fold_in(spark, sf):
@@ -124,13 +124,13 @@ def q_fold_in(spark, sf):
 def q_topic_gate(spark, sf):
     """Facts that each conversation's last message may mean, by topics of its words and of itself."""
     a = assigned(spark, sf)
-    f = messages(spark, sf).select(F.xxhash64("scope", "seq").alias("id"), "scope", F.col("seq").alias("idx"))
+    f = messages(spark, sf).select(F.concat_ws("/", "scope", "seq").alias("id"), "scope", F.col("seq").alias("idx"))
     return topics.topic_gate(last_messages(spark, sf), a, f, 8).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
 
 
 def q_scope_topics(spark, sf):
-    f = messages(spark, sf).select(F.xxhash64("scope", "seq").alias("id"), "scope")
-    return topics.scope_topics(assigned(spark, sf), f)
+    f = messages(spark, sf).select(F.concat_ws("/", "scope", "seq").alias("id"), "scope")
+    return topics.scope_topics(assigned(spark, sf), f).withColumn("share", F.round("share", 9))
 
 
 def _session(spark, sf):

@@ -34,7 +34,8 @@ def token_topics(texts: DataFrame, k: int, sweeps: int = 12, id_col: str = "id",
     tok = texts.select(F.col(id_col).alias("id"), F.explode(T.semantic_tokens(F.col(text_col))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     tok = cut(tok.join(vocab.select("word"), "word", "left_semi"))
     topics = range(k)
-    start = F.array(*[1.0 + F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000)) / 500.0 for i in topics])
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat("word", F.lit(f":{i}"))), 1, 6), 16, 10).cast("long") % 1000
+    start = F.array(*[1.0 + draw(i) / 500.0 for i in topics])
     kw = tok.select("word").distinct().withColumn("kw", start)
     dk = tok.select("id").distinct().withColumn("dk", F.array(*[F.lit(1.0)] * k))
     parts = [F.sum(F.col("n") * F.get("r", F.lit(i))) for i in topics]

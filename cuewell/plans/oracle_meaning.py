@@ -107,6 +107,53 @@ rc(scope, tick, seq, w, since, b) AS (
     FROM rc r JOIN sq s ON s.scope = r.scope AND s.tick = r.tick + 1)
 ), ses AS (SELECT rc.scope, seq AS qid, b.i AS idx, t AS fact, round(b.w, 9) AS weight, tick FROM rc JOIN enc ON enc.scope = rc.scope AND enc.idx = b.i WHERE tick >= 0)"""
 
+K, SWEEPS = 8, 6
+
+
+def _cols(form: str, sep: str = ", ") -> str:
+    return sep.join(form.format(i=i) for i in range(K))
+
+
+def _topics() -> str:
+    """CTEs of word topics by unrolled sweeps of expectation and maximisation: asg (id, word, topic, n)."""
+    draw = "(strpos('0123456789abcdef', substr(h, {p}, 1)) - 1)"
+    number = lambda i: "list_transform([md5(word || ':" + str(i) + "')], lambda h: " + " + ".join(f"{draw.format(p=p + 1)} * {16 ** (5 - p)}" for p in range(6)) + ")[1]"
+    out = f"""tx AS (SELECT scope || '/' || seq AS id, scope, seq, {semantic('text')} AS ws FROM msg),
+voc AS (SELECT word FROM (SELECT unnest(list_distinct(ws)) AS word FROM tx) GROUP BY word HAVING count(*) >= 2 AND count(*) <= greatest((SELECT count(*) FROM tx) / 4, 64)),
+tk AS MATERIALIZED (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(ws) AS word FROM tx) JOIN voc USING (word) GROUP BY ALL),
+vs AS (SELECT greatest(count(*), 1) AS v FROM voc),
+kw0 AS MATERIALIZED (SELECT word, {', '.join(f'1.0::DOUBLE + ({number(i)} % 1000) / 500.0::DOUBLE AS k{i}' for i in range(K))} FROM (SELECT DISTINCT word FROM tk)),
+dk0 AS MATERIALIZED (SELECT id, {_cols('1.0::DOUBLE AS d{i}')} FROM (SELECT DISTINCT id FROM tk))"""
+    for s in range(SWEEPS):
+        out += f""",
+nk{s} AS MATERIALIZED (SELECT {_cols('sum(k{i}) AS n{i}')} FROM kw{s}),
+rw{s} AS (SELECT id, word, n, {_cols('(d{i} + 0.2::DOUBLE) * (k{i} + 0.01::DOUBLE) / (n{i} + v * 0.01::DOUBLE) AS r{i}')} FROM tk JOIN kw{s} USING (word) JOIN dk{s} USING (id), nk{s}, vs),
+nw{s} AS MATERIALIZED (SELECT id, word, n, {_cols('r{i} / (' + _cols('r{i}', ' + ').replace('{', '{{') + ') AS p{i}')} FROM rw{s}),
+kw{s + 1} AS MATERIALIZED (SELECT word, {_cols('sum(n * p{i}) AS k{i}')} FROM nw{s} GROUP BY word),
+dk{s + 1} AS MATERIALIZED (SELECT id, {_cols('sum(n * p{i}) AS d{i}')} FROM nw{s} GROUP BY id)"""
+    parts = "[" + _cols("round(p{i}, 9)") + "]"
+    return out + f""",
+asg AS MATERIALIZED (SELECT id, word, n, list_position({parts}, list_max({parts})) - 1 AS topic FROM nw{SWEEPS - 1}),
+mx AS MATERIALIZED (SELECT id, topic, share, row_number() OVER (PARTITION BY id ORDER BY share DESC, topic) AS rank FROM (SELECT id, topic, (sum(n) + 0.2::DOUBLE) / (sum(sum(n)) OVER (PARTITION BY id) + {K} * 0.2::DOUBLE) AS share FROM asg GROUP BY id, topic) QUALIFY rank <= 3)"""
+
+
+def _folded() -> str:
+    """CTE fi (id, topic, share, rank): topics of the rows of lm (id, query) under the counts of asg."""
+    out = f"""wc AS MATERIALIZED (SELECT word, {_cols('sum(CASE WHEN topic = {i} THEN n ELSE 0 END)::DOUBLE AS c{i}')} FROM asg GROUP BY word), sz AS (SELECT count(*) AS v, {_cols('sum(c{i}) AS t{i}')} FROM wc),
+ph AS MATERIALIZED (SELECT word, {_cols('(c{i} + 0.01::DOUBLE) / (t{i} + v * 0.01::DOUBLE) AS f{i}')} FROM wc, sz),
+lt AS MATERIALIZED (SELECT id, word, count(*) AS n, {_cols('any_value(f{i}) AS f{i}')} FROM (SELECT id, unnest({semantic('query')}) AS word FROM lm) JOIN ph USING (word) GROUP BY id, word),
+e0 AS (SELECT DISTINCT id, {_cols('1.0::DOUBLE AS d{i}')} FROM lt)"""
+    for s in range(5):
+        out += f""",
+w{s} AS (SELECT id, n, {_cols('(d{i} + 0.2::DOUBLE) * f{i} AS r{i}')} FROM lt JOIN e{s} USING (id)),
+e{s + 1} AS MATERIALIZED (SELECT id, {_cols('sum(n * r{i} / (' + _cols('r{i}', ' + ').replace('{', '{{') + ')) AS d{i}')} FROM w{s} GROUP BY id)"""
+    total = "(" + _cols("d{i}", " + ") + ")"
+    return out + f""",
+fi AS MATERIALIZED (SELECT id, topic, share, row_number() OVER (PARTITION BY id ORDER BY round(share, 9) DESC, topic) AS rank FROM (SELECT id, unnest(range(0, {K})) AS topic, unnest([{_cols('(d{i} + 0.2::DOUBLE) / (' + total.replace('{', '{{') + f' + {K} * 0.2::DOUBLE)')}]) AS share FROM e5) QUALIFY rank <= 3)"""
+
+
+TOPICS = f"WITH {MESSAGES}, {_topics()}"
+LAST_MESSAGE = "lm AS (SELECT scope::BIGINT AS id, scope, arg_max(text, seq) AS query FROM msg GROUP BY scope)"
 LINKS = "lg AS (SELECT scope, idx, unnest([lag(idx, 1) OVER w, lag(idx, 2) OVER w, lag(idx, 3) OVER w]) AS o FROM ses WINDOW w AS (PARTITION BY scope ORDER BY tick)), ln AS (SELECT scope, least(idx, o) AS a, greatest(idx, o) AS b, count(*) * 0.5::DOUBLE AS w FROM lg WHERE o IS NOT NULL AND o <> idx GROUP BY ALL)"
 LINKED = f"{SESSION}, {LINKS}, bw AS MATERIALIZED (SELECT * FROM ln UNION ALL SELECT scope, b, a, w FROM ln), ew AS MATERIALIZED (SELECT scope, idx, max(weight) AS eff FROM ses GROUP BY ALL)"
 
@@ -155,4 +202,17 @@ h1 AS MATERIALIZED (SELECT qid, h.scope, b AS idx, sum(act * gain) AS act FROM h
 h2 AS (SELECT qid, h.scope, b AS idx, sum(act * gain) AS act FROM h1 h JOIN ed ON ed.scope = h.scope AND ed.a = h.idx WHERE act > 1e-9 AND act * gain > 1e-9 GROUP BY ALL),
 un AS (SELECT qid, scope, idx, round(sum(act), 4) AS act FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY qid, scope, idx)
 SELECT *, row_number() OVER (PARTITION BY qid, scope ORDER BY act DESC, idx) AS rank FROM un QUALIFY rank <= 5""",
+    "topic_mixture": f"{TOPICS} SELECT id, topic, round(share, 9) AS share, rank FROM mx",
+    "topic_top_words": f"""{TOPICS}, kw AS (SELECT topic, word, sum(n) AS n FROM asg GROUP BY ALL), ph AS (SELECT topic, word, (n + 0.01::DOUBLE) / (sum(n) OVER (PARTITION BY topic) + (SELECT count(DISTINCT word) FROM kw) * 0.01::DOUBLE) AS phi FROM kw)
+SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY phi DESC, word) AS rank, word, round(phi, 9) AS phi FROM ph QUALIFY rank <= 8""",
+    "topic_scopes": f"""{TOPICS}, n AS (SELECT scope, count(*) AS n FROM msg GROUP BY scope), p AS (SELECT DISTINCT id, topic FROM asg)
+SELECT scope, topic, round(count(*) / any_value(n.n), 9) AS share FROM p JOIN tx USING (id) JOIN n USING (scope) GROUP BY scope, topic""",
+    "topic_fold_in": f"{TOPICS}, {LAST_MESSAGE}, {_folded()} SELECT id, topic, round(share, 6) AS share, rank FROM fi",
+    "topic_gate": f"""{TOPICS}, {LAST_MESSAGE}, {_folded()},
+wt AS (SELECT word, arg_max(topic, n * 100 - topic) AS topic FROM (SELECT word, topic, sum(n) AS n FROM asg GROUP BY ALL) GROUP BY word),
+wn AS (SELECT id, topic FROM (SELECT id, unnest({semantic('query')}) AS word FROM lm) JOIN wt USING (word) UNION SELECT id, topic FROM fi),
+wb AS (SELECT id, topic, 0 AS loose FROM wn UNION ALL SELECT DISTINCT id, {K}, 1 FROM wn),
+po AS (SELECT scope, seq AS idx, coalesce(topic, {K}) AS topic FROM tx LEFT JOIN mx USING (id)),
+ht AS (SELECT wb.id, po.idx, min(loose) AS loose FROM wb JOIN lm ON lm.id = wb.id JOIN po ON po.scope = lm.scope AND po.topic = wb.topic GROUP BY ALL)
+SELECT id AS qid, count(*) AS n, min(idx) AS first FROM ht GROUP BY id""",
 }
