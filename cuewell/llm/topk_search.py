@@ -184,7 +184,10 @@ def top_k(df, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "emb
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     width = width or 0
     cells = max(1, min(MAX_CELLS, -(-n // shard_rows)))
-    sample = rows.select("x", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(SAMPLE).collect()  # a bounded sample
+    # A bounded sample; the cut by hash before it keeps what partitions send as small.
+    share = min(1.0, 4 * SAMPLE / max(n, 1))
+    drawn = rows.select("x", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h"), "key").where(F.col("h") <= int(share * (1 << 30)))
+    sample = drawn.orderBy("h", "key").limit(SAMPLE).collect()
     first = np.zeros((max(1, len(sample)), width))
     for i, r in enumerate(sample):
         first[i, : len(r["x"])] = r["x"]
