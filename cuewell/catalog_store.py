@@ -189,6 +189,21 @@ def q_checked(spark, sf):
     return order_marks(spark, sf)
 
 
+def q_stored_marks(spark, sf):
+    """Marks written as variables of a sub-scope and read back."""
+    held = store.set_variables(facts(spark, sf).limit(0), signals.marks_as_variables(order_marks(spark, sf)))
+    return signals.stored_marks(held)
+
+
+def q_samples(spark, sf):
+    """How many of the facts about each nation's customers are sampled."""
+    from .catalog import geography
+    from .operators.semantic import scope_samples
+
+    f = geography(spark, sf).withColumn("scope", F.concat(F.regexp_extract("t", " is (.*)$", 1), F.lit("__c")))
+    return scope_samples(f).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def keyed_facts(spark, sf) -> DataFrame:
     return cut(store.upsert(facts(spark, sf).limit(0), events_keyed(spark, sf)))
 
@@ -378,6 +393,7 @@ QUERIES = {
     "write_pack": q_pack_blob, "write_wipe": q_wipe, "write_replace": q_replace, "write_import": q_import, "write_rewrite": q_rewrite,
     "write_reinforce": q_reinforce, "instructions": q_instructions, "instructions_deleted": q_instructions_deleted,
     "variables_list": q_variables_list, "variables_deleted": q_variables_deleted, "recall_scored": q_scored, "write_checked": q_checked,
+    "contested_stored": q_stored_marks, "scope_samples": q_samples,
     "recall_keyed": q_keyed, "recall_why": q_why, "recall_value_family": q_value_family, "recall_fire": q_fire, "recall_chain_steps": q_chain_steps,
     "index_stored": q_index_stored, "recall_stored": q_recall_stored, "model_saved": q_model_saved, "persona_described": q_persona,
     "link_disentangle": q_disentangle, "link_entangle": q_entangle, "link_missing_ends": q_missing_ends, "link_cascade": q_cascade,

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import sampled
 from ..plans.lineage import cut
 from . import recall as lexical
+from .store import family
 from .vectors import DIM, dense, dot, embed
 
 WINDOW, FUSION = 4000, 60
@@ -105,6 +107,13 @@ def outcome_texts(facts: DataFrame, matches: DataFrame, outcome: str, most: int
     return met.withColumn("r", first).where(F.col("r") <= most).select("scope", "idx", "t", F.lit(outcome).alias("class"))
 
 
+def scope_samples(facts: DataFrame) -> DataFrame:
+    """(scope, idx, t, class): a sixteenth of all facts, labelled by the family of their scope; typed
+    sub-scopes teach nothing."""
+    plain = facts.where(~F.contains("scope", F.lit("::")) & sampled(F.col("t")))
+    return plain.select("scope", "idx", "t", F.concat(F.lit("scope:"), family(F.col("scope"))).alias("class"))
+
+
 def axis_words(words: DataFrame, w, m: int) -> DataFrame:
     """(side, rank, id, cosine): the m words nearest to an axis and to its opposite."""
     from .vectors import nearest

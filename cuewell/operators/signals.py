@@ -46,6 +46,20 @@ def contested(hits: DataFrame, messages: DataFrame) -> DataFrame:
     return side("new", "fact").unionByName(side("fact", "new")).distinct()
 
 
+def marks_as_variables(marks: DataFrame) -> DataFrame:
+    """Marks as variables (scope, seq, name, value) of each scope's ::contested sub-scope, one for each text:
+    the smallest sibling, on one line."""
+    flat = F.trim(F.replace(F.regexp_replace("with", r"[\n\r\t]", " "), F.lit(". "), F.lit("; ")))
+    by = marks.select("scope", "hash", flat.alias("w")).groupBy("scope", "hash").agg(F.min("w").alias("value"))
+    return by.select(F.concat("scope", F.lit("::contested")).alias("scope"), F.lit(0).alias("seq"), F.col("hash").alias("name"), "value")
+
+
+def stored_marks(facts: DataFrame) -> DataFrame:
+    """(scope, hash, with) of the marks that a store holds."""
+    own = facts.where(F.endswith("scope", F.lit("::contested")))
+    return own.select(F.expr("left(scope, length(scope) - 11)").alias("scope"), F.substring_index("t", " is ", 1).alias("hash"), F.expr("substring(t, instr(t, ' is ') + 4)").alias("with"))
+
+
 def class_of(fact: Column, scope: Column) -> Column:
     """A fact's provenance: its leading [tag], 'self' for round-stamped ones, else its scope."""
     inside = F.regexp_extract(fact, r"^\s*\[([^\]]*)\]", 1)

@@ -55,8 +55,7 @@ class Memory:
 
     # writes
     def observe(self, messages: DataFrame) -> Memory:
-        new = store.drop_known(store.observe(messages), self.facts)
-        return Memory(store.drain(store.append(self.facts, store.renumber(new)), self.max_facts)[0], self.max_facts, self.vectors)
+        return Memory(store.drain(store.observe_durable(messages, self.facts), self.max_facts)[0], self.max_facts, self.vectors)
 
     def observe_bulk(self, messages: DataFrame) -> Memory:
         return Memory(store.drain(store.append(self.facts, store.observe(messages)), self.max_facts)[0], self.max_facts, self.vectors)

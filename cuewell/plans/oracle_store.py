@@ -104,6 +104,9 @@ SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY part, o) - 1 AS idx
     "variables_deleted": f"WITH {EVK}, n AS (SELECT scope, count(*) AS n, count(*) FILTER (WHERE key = 'click') AS c FROM el WHERE r = 1 GROUP BY scope) SELECT scope, 'CLICK' AS name, c::INT AS deleted, n - c AS held FROM n UNION ALL SELECT scope, 'no such name', 0, n - c FROM n",
     "recall_scored": f"WITH x AS (SELECT o_orderkey AS qid, {CLAIM} AS claim FROM orders) SELECT qid, qid % 3 < 2 AS contested, CASE WHEN qid % 3 < 2 THEN claim END AS \"with\" FROM x",
     "write_checked": f"WITH {MARKS} SELECT scope, hash, \"with\", reason FROM mk",
+    "contested_stored": f"WITH {MARKS} SELECT scope, hash, min(\"with\") AS \"with\" FROM mk GROUP BY scope, hash",
+    "scope_samples": f"""WITH g AS (SELECT 'Cu' || c_custkey || ' nation is Na' || c_nationkey AS t, 'Na' || c_nationkey AS f FROM customer UNION ALL SELECT 'Na' || n_nationkey || ' region is Re' || n_regionkey, 'Re' || n_regionkey FROM nation)
+SELECT 'scope:' || f AS class, count(*) AS n FROM g WHERE {fnv('t', 1469598103934665603)} % 16 = 0 GROUP BY f""",
     "recall_keyed": f"""WITH {KEYED}, src AS (SELECT scope, o1, o2, t FROM kf), {encoded('src')}, qs AS (SELECT DISTINCT scope::BIGINT AS qid, scope, 'what is the last click value' AS query FROM kf), {recall('qs')}, {many(3)}
 SELECT qid, rank, hits.idx, key, overlap FROM hits JOIN enc USING (scope, idx) JOIN kf ON kf.scope = enc.scope AND kf.o1 = enc.o1""",
     "recall_why": f"""WITH {stance(1.0, 0.9, 0.5)}, {KEYED}, src AS (SELECT scope, o1, o2, t FROM kf), {encoded('src')},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import subprocess
 import sys
 
 from .session import VERBS, Session
@@ -21,7 +22,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bump", type=float)
     for n in NUMBERS:
         p.add_argument(f"--{n}", type=int)
-    p.add_argument("verb", choices=[*VERBS, "shell", "serve", "tools", "lines"])
+    p.add_argument("--only")
+    p.add_argument("--skip")
+    p.add_argument("verb", choices=[*VERBS, "shell", "serve", "tools", "lines", "capture", "run", "follow"])
     p.add_argument("scope", nargs="?", default="")
     p.add_argument("words", nargs="*")
     return p
@@ -76,6 +79,23 @@ def main(argv: list[str] | None = None, session: Session | None = None, out=sys.
 
         (wire.serve_tools if args.verb == "tools" else wire.serve_lines)(session, lines, out)
         return 0
+    if args.verb in ("capture", "run"):
+        # Lines of the standard input, or of what a command prints.
+        if args.verb == "run":
+            with subprocess.Popen(args.words, stdout=subprocess.PIPE, text=True) as child:
+                answer = session.capture(args.scope, child.stdout, args.only, args.skip)
+        else:
+            answer = session.capture(args.scope, lines, args.only, args.skip)
+        print(json.dumps(answer) if args.json else shown(answer), file=out)
+        return 0
+    if args.verb == "follow":
+        # Text files that arrive in a folder, until the command is stopped; facts go to a table beside.
+        from ..streaming import capture
+
+        folder = args.words[0]
+        arriving = capture.keep(capture.line_stream(session.spark, folder), args.only, args.skip)
+        capture.capture(arriving, args.scope, f"{args.db}/followed", f"{args.db}/follow-state", poll="300 milliseconds").awaitTermination()
+        return 0
     if args.verb == "serve":
         from .http import serve
 

@@ -7,12 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models, recall, signals, store, turns
+from ..operators import models, recall, signals, store, turns, vectors
 from ..plans.lineage import cut
 from ..plans.ops import Memory
 from ..sources import packs
 
 FACTS = "scope string, idx long, t string, strength double, key string"
+#: Lines that one write takes.
+BATCH = 10_000
 WRITES = {"observe", "strengthen", "forget", "upsert", "forgetkey", "setvar", "delvar", "stance", "mood", "import", "rewrite", "turn"}
 
 
@@ -47,10 +49,38 @@ class Session:
     def _count(self, scope: str) -> int:
         return self.memory.facts.where(F.col("scope") == scope).count()
 
-    def observe(self, scope, words):
-        before = self._count(scope)
+    def observe(self, scope, words, check=True):
+        """Writes words as facts; with check, contradictions with what is held are marked on both sides."""
+        before, asked = self._count(scope), self._ask(scope, words)
+        marks = self._rows(signals.observe_checked(asked, self.memory.recall(asked, 4))) if check and before else []
         self._become(self.memory.observe(self.spark.createDataFrame([(scope, 0, words)], "scope string, seq long, text string")))
-        return {"wrote": self._count(scope) - before}
+        if marks:
+            table = self.spark.createDataFrame([(m["scope"], m["hash"], m["with"]) for m in marks], "scope string, hash string, with string")
+            self._become(self.memory.var_set(signals.marks_as_variables(table)))
+        return {"wrote": self._count(scope) - before, "contested": len(marks)}
+
+    def capture(self, scope, lines, only=None, skip=None):
+        """Writes lines as they come, a batch at a time; those that hold only, and don't hold skip."""
+        kept = [line.rstrip("\r\n") for line in lines if (not only or only in line) and not (skip and skip in line)]
+        for at in range(0, len(kept), BATCH):
+            rows = [(scope, i, line) for i, line in enumerate(kept[at : at + BATCH])]
+            self._become(self.memory.observe(self.spark.createDataFrame(rows, "scope string, seq long, text string")))
+        if self.folder:
+            models.save(self.memory.facts, f"{self.folder}/facts")
+        return {"lines": len(kept), "facts": self._count(scope)}
+
+    def learn(self, scope="", words=""):
+        """Trains word vectors on what is held; recalls that miss look by meaning from then on."""
+        self.memory = self.memory.learn()
+        return self._rows(vectors.semantic_totals(self.memory.vectors, vectors.word_counts(self.memory.facts, "t")))[0]
+
+    def neighbors(self, scope, words, k=8):
+        """The words nearest to a word, once vectors are learned."""
+        if self.memory.vectors is None:
+            return []
+        table = vectors.dense(self.memory.vectors, ["word"]).withColumnRenamed("word", "id")
+        asked = table.where(F.col("id") == words.strip().lower()).withColumnRenamed("id", "qid")
+        return sorted(self._rows(vectors.nearest(table, asked, k).select("rank", "id", "cosine")), key=lambda r: r["rank"])
 
     def get(self, scope, words):
         hit = self.recall(scope, words)
@@ -65,8 +95,7 @@ class Session:
 
     def recall_scored(self, scope, words, k=6, across=False):
         hits = self.memory.recall(self._ask(scope, words), k, across)
-        marks = signals.contested(self.memory.recall(self._ask(scope, words), 4), self._ask(scope, words))
-        return sorted(self._rows(signals.scored(hits, marks)), key=lambda r: r["rank"])
+        return sorted(self._rows(signals.scored(hits, signals.stored_marks(self.memory.facts))), key=lambda r: r["rank"])
 
     def recall_keyed(self, scope, words, k=6):
         return sorted(self._rows(self.memory.recall_keyed(self._ask(scope, words), k)), key=lambda r: r["rank"])
@@ -217,4 +246,5 @@ VERBS = {
     "upsert": Session.upsert, "forgetkey": Session.forget_key, "setvar": Session.set_var, "getvar": Session.get_var, "vars": Session.variables,
     "delvar": Session.delete_var, "stance": Session.stance, "stances": Session.stances, "mood": Session.mood, "affect": Session.affect, "why": Session.why,
     "rewrite": Session.rewrite, "stats": Session.stats, "list": Session.list, "import": Session.load_pack, "export": Session.export, "caps": Session.capabilities,
+    "learn": Session.learn, "neighbors": Session.neighbors,
 }

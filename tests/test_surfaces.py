@@ -15,9 +15,12 @@ from cuewell.surfaces.session import VERBS, Session
 
 @pytest.fixture(scope="module")
 def session(spark, tmp_path_factory):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # single rows
     s = Session(spark, str(tmp_path_factory.mktemp("db")))
     s.run("observe", "home", "the wifi password is hunter2. the room holds 50 chairs.")
-    return s
+    yield s
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_command_line(spark, session):
@@ -52,6 +55,19 @@ def test_verbs(session):
     assert session.run("forget", "home", "garden") == {"forgot": 1, "remaining": 2}
 
 
+def test_marks_capture_and_learning(session):
+    assert session.run("observe", "home", "the wifi password is swordfish")["contested"] > 0
+    marked = session.run("recallscored", "home", "wifi password", k=2)
+    assert [(m["contested"], m["with"]) for m in marked] == [(True, "the wifi password is swordfish"), (True, "the wifi password is hunter2.")]
+    assert session.run("forget", "home", "swordfish")["forgot"] == 1
+    out = io.StringIO()
+    assert cli.main(["capture", "log", "--skip", "debug", "--json"], session, out, ["the pump is on\n", "debug the pump is off\n", "the pump is on\n", "valve seven leaks badly\r\n"]) == 0
+    assert json.loads(out.getvalue()) == {"lines": 3, "facts": 2}
+    assert cli.main(["run", "log", "echo", "the heater is broken"], session, io.StringIO()) == 0 and session.run("stats", "log")["facts"] == 3
+    assert session.run("neighbors", "log", "valve") == [] and session.run("learn")["words"] > 3 and len(session.run("neighbors", "log", "valve", k=2)) == 2
+    assert session.run("get", "home", "wifi password") == "hunter2"
+
+
 def test_lines_and_shell(session):
     assert wire.mem(session, "get\thome\twifi password") == "hunter2" and wire.mem(session, "nope\thome") == ""
     out = io.StringIO()
