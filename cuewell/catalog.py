@@ -78,7 +78,7 @@ def q_semantic_tokens(spark, sf):
 
 
 def q_encode(spark, sf):
-    e = encode(facts(spark, sf))
+    e = store.observe_encoded(messages(spark, sf))
     return e.select("scope", "idx", "t", "v", F.array_join("c", "|").alias("c"), F.array_join("s", "|").alias("s"), F.array_join("raw", "|").alias("raw"), F.array_join(F.transform("pos", lambda x: x.cast("string")), "|").alias("pos"), "head", "self_flag")
 
 

@@ -39,11 +39,12 @@ def _bucketed(df: DataFrame) -> DataFrame:
 def append(episodes: DataFrame, path: str) -> None:
     """Adds episodes, whose idx go on from what is stored, to the index in a folder."""
     posts = recall.postings(episodes)
-    _bucketed(episodes).write.mode("append").partitionBy("bucket").parquet(f"{path}/episodes")
-    _bucketed(posts).repartition("bucket", "stem").sortWithinPartitions("bucket", "scope", "stem").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    # Rebalanced: few files for small writes, while a large bucket is still split.
+    _bucketed(episodes).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/episodes")
+    _bucketed(posts).hint("rebalance", "bucket").sortWithinPartitions("bucket", "scope", "stem").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     df = recall.document_counts(episodes).select("scope", "stem", "df")
     n = recall.sizes(episodes).select("scope", F.lit("").alias("stem"), F.col("n").alias("df"))  # the empty stem stands for the scope
-    _bucketed(df.unionByName(n)).write.mode("append").partitionBy("bucket").parquet(f"{path}/counts")
+    _bucketed(df.unionByName(n)).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/counts")
 
 
 def load(spark: SparkSession, path: str, scopes: list[str] | None = None) -> Index:

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.hashing import sampled
 from ..plans.lineage import cut
 from . import recall as lexical
@@ -23,10 +27,42 @@ WINDOW, FUSION = 4000, 60
 NEAR, CLEAR, FIELD = 0.20, 0.10, 3
 
 
+#: Word vectors that may travel to all tasks (2 KB each), so that texts are embedded without a shuffle.
+FEW_WORDS = 32_768
+
+
 def embedded(texts: DataFrame, vectors: DataFrame, keys: list[str], text_col: str, dim: int = DIM) -> DataFrame:
-    """(keys, vec): the unit vectors of texts; texts without a known word are absent."""
-    named = texts.select(F.struct(*keys).alias("id"), F.col(text_col).alias("text"))
-    return dense(embed(named, vectors), ["id"], dim).select("id.*", "vec")
+    """(keys, vec): the unit vectors of texts; texts without a known word are absent.
+
+    Up to FEW_WORDS words are broadcast; beyond that tokens are joined with their words' vectors.
+    """
+    known = vectors.select("word").distinct().limit(FEW_WORDS + 1).count()
+    if known > FEW_WORDS:
+        named = texts.select(F.struct(*keys).alias("id"), F.col(text_col).alias("text"))
+        return dense(embed(named, vectors), ["id"], dim).select("id.*", "vec")
+    rows = dense(vectors, ["word"], dim).collect()  # FEW_WORDS rows at most
+    table = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+    table /= np.maximum(np.linalg.norm(table, axis=1), 1e-300)[:, None]
+    held = texts.sparkSession.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(rows)}, table))
+    tok = texts.select(*keys, T.semantic_tokens(F.col(text_col)).alias("_ts"))
+    schema = StructType([*tok.schema.fields[:-1], StructField("vec", ArrayType(DoubleType()))])
+
+    def run(batches):
+        at, unit = held.value
+        for b in batches:
+            sums, kept = np.zeros((b.num_rows, dim)), np.zeros(b.num_rows, bool)
+            for i, ts in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                own = [at[t] for t in ts or [] if t in at]
+                if own:
+                    sums[i] = unit[own].sum(0)
+            norm = np.linalg.norm(sums, axis=1)
+            kept = norm > 0
+            vec = sums[kept] / norm[kept][:, None]
+            offs = pa.array(np.arange(len(vec) + 1, dtype=np.int32) * dim)
+            same = b.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*same.columns[:-1], pa.ListArray.from_arrays(offs, pa.array(vec.ravel()))], names=[*keys, "vec"])
+
+    return tok.mapInArrow(run, schema)
 
 
 def window(facts: DataFrame, n: int = WINDOW) -> DataFrame:

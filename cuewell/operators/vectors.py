@@ -15,6 +15,8 @@ from ..functions import text as T
 DIM, NONZERO, REACH = 256, 12, 5
 FNV_BASIS, FNV_PRIME, DRAW_STEP = 1469598103934665603, 1099511628211, 0x100000001B3
 MASK = (1 << 64) - 1
+#: Words whose index vectors a task remembers.
+CACHE = 1 << 16
 
 
 def _fnv(word: str) -> int:
@@ -40,14 +42,6 @@ def index_entries(words: list[str], dim: int = DIM) -> np.ndarray:
     return ((r % np.uint64(dim)).astype(np.int64) + 1) * sign
 
 
-def _index_column(word: str) -> Column:
-    @F.pandas_udf("array<int>")
-    def entries(w: pd.Series) -> pd.Series:
-        return pd.Series(list(index_entries(w.tolist()).astype(np.int32)))
-
-    return entries(word)
-
-
 def cooccurrence(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, neighbour, n): how often two tokens stand within REACH places; counts add up exactly."""
     tok = texts.select(T.semantic_tokens(F.col(text_col)).alias("ts")).where(F.size("ts") > 0)
@@ -61,12 +55,45 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, dim, val): context vectors, sums of neighbours' index vectors (exact integers)."""
+    """(word, dim, val): context vectors, sums of neighbours' index vectors (exact integers).
+
+    A word's distinct neighbours meet in one task, in order, and are added up as matrices of a batch.
+    """
     pairs = cooccurrence(texts, text_col)
-    index = pairs.select("neighbour").distinct().select("neighbour", F.explode(_index_column("neighbour")).alias("e"))
-    index = index.groupBy("neighbour", (F.abs("e") - 1).alias("dim")).agg(F.sum(F.signum("e")).cast("long").alias("x"))
-    sums = pairs.join(index, "neighbour").groupBy("word", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("val"))
-    return sums.where("val <> 0")
+
+    def rows_of(words, sums):
+        at, dim = np.nonzero(sums)
+        names = pa.array(words, pa.string()).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([names, pa.array(dim.astype(np.int32)), pa.array(sums[at, dim])], names=["word", "dim", "val"])
+
+    def run(batches):
+        known: dict[str, np.ndarray] = {}
+        last, carry = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word = b.column(0).dictionary_encode()
+            codes, names = word.indices.to_numpy(), word.dictionary.to_pylist()
+            near = b.column(1).dictionary_encode()
+            fresh = [w for w in near.dictionary.to_pylist() if w not in known]
+            if len(known) > CACHE:
+                known.clear()
+                fresh = near.dictionary.to_pylist()
+            known.update(zip(fresh, index_entries(fresh), strict=True))
+            entries = np.array([known[w] for w in near.dictionary.to_pylist()])[near.indices.to_numpy()]
+            flat = codes[:, None].astype(np.int64) * DIM + np.abs(entries) - 1
+            weight = b.column(2).to_numpy()[:, None] * np.sign(entries)
+            sums = np.rint(np.bincount(flat.ravel(), weights=weight.ravel(), minlength=len(names) * DIM)).astype(np.int64).reshape(len(names), DIM)
+            if names[0] == last:
+                sums[0] += carry
+            elif last is not None:
+                yield rows_of([last], carry[None, :])
+            last, carry = names[-1], sums[-1]
+            yield rows_of(names[:-1], sums[:-1])
+        if last is not None:
+            yield rows_of([last], carry[None, :])
+
+    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, dim int, val long")
 
 
 def merge_training(a: DataFrame, b: DataFrame) -> DataFrame:
