@@ -149,3 +149,10 @@ def test_memory_ops(spark):
     assert m.apply("forget").facts.count() == 0 and m.apply("stats").first()["facts"] == 2
     more = m.apply("observe", spark.createDataFrame([("u", 1, "My plan is pro.")], "scope string, seq long, text string"))
     assert more.facts.count() == 2
+
+
+def test_places_of_many_rows(spark):
+    """Seeds of k-means where ranges are cut by a sample: the rows at given places, not at near ones."""
+    unit = spark.range(60_000, numPartitions=4).select((F.col("id") * 7919 % 60_000).alias("id")).select("id", F.array(F.col("id").cast("double")).alias("u"))
+    places = [0, 7_500, 15_000, 30_001, 59_999]
+    assert vectors._rows_at(unit, places) == [[float(x)] for x in places]
