@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .vectors import dot
 
 FORGET, LEAST, CLAMP = 1 - 1 / 4096, 8, 4.0
@@ -36,7 +37,7 @@ def class_moments(rows: DataFrame, vec_col: str = "vec", class_col: str = "class
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["c", "w", "n", "x"])
 
     age = F.col(age_col) if age_col else F.lit(0)
-    part = rows.select(vec_col, F.col(class_col).cast("string").alias("c"), age.cast("double").alias("a")).mapInArrow(run, "c string, w double, n long, x array<double>")
+    part = cut(rows.select(vec_col, F.col(class_col).cast("string").alias("c"), age.cast("double").alias("a")).mapInArrow(run, "c string, w double, n long, x array<double>"))
     heads = {r["c"]: (r["w"], r["n"]) for r in part.groupBy("c").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()}
     sums: dict[str, list] = {}
     for r in part.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v")).orderBy("c", "i").collect():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuewell.operators import adaptive, index, links, models, recall, semantic, signals, store, topics, vectors
@@ -161,3 +162,22 @@ def test_capture_learns_and_forgets(spark, tmp_path):
     whole = vectors.train(spark.createDataFrame([(t,) for _, t in got], "text string"))
     key = lambda df: sorted(map(tuple, df.select("word", "dim", "val").collect()))
     assert key(capture.learned(spark, models_)) == key(whole) and spark.read.parquet(tee).count() == 5
+
+
+def test_meaning_leaves_the_driver_alone(spark, monkeypatch):
+    """No word vector comes to the driver, and cosines of texts are those of embedded texts."""
+    corpus = ["the router connects laptops with wireless internet signals", "the chef cooks onion soup with butter"] * 3
+    texts = spark.createDataFrame([(t,) for t in corpus], "text string")
+    sparse, packed = cut(vectors.train(texts)), cut(vectors.train_packed(texts))
+    f = made(spark, *(("a", i, t) for i, t in enumerate(["the router stands upstairs", "onion soup simmers", "nothing known", "butter and laptops"])), ("b", 0, "wireless signals"))
+    q = spark.createDataFrame([(1, "a", "wireless laptops"), (2, "a", "unheard words only"), (3, "a", "chef soup"), (4, "b", "internet")], "qid long, scope string, query string")
+    with monkeypatch.context() as m:
+        m.setattr(type(f), "collect", lambda self: pytest.fail("rows came to the driver"))
+        pairs = [[semantic.embedded(f, v, ["scope", "idx"], "t"), semantic.embedded(q, v, ["qid", "scope"], "query")] for v in (sparse, packed)]
+        every = semantic.cosines(q, f, packed, ([0.1] * vectors.DIM, 0.01))
+    got = {(r["qid"], r["idx"]): r["cosine"] for r in every.collect()}
+    assert {k[0] for k in got if k[1] is None} == {1, 3, 4}
+    for ef, eq in pairs:
+        want = {(r["qid"], r["idx"]): r["cosine"] for r in semantic.similar(eq, ef).collect()}
+        assert {k for k in got if k[1] is not None} == set(want) and len(want) == 7
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
