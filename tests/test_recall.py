@@ -120,3 +120,11 @@ def test_turns(spark):
     got = {r["qid"]: (r["kind"], r["reply"]) for r in turns.answer(df, encode(facts)).collect()}
     assert got[0] == ("math", "12 * 11 = 132") and got[1][0] == "smalltalk" and got[2] == ("recall", "hunter2")
     assert got[3][0] == "idk" and got[4][0] == "ack" and got[5][0] == "self" and got[7][0] == "recall"
+
+
+def test_best_of_equals(spark):
+    """The finer features decide only among facts of equal exact and overlap; ranking reads no column of the answer."""
+    e = encode_facts(spark.createDataFrame([("a", 0, "the old red lamp stands beside the window", 1.0, None), ("a", 1, "the lamp is red", 1.0, None), ("a", 2, "a green lamp is new", 1.0, None)], "scope string, idx long, t string, strength double, key string"))
+    q = spark.createDataFrame([(1, "a", "red lamp")], "qid long, scope string, query string")
+    assert [(r["idx"], r["overlap"], r["exact"]) for r in recall.recall(q, e).collect()] == [(1, 2, 2)]
+    assert "t" not in recall.score(recall.gather(recall.with_cues(q), recall.indexed(e)), recall.with_cues(q), e, [], finer=False).columns
