@@ -128,3 +128,15 @@ def test_best_of_equals(spark):
     q = spark.createDataFrame([(1, "a", "red lamp")], "qid long, scope string, query string")
     assert [(r["idx"], r["overlap"], r["exact"]) for r in recall.recall(q, e).collect()] == [(1, 2, 2)]
     assert "t" not in recall.score(recall.gather(recall.with_cues(q), recall.indexed(e)), recall.with_cues(q), e, [], finer=False).columns
+
+
+def test_chain_asks_once(spark, monkeypatch):
+    """Paths that meet at one place ask its question once."""
+    rows = [(f"Cu{i} nation is Na{i % 2}", i) for i in range(40)] + [("Na0 region is Re0", 40), ("Na1 region is Re1", 41)]
+    e = encode(spark.createDataFrame([("geo", i, t, 1.0, None) for t, i in rows], "scope string, idx long, t string, strength double, key string"))
+    starts = spark.createDataFrame([(i, "geo", f"Cu{i}", ["nation", "region"]) for i in range(40)], "qid long, scope string, start string, path array<string>")
+    asked, plain = [], recall.recall
+    monkeypatch.setattr(recall, "recall", lambda q, source: asked.append(q.count()) or plain(q, source))
+    got = {r["qid"]: (r["value"], r["trail"]) for r in recall.chain(starts, e, 2).collect()}
+    assert asked == [40, 2]
+    assert got == {i: (f"Re{i % 2}", [f"Cu{i}", f"Na{i % 2}", f"Re{i % 2}"]) for i in range(40)}
