@@ -140,3 +140,12 @@ def test_chain_asks_once(spark, monkeypatch):
     got = {r["qid"]: (r["value"], r["trail"]) for r in recall.chain(starts, e, 2).collect()}
     assert asked == [40, 2]
     assert got == {i: (f"Re{i % 2}", [f"Cu{i}", f"Na{i % 2}", f"Re{i % 2}"]) for i in range(40)}
+
+
+def test_chain_steps_break_together(spark):
+    """A relation that isn't there breaks every path that comes by, each with its own steps so far."""
+    rows = [(f"Cu{i} nation is Na0", i) for i in range(3)] + [("Na0 region is Re0", 40)]
+    e = encode_facts(spark.createDataFrame([("geo", i, t, 1.0, None) for t, i in rows], "scope string, idx long, t string, strength double, key string"))
+    starts = spark.createDataFrame([(i, "geo", f"Cu{i}", ["nation", "region", "planet"]) for i in range(3)], "qid long, scope string, start string, path array<string>")
+    got = {r["qid"]: (r["value"], r["steps"]) for r in recall.chain(starts, e, 3).collect()}
+    assert got == {i: (None, [i, 40]) for i in range(3)}
