@@ -149,3 +149,19 @@ def test_chain_steps_break_together(spark):
     starts = spark.createDataFrame([(i, "geo", f"Cu{i}", ["nation", "region", "planet"]) for i in range(3)], "qid long, scope string, start string, path array<string>")
     got = {r["qid"]: (r["value"], r["steps"]) for r in recall.chain(starts, e, 3).collect()}
     assert got == {i: (None, [i, 40]) for i in range(3)}
+
+
+def test_spread_across_meets_scopes_as_matrices(spark, monkeypatch):
+    """Many scopes are spread in without a row for each query and scope, with the results of one scope at a time."""
+    words = ["lamp", "river", "copper", "violin", "harbor", "meadow", "candle"]
+    rows = [(f"all__{s}", i, f"the {words[(s + i) % 7]} {words[(s * 3 + i * 2) % 7]} stands near {words[(i * i + s) % 7]}", 1.0, None) for s in range(6) for i in range(5)]
+    e = cut(encode_facts(spark.createDataFrame(rows, "scope string, idx long, t string, strength double, key string")))
+    q = spark.createDataFrame([(1, "all", "river lamp"), (2, "all", "violin"), (3, "all", "unheard")], "qid long, scope string, query string")
+    for hops in (0, 1):
+        each = q.select("qid", "query").crossJoin(e.select("scope").distinct()).select("qid", "scope", "query")
+        hits = [(r["qid"], not r["seed"], -round(r["act"], 9), r["scope"], r["idx"]) for r in graph.spread(each, e, 4, hops).collect()]
+        want = [x for n in (1, 2, 3) for x in sorted(h for h in hits if h[0] == n)[:4]]
+        with monkeypatch.context() as m:
+            m.setattr(graph, "spread", lambda *a: pytest.fail("a row for each query and scope"))
+            got = graph.spread_across(q, e, 4, hops).orderBy("qid", "rank").collect()
+        assert [(r["qid"], not r["seed"], -round(r["act"], 9), r["scope"], r["idx"]) for r in got] == want and len(want) == 8
