@@ -165,3 +165,11 @@ def test_spread_across_meets_scopes_as_matrices(spark, monkeypatch):
             m.setattr(graph, "spread", lambda *a: pytest.fail("a row for each query and scope"))
             got = graph.spread_across(q, e, 4, hops).orderBy("qid", "rank").collect()
         assert [(r["qid"], not r["seed"], -round(r["act"], 9), r["scope"], r["idx"]) for r in got] == want and len(want) == 8
+
+
+def test_documents_are_written_as_a_table(spark, monkeypatch):
+    """recall_across stores its episodes as a compressed table, of which ranking reads its own columns only."""
+    from cuewell import catalog
+
+    monkeypatch.setattr(catalog, "cut", lambda df: pytest.fail("whole rows in a checkpoint"))
+    assert catalog.q_across(spark, "/root/testdata/sf0.001").columns == ["qid", "rank", "scope", "idx", "overlap", "exact"]
