@@ -14,7 +14,7 @@ from .functions.hashing import fact_key, sampled
 from .operators import adaptive, links, models, recall, signals, store, turns
 from .operators import index as stored
 from .operators.encode import encode
-from .plans.lineage import cut, folder
+from .plans.lineage import cut, folder, written
 from .sources import packs
 from .streaming import capture
 
@@ -248,7 +248,7 @@ def q_chain_steps(spark, sf):
 
     c = table(spark, sf, "customer")
     starts = c.select(F.col("c_custkey").alias("qid"), F.lit("geo").alias("scope"), F.concat(F.lit("Cu"), F.col("c_custkey")).alias("start"), F.array(F.lit("nation"), F.lit("region"), F.lit("planet")).alias("path"))
-    out = recall.chain(starts, cut(encode(geography(spark, sf))), 3)
+    out = recall.chain(starts, written(encode(geography(spark, sf).repartition("idx"))), 3)
     return out.select("qid", "value", F.array_join(F.transform("steps", lambda x: x.cast("string")), ",").alias("steps"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,32 @@ def test_chain_steps_break_together(spark):
     assert got == {i: (None, [i, 40]) for i in range(3)}
 
 
+def test_names_of_one_stem_are_not_all_met(spark, monkeypatch):
+    """Names of one stem stand in many facts: a chain scores those that hold the name itself, and judges a question once."""
+    rows = [(f"Cu{i} nation is Na{i % 2}", i) for i in range(12300, 12800)] + [("Na0 region is Re0", 0), ("Na1 region is Re1", 1)]
+    e = encode(spark.createDataFrame([("geo", i, t, 1.0, None) for t, i in rows], "scope string, idx long, t string, strength double, key string"))
+    starts = spark.createDataFrame([(i, "geo", f"Cu{i}", ["nation", "region"]) for i in range(12300, 12800)], "qid long, scope string, start string, path array<string>")
+    scored, plain = [], recall.score
+    monkeypatch.setattr(recall, "score", lambda cand, *a, **k: scored.append(cand.count()) or plain(cand, *a, **k))
+    got = {r["qid"]: (r["value"], r["steps"]) for r in recall.chain(starts, e, 2).collect()}
+    assert got == {i: (f"Re{i % 2}", [i, i % 2]) for i in range(12300, 12800)}
+    assert scored == [500, 4]
+
+
+def test_best_of_words_is_best_of_all(spark, monkeypatch):
+    """What is found among facts that share a whole word equals the best of all that the stems reach."""
+    rng = random.Random(5)
+    words = ["valley", "valleyed", "bridge", "bridges", "cooper", "coopers", "dog", "cat", "subscription", "plan", "hometown", "name"]
+    texts = [" ".join(["harbor", "window", *rng.sample(words, rng.randint(1, 4)), f"zed{1000 + i}"][rng.randint(0, 2) :]) for i in range(140)]
+    e = encode(facts_of(spark, texts))
+    asked = [" ".join(rng.sample([*words, "harbor", "window", "unheard", f"zed{1000 + i}", f"zed{1000 + i}0"], rng.randint(1, 5))) for i in range(120)]
+    asked += ["valleyed harbor window zed10001", "pet named", "zed10001 harbor window"]
+    got = {tuple(r) for r in recall.recall(ask(spark, asked), e).collect()}
+    nothing = lambda q, index: (recall.gather(q, index).limit(0), q.select("qid", "scope", F.lit(0).alias("most")))
+    monkeypatch.setattr(recall, "gather_words", nothing)
+    assert got == {tuple(r) for r in recall.recall(ask(spark, asked), e).collect()} and len(got) > 100
+
+
 def test_spread_across_meets_scopes_as_matrices(spark, monkeypatch):
     """Many scopes are spread in without a row for each query and scope, with the results of one scope at a time."""
     words = ["lamp", "river", "copper", "violin", "harbor", "meadow", "candle"]
