@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import ROWS_A_TASK, components
 from .keys import keyed, named
 from .lineage import cut, written
+from .memory import releasing
 from .textblocks import blocks, lower_ascii, mix, prefix_sums, span_hashes, word_spans
 
 WORDS = 5
@@ -112,12 +113,15 @@ def _deal_entries(bits: int):
     """First pass: documents to packed matrix entries by column block, and rows about documents."""
     n_buckets = 1 << bits
 
-    def flush(h, d, meta):
-        h, d = np.concatenate(h), np.concatenate(d)
+    def flush(hs, ds, meta):
+        h, d = np.concatenate(hs), np.concatenate(ds)
+        hs.clear()
+        ds.clear()
         order, at = _split((h >> np.uint64(64 - bits)).astype(np.int64), n_buckets)
         # 40 bits below the block's number; with it, collisions stay as rare at every size.
         low = ((h[order] << np.uint64(bits)) >> np.uint64(24)).astype("<u8")
         d = d[order]
+        del h, order
         rows = []
         for k in range(n_buckets):
             x = slice(at[k], at[k + 1])
@@ -131,6 +135,7 @@ def _deal_entries(bits: int):
                 rows.append((k, 0, ids[x].astype("<i8").tobytes(), n[x].astype("<i8").tobytes(), np.concatenate([f1[x], f2[x]]).astype("<u8").tobytes()))
         return _rows(rows)
 
+    @releasing
     def run(batches):
         h, d, meta, size = [], [], [], 0
         for b in batches:
@@ -176,11 +181,13 @@ def _count_columns(bits: int):
     """Second pass: within a column block, keep n-grams of two documents or more, deal them by document."""
     n_buckets = 1 << bits
 
-    def flush(h, docs, df, meta):
+    def flush(hs, ds, fs, meta):
         """Entries of as many column blocks as the task has seen, dealt by document at once."""
         out = list(meta)
-        if h:
-            h, docs, df = (np.concatenate(x) for x in (h, docs, df))
+        if hs:
+            h, docs, df = (np.concatenate(x) for x in (hs, ds, fs))
+            for x in (hs, ds, fs):
+                x.clear()
             order, at = _split(_doc_bucket(docs, n_buckets), n_buckets)
             h, docs, df = h[order].astype("<u8"), docs[order], df[order].astype("<u2")
             for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
@@ -188,6 +195,7 @@ def _count_columns(bits: int):
                 out.append((k, 2, h[x].tobytes(), df[x].tobytes(), _pack_ids(docs[x])))
         return _rows(out)
 
+    @releasing
     def run(batches):
         hs, ds, fs, meta, size = [], [], [], [], 0
         for bucket, rows in _groups(batches):
@@ -218,6 +226,7 @@ def _count_columns(bits: int):
 _DOC = "doc_id long, n long, f1 long, f2 long, alone long, shared binary"
 
 
+@releasing
 def _gather_documents(batches):
     """Third pass: a document's shared entries, rarest first; null where no partner is possible."""
     for _, rows in _groups(batches):
@@ -249,6 +258,7 @@ def _least_overlap(n):
     return -(-3 * n // 4)
 
 
+@releasing
 def _prefix(batches):
     """(hash, doc, n, place) of the entries that may be the first that a linked pair shares."""
     for b in batches:
@@ -272,6 +282,7 @@ def _possible(a: str, b: str):
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (175 * F.least(na - pa_, nb - pb) >= 75 * (na + nb))
 
 
+@releasing
 def _count_overlaps(batches):
     """Rows sorted by (a, salt, role): a's entries, then partners'; yields the linked pairs."""
     cur, own, size = None, None, 0
@@ -345,6 +356,7 @@ def product(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@releasing
 def _count_links(batches):
     """Rows of pairs of row blocks (root, lo, hi, side, doc, n, copies, shared), sorted by pair, to (doc, links)."""
 
@@ -423,9 +435,11 @@ def _join(rows: DataFrame, count: bool) -> DataFrame:
     table = written(back.mapInArrow(_gather_documents, _DOC))
     # One document for each distinct set stands for its copies.
     hope = table.where(F.col("shared").isNotNull())
+    # Tables of a small row for each document at most are written by as many tasks as that takes.
+    few = hope.count() // ROWS_A_TASK + 1
     # Written first, so that the join below deals both sides anew and a class of very many copies is split.
-    classes = cut(hope.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    member = cut(hope.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "rep"))
+    classes = cut(hope.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).coalesce(few))
+    member = cut(hope.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "rep").coalesce(few))
     sets = written(hope.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "alone", "shared"))
     entries = written(sets.select("doc_id", "n", "alone", "shared").mapInArrow(_prefix, "h long, doc long, n long, p long"))
     full = sets.select("doc_id", "n", "shared")
@@ -433,7 +447,7 @@ def _join(rows: DataFrame, count: bool) -> DataFrame:
     star = entries.groupBy("h").agg(F.min(F.struct("doc", "n", "p")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     star = star.select("h", F.col("c.doc").alias("a"), F.col("c.n").alias("an"), F.col("c.p").alias("ap"))
     first = entries.select("h", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp")).join(star, "h").where((F.col("a") != F.col("b")) & _possible("a", "b"))
-    tried = cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    tried = cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").coalesce(few))
     links = cut(_verify(tried, full, parts))
     comp = components(links)
     # Pass two: pairs of a list in different components, each once, but for those counted already.
@@ -451,10 +465,10 @@ def _join(rows: DataFrame, count: bool) -> DataFrame:
     out = table.select("doc_id", F.col("n").alias("n_shingles"))
     if not count:
         return out.join(whole.drop("rep"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    copies = cut(member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")))
-    links_of = _links(full, cut(comp), copies, parts)
+    copies = classes.select("rep", "copies")
+    links_of = _links(full, comp, copies, parts)
     per = copies.join(links_of.withColumnRenamed("doc", "rep"), "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    counted = out.join(whole.join(cut(per), "rep"), "doc_id", "left")
+    counted = out.join(whole.join(cut(per.coalesce(few)), "rep"), "doc_id", "left")
     return counted.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -788,3 +788,55 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_write_few_files_for_few_edges(spark):
+    """On many shuffle partitions, only the edges as they come are written by as many tasks."""
+    import os
+
+    from cuewell.llm.components import components
+    from cuewell.llm.lineage import checkpoint_dir
+
+    top = checkpoint_dir(spark).removeprefix("file:")
+    listed = lambda: {d: len([x for x in names if x.startswith("part-")]) for d, _, names in os.walk(top) if "rdd-" in d}
+    before, parts = listed(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame([(i, i + 1) for i in range(0, 60)], "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(n for d, n in listed().items() if d not in before)
+    assert got == dict.fromkeys(range(61), 0)
+    assert len(files) > 2 and files[-1] == 40 and set(files[:-1]) <= {0, 1}
+
+
+def test_ngram_join_workers_keep_no_freed_memory():
+    """What the passes of the join took goes back to the system when a task ends."""
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("needs Linux")
+    code = r"""
+import random, re
+import pyarrow as pa
+from cuewell.llm import ngram_join as j
+held = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+rng = random.Random(1)
+def batch(n):
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900)) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["k", "t"])
+list(j._deal_entries(5)([batch(20)]))  # tables that stay
+x = batch(4000)
+before = held()
+n = sum(b.num_rows for b in j._deal_entries(5)([x]))
+assert n
+print(held() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) < 40
