@@ -5,7 +5,7 @@ language and source, a minimum-covariance-determinant estimate of the centre and
 transformed statistics.  Three starts (distances from the medians under fixed scales and under
 quartile scales, and under the moments of all rows) each take two concentration steps: distances,
 the closest three quarters, their moments.  Of each group the start of smallest determinant goes on
-until the determinant falls no more, and the estimate of smallest determinant stands.  Covariances
+until its own determinant falls no more, and the estimate of smallest determinant stands.  Covariances
 are regularised and shrunk toward the pooled one, so that groups of one row, of equal rows or with
 tied distances (all rows at the limit count as close) stay well-defined.  A document whose squared
 Mahalanobis distance passes a chi-square quantile fails.
@@ -162,11 +162,11 @@ def _distance(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def _concentrate(ranked: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """One step: the estimate of each group's rows of smallest d2."""
+def _concentrate(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """One step: the moments of each group's rows of smallest d2."""
     limit = cut(ranked.groupBy(*keys).agg(F.percentile_approx("d2", KEEP_SHARE, 1000).alias("limit")))
     close = _match(ranked, limit, keys).where(F.col("d2") <= F.col("limit"))
-    return cut(_parameters(_moments(close, keys), keys, scale))  # one row for each group
+    return cut(_moments(close, keys))  # one row for each group
 
 
 def _estimate(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,21 +188,25 @@ def _estimate(stats: DataFrame, keys: list[str]) -> DataFrame:
     each = [*keys, START]
     params = None
     for step in range(FIRST_STEPS):
-        params = _concentrate(ranked, each, scale)
+        params = cut(_parameters(_concentrate(ranked, each), each, scale))
         if step + 1 < FIRST_STEPS:
             three = stats.withColumn(START, F.explode(F.array(*[F.lit(i) for i in range(3)])))
             ranked = _distance(three, params, each)
     first = params.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in params.columns if c not in keys]), F.struct("det", START)).alias("x"))
     best = cut(first.select(*keys, *[F.col(f"x.{c}").alias(c) for c in params.columns if c not in each]))
-    now = best
+    now, sums = best, None
     for _ in range(MOST_STEPS):
-        new = _concentrate(_distance(stats, now, keys), keys, scale)
+        # Only groups that still fall take a step; the others' last moments stay in the pooled ones.
+        fresh = _concentrate(_distance(stats, now, keys), keys)
+        sums = fresh if sums is None else cut(fresh.unionByName(sums.join(fresh, keys, "left_anti")))
+        new = cut(_parameters(sums, keys, scale).join(fresh.select(*keys), keys, "left_semi"))
         old = best.select(*keys, F.struct(*[c for c in best.columns if c not in keys]).alias("old"))
-        both = new.join(old, keys)  # a row for each group
-        fell = F.col("det") < F.col("old.det") * (1 - FALL)
-        better = cut(both.select(*keys, *[F.when(F.col("det") < F.col("old.det"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in new.columns if c not in keys], fell.alias("fell")))
-        best, now = better.drop("fell"), new
-        if better.where("fell").isEmpty():
+        both = old.join(new, keys, "left")  # a row for each group, null where it has stopped
+        lower, fell = (F.coalesce(F.col("det") < F.col("old.det") * x, F.lit(False)) for x in (1.0, 1 - FALL))
+        better = cut(both.select(*keys, *[F.when(lower, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in new.columns if c not in keys], fell.alias("fell")))
+        best = better.drop("fell")
+        now = cut(new.join(better.where("fell").select(*keys), keys, "left_semi"))
+        if now.isEmpty():
             break
     return best
 

@@ -569,6 +569,33 @@ def test_quality_rules_minimum_determinant(spark):
         assert np.isfinite(got[g]["det"]) and got[g]["det"] > 0
 
 
+def test_quality_rules_steps_of_groups_that_fall(spark, monkeypatch):
+    """A group that has come to its smallest determinant takes no more steps; the others go on with all rows."""
+    import numpy as np
+
+    from cuewell.llm import quality_rules as q
+
+    rng = np.random.default_rng(2)
+    groups = {"same": np.tile([0.5, 0.5, 0.5, 0.5], (40, 1))}
+    groups |= {f"wide{k}": np.concatenate([rng.normal(0, [0.5, 0.3, 1, 2], (300, 4)), rng.normal(2, 1.5, (120, 4))]) for k in range(4)}
+    table = [(i, g, "", *map(float, z)) for g, x in groups.items() for i, z in enumerate(x)]
+    stats = spark.createDataFrame(table, "doc_id long, g_lang string, g_source string, z1 double, z2 double, z3 double, z4 double").repartition(3)
+    steps, step = [], q._concentrate
+
+    def counted(ranked, keys, *more):
+        if q.START not in keys:
+            steps.append({r["g_lang"]: r["count"] for r in ranked.groupBy("g_lang").count().collect()})
+        return step(ranked, keys, *more)
+
+    monkeypatch.setattr(q, "_concentrate", counted)
+    got = {r["g_lang"]: r["det"] for r in q._estimate(stats, ["g_lang", "g_source"]).collect()}
+    assert set(got) == set(groups)
+    whole = {g: len(x) for g, x in groups.items()}
+    assert len(steps) > 1 and steps[0] == whole
+    assert all(a.items() >= b.items() and b for a, b in zip(steps, steps[1:], strict=False))
+    assert "same" not in steps[1] and sum(steps[-1].values()) < sum(whole.values())
+
+
 def test_quality_rules_many_groups(docs, monkeypatch):
     from cuewell.llm import quality_rules
 
