@@ -201,3 +201,26 @@ def test_documents_are_written_as_a_table(spark, monkeypatch):
 
     monkeypatch.setattr(catalog, "cut", lambda df: pytest.fail("whole rows in a checkpoint"))
     assert catalog.q_across(spark, "/root/testdata/sf0.001").columns == ["qid", "rank", "scope", "idx", "overlap", "exact"]
+
+
+def test_across_stores_no_episodes(spark, monkeypatch):
+    """recall_across neither stores nor deals encoded facts, and its hits are those of each scope at a time."""
+    from cuewell import catalog
+    from cuewell.operators import across
+
+    rng = random.Random(3)
+    words = ["valley", "valleyed", "bridge", "bridges", "dog", "pets", "animal", "name", "my", "harbor", "hometown", "teacher", "teaching", "running", "zed1", "the", "many", "3", "wife", "house", "home"]
+    rows = [(f"{b}__{i}", j, " ".join(rng.choices(words, k=rng.randint(3, 7))), 1.0) for b in "ab" for i in range(5) for j in range(rng.choice([1, 3, 90]))]
+    e = encode(spark.createDataFrame(rows, "scope string, idx long, t string, strength double"))
+    q = spark.createDataFrame([(n, rng.choice("ab"), " ".join(rng.choices([*words, "unheard", "teaches", "runs"], k=rng.randint(1, 3)))) for n in range(40)] + [(90, "a", "teaches"), (91, "b", "runs")], "qid long, scope string, query string")
+    named = q.withColumnRenamed("scope", "base").join(e.select("scope").distinct(), F.startswith("scope", F.concat("base", F.lit("__")))).select("qid", "scope", "query")
+    each = [(r["qid"], -r["exact"], -r["overlap"], -r["coverage"], r["scope"], r["rank"], r["idx"], r["value"], r["echo"]) for r in recall.recall_many(named, e, 4).collect()]
+    want = [x[:5] + x[6:] for n in sorted({x[0] for x in each}) for x in sorted(h for h in each if h[0] == n)[:4]]
+    with monkeypatch.context() as m:
+        m.setattr(recall, "recall_many", lambda *a: pytest.fail("a row for each query and scope"))
+        got = recall.recall_across(q, e, 4).orderBy("qid", "rank").collect()
+    assert [(r["qid"], -r["exact"], -r["overlap"], -r["coverage"], r["scope"], r["idx"], r["value"], r["echo"]) for r in got] == want and len(want) > 100
+    plain = catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df: plain(df) if df.columns == ["scope", "query"] else pytest.fail("episodes are stored"))
+    assert catalog.q_across(spark, "/root/testdata/sf0.001").count() > 0
+    assert [across.is_fact(t) for t in ("the of", "blue lamp", "lamp 3", "key: lamp", "a blue lamp")] == [encode_facts(facts_of(spark, [t])).count() == 1 for t in ("the of", "blue lamp", "lamp 3", "key: lamp", "a blue lamp")]
