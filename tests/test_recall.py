@@ -224,3 +224,28 @@ def test_across_stores_no_episodes(spark, monkeypatch):
     monkeypatch.setattr(catalog, "written", lambda df: plain(df) if df.columns == ["scope", "query"] else pytest.fail("episodes are stored"))
     assert catalog.q_across(spark, "/root/testdata/sf0.001").count() > 0
     assert [across.is_fact(t) for t in ("the of", "blue lamp", "lamp 3", "key: lamp", "a blue lamp")] == [encode_facts(facts_of(spark, [t])).count() == 1 for t in ("the of", "blue lamp", "lamp 3", "key: lamp", "a blue lamp")]
+
+
+def test_one_hop_leaves_out_queries_that_a_scope_cannot_serve():
+    """One hop in a scope is worked out by a matrix, only for queries whose best so far it may reach."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    for n in (1, 3, 30, 300):
+        rows = [(i, sorted({*rng.choices(words, k=rng.randint(1, 5)), *(["hub"] if rng.random() < 0.8 else [])}), rng.choice([0.05, 1.0, 3.0])) for i in range(n)]
+        cues = [sorted({*rng.choices([*words, "none"], k=rng.randint(1, 3)), *(["hub"] if i % 3 else [])}) for i in range(50)] + [["hub"], ["none"]]
+        holders = {}
+        for i, c in enumerate(cues):
+            for x in c:
+                holders.setdefault(x, []).append(i)
+        arrays, blocked = {x: np.array(q) for x, q in holders.items()}, frozenset(["w3"])
+        by = lambda found: [(int(a), bool(b), round(float(c), 9), int(d), int(e)) for a, b, c, d, e in zip(*found, strict=True)]
+        want = by(graph.lit(0, rows, len(cues), holders, 4, 1, blocked))
+        assert by(graph.lit_once(0, rows, arrays, np.full(len(cues), -np.inf), 4, blocked)) == want
+        best = graph.Best(len(cues), 4)
+        for s in range(3):
+            best.add(graph.lit_once(best.place(f"s{s}"), rows, arrays, best.least, 4, blocked))
+            best.merge()
+        assert [x[:3] for x in by(best.parts[0])] == [x[:3] for x in by(graph.merged([graph.lit(s, rows, len(cues), holders, 4, 1, blocked) for s in range(3)], 4))]
+        assert not len(graph.lit_once(0, rows, arrays, np.full(len(cues), 1e6), 4, blocked)[0])
