@@ -249,3 +249,14 @@ def test_one_hop_leaves_out_queries_that_a_scope_cannot_serve():
             best.merge()
         assert [x[:3] for x in by(best.parts[0])] == [x[:3] for x in by(graph.merged([graph.lit(s, rows, len(cues), holders, 4, 1, blocked) for s in range(3)], 4))]
         assert not len(graph.lit_once(0, rows, arrays, np.full(len(cues), 1e6), 4, blocked)[0])
+
+
+def test_orders_are_dealt_and_written_as_a_table(spark, monkeypatch):
+    """recall_orders encodes its facts in as many tasks as there are partitions and stores them as a compressed table."""
+    from cuewell import catalog
+
+    monkeypatch.setattr(catalog, "cut", lambda df: pytest.fail("whole rows in a checkpoint"))
+    dealt, plain = [], catalog.encode
+    monkeypatch.setattr(catalog, "encode", lambda df: dealt.append(df._jdf.queryExecution().logical().toString()) or plain(df))
+    got = {(r["qid"], r["idx"]) for r in catalog.q_recall_orders(spark, "/root/testdata/sf0.001").collect()}
+    assert len(dealt) == 1 and "Repartition" in dealt[0] and got and all(i == 2 * q for q, i in got)
